@@ -14,6 +14,7 @@ their names, are not read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import struct
@@ -53,51 +54,51 @@ class Merges:
     def __init__(self, file: str | bytes):
         loaded = json.loads(open(file, encoding="utf-8").read() if isinstance(file, str) else file)
         model = loaded["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(x.split(" ")) if isinstance(x, str) else tuple(x): i for i, x in enumerate(model["merges"])}
-        self.suffix: str = model["end_of_word_suffix"] or ""
+        vocab: dict[str, int] = model["vocab"]
+        suffix: str = model["end_of_word_suffix"] or ""
+        pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+        self.ranks = {vocab[a] << 32 | vocab[b]: i for i, (a, b) in enumerate(pairs)}
+        self.merged = [vocab[a + b] for a, b in pairs]
         self.special = {x["content"]: x["id"] for x in loaded["added_tokens"]}
-        self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.characters = byte_characters()
+        self.names = {i: t for t, i in [*vocab.items(), *self.special.items()]}
+        self.bytes = [vocab[c] for c in byte_characters()]
+        self.last_bytes = [vocab[c + suffix] for c in byte_characters()]
 
     def encode(self, piece: str) -> list[int]:
         """Ids of a piece: again and again the leftmost pair of the lowest rank is merged."""
-        parts = [self.characters[b] for b in piece.encode("utf-8")]
-        if not parts:
-            return []
-        parts[-1] += self.suffix
+        raw = piece.encode("utf-8")
+        parts = [self.bytes[b] for b in raw[:-1]] + [self.last_bytes[b] for b in raw[-1:]]
         if len(parts) > 64:
-            parts = self._merge_long(parts)
-        else:
-            ranks, none = self.ranks, len(self.ranks)
-            while len(parts) > 1:
-                best, at = min((ranks.get(p, none), i) for i, p in enumerate(zip(parts, parts[1:])))
-                if best == none:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        vocab = self.vocab
-        return [vocab[p] for p in parts if p in vocab]
-
-    def _merge_long(self, parts: list[str]) -> list[str]:
+            return self._merge_long(parts)
+        rank, none, merged = self.ranks.get, len(self.merged), self.merged
+        waiting = [rank(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
+        while waiting and (best := min(waiting)) < none:
+            at = waiting.index(best)
+            parts[at : at + 2] = [merged[best]]
+            del waiting[at]
+            if at < len(waiting):
+                waiting[at] = rank(parts[at] << 32 | parts[at + 1], none)
+            if at:
+                waiting[at - 1] = rank(parts[at - 1] << 32 | parts[at], none)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
         """The same merges by a heap over a linked list, for pieces of any length."""
-        import heapq
-
-        n = len(parts)
-        after, before, ranks = [*range(1, n), -1], [*range(-1, n - 1)], self.ranks
-        alive = [True] * n
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        n, rank = len(parts), self.ranks.get
+        after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
+        heap = [(r, i) for i in range(n - 1) if (r := rank(parts[i] << 32 | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            best, i = heapq.heappop(heap)
             j = after[i] if alive[i] else -1
-            if j < 0 or parts[i] != left or parts[j] != right:
-                continue
-            parts[i], alive[j], after[i] = left + right, False, after[j]
+            if j < 0 or rank(parts[i] << 32 | parts[j]) != best:
+                continue  # one of the two has been merged since
+            parts[i], alive[j], after[i] = self.merged[best], False, after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (r := ranks.get((parts[a], parts[b]))) is not None:
-                    heapq.heappush(heap, (r, a, parts[a], parts[b]))
+                if a >= 0 and b >= 0 and (r := rank(parts[a] << 32 | parts[b])) is not None:
+                    heapq.heappush(heap, (r, a))
         return [p for p, keep in zip(parts, alive) if keep]
 
 
