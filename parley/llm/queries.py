@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from parley.session import table
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards whose row counts are at most one apart."""
+    from parley.llm import sharding
+
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as WAV payloads with spectral-peak fingerprints, as digests."""
+    from parley.llm import media
+
+    return media.media(table(spark, sf_dir, "documents"), with_media=False, with_pairs=False)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids and decodings of all documents, as digests."""
     import public_tokenizers
@@ -22,6 +37,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_shards": op2_shards,
+    "op4_media": op4_media,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
