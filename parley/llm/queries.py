@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from parley.session import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components at 4 differing bits or fewer."""
+    from parley.llm import simhash
+
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards whose row counts are at most one apart."""
     from parley.llm import sharding
@@ -37,6 +45,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_shards": op2_shards,
     "op4_media": op4_media,
     "op10_bpe": op10_bpe,
