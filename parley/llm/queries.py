@@ -33,6 +33,16 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"), with_media=False, with_pairs=False)
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff scores of all documents; nine tenths by id are learned from."""
+    from parley.llm import katz
+    from parley.llm.common import fold_of
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold_of(F.col("doc_id"), 10) == 0).alias("held_out"))
+    model, unigrams = katz.fit(docs.filter(~F.coalesce("held_out", F.lit(True))))
+    return katz.score(docs, model, unigrams, keep=("doc_id", "held_out"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids and decodings of all documents, as digests."""
     import public_tokenizers
@@ -48,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_shards": op2_shards,
     "op4_media": op4_media,
+    "op8_katz": op8_katz,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
