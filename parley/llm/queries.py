@@ -33,6 +33,16 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"), with_media=False, with_pairs=False)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents; four fifths by id are learned from."""
+    from parley.llm import langid
+    from parley.llm.common import fold_of
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"))
+    model = langid.fit(docs.filter(~F.coalesce("held_out", F.lit(True))))
+    return langid.identify(docs, model, keep=("doc_id", "held_out"), with_spans=False)
+
+
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Katz backoff scores of all documents; nine tenths by id are learned from."""
     from parley.llm import katz
@@ -58,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_shards": op2_shards,
     "op4_media": op4_media,
+    "op6_langid": op6_langid,
     "op8_katz": op8_katz,
     "op10_bpe": op10_bpe,
 }
