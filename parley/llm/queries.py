@@ -75,6 +75,17 @@ def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(docs, model, unigrams, keep=("doc_id", "held_out"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents, the numbers of the lines that repeat or resemble earlier ones."""
+    from parley.llm import linededup
+
+    docs = table(spark, sf_dir, "documents")
+    gone = linededup.removals(docs)
+    counted = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    removed = F.coalesce("_lines", F.array().cast("array<int>"))
+    return counted.join(gone, counted.doc_id == gone._id, "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids and decodings of all documents, as digests."""
     import public_tokenizers
@@ -93,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest": op5_nearest,
     "op6_langid": op6_langid,
     "op8_katz": op8_katz,
+    "op9_lines": op9_lines,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {"op5_nearest": OP5_SQL}
