@@ -26,6 +26,16 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents sampled by quality; as many as there are good ones by share of the labels."""
+    from parley.llm import resampling
+
+    labels = table(spark, sf_dir, "labels")
+    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0")
+    share = good.count() / max(labels.count(), 1)
+    return resampling.resample(table(spark, sf_dir, "documents"), good.select("doc_id"), share)
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as WAV payloads with spectral-peak fingerprints, as digests."""
     from parley.llm import media
@@ -65,6 +75,15 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=("doc_id", "held_out"), with_spans=False)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is in the mixture, at no more than 1.25 repeats of a source."""
+    from parley.llm import mixing
+
+    docs = table(spark, sf_dir, "documents")
+    counted = mixing.with_copies(docs, mixing.plan(docs, most_repeats=1.25))
+    return counted.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"), "copies", F.col("copies_weight").alias("weight"))
+
+
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Katz backoff scores of all documents; nine tenths by id are learned from."""
     from parley.llm import katz
@@ -100,9 +119,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_shards": op2_shards,
+    "op3_resample": op3_resample,
     "op4_media": op4_media,
     "op5_nearest": op5_nearest,
     "op6_langid": op6_langid,
+    "op7_mixing": op7_mixing,
     "op8_katz": op8_katz,
     "op9_lines": op9_lines,
     "op10_bpe": op10_bpe,
