@@ -157,8 +157,8 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float = SWITCH) -> n
     return label
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_spans: bool = True) -> DataFrame:
-    """Per row: ``keep``, lang_pred, score, and if wanted spans (first word, words, lang)."""
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_spans: bool = True, prefix: str = "") -> DataFrame:
+    """Per row: ``keep``, lang_pred, score, and if wanted spans (first word, words, lang), with a prefix to their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     width = len(keep)
@@ -214,4 +214,4 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                     start, size, texts = i + 1, 0, []
 
     out = inner.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *out.columns[width:])
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(prefix + c) for c in out.columns[width:]])

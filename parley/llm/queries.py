@@ -116,6 +116,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, file, bpe.build_lexicon(docs, file), with_ids=False, with_text=False)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_shards": op2_shards,
@@ -127,5 +134,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz": op8_katz,
     "op9_lines": op9_lines,
     "op10_bpe": op10_bpe,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op5_nearest": OP5_SQL}

@@ -294,3 +294,10 @@ def near_duplicates(
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = placed.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(of_fp, fps.fp == of_fp._fp).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with the same columns and one document of each group: that of the smallest id, once."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
