@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +46,96 @@ def fold_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
 
 
-def texts_of(batch, column: str) -> list[str]:
-    """The batch's texts, null as the empty text."""
-    return [x or "" for x in batch.column(column).to_pylist()]
-
-
 def scaled_partitions(spark: SparkSession, times: int = 1) -> int:
     """Shuffle partitions of the session, times a small factor."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * times
 
 
-def popcount(x: np.ndarray) -> np.ndarray:
-    """Set bits per value."""
-    return np.bitwise_count(x)
+# Words by 64-bit hashes, all at once: a polynomial over seeded values of the bytes, then mixed.
+_RNG = np.random.default_rng(20240229)
+_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]  # A-Z count as a-z
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's first n powers and their inverses, modulo 2^64."""
+    if len(_POWERS["up"]) < n:
+        size = 1 << (n - 1).bit_length()
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.multiply.accumulate(steps)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and start byte of every word (A-Z lowered), and the texts' bytes.
+
+    Different words have the same hash about as rarely as random 58-bit numbers.
+    """
+    texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    n = len(texts)
+    if not n or data is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    bounds = np.frombuffer(offsets, wide)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    inside = ~_SPACE[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[bounds] = True
+    starts = np.flatnonzero(inside & np.concatenate([[True], edge[1:-1] | ~inside[:-1]])[: len(raw)])
+    ends = np.flatnonzero(inside & np.concatenate([edge[1:-1] | ~inside[1:], [True]])[-len(raw) :] if len(raw) else inside) + 1
+    up, down = _powers(len(raw) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[raw] * up[: len(raw)])])
+    hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return hashes, np.searchsorted(bounds, starts, "right") - 1, starts, raw
+
+
+def text_slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch cut into stretches of rows with about ``size`` bytes of text."""
+    lengths = np.array([x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
+    part = (np.cumsum(lengths) - lengths) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+SLICES = 64
+
+
+def summed_slices(df: DataFrame, width: int, kind: type, how: Callable) -> np.ndarray:
+    """One array of SLICES * width values from partial (slice, at, n) blobs: combined by ``how`` (out, at, n)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = np.zeros(width, kind)
+        for at, n in zip(table["at"].to_pylist(), table["n"].to_pylist()):
+            how(out, np.frombuffer(at, np.uint32), np.frombuffer(n, np.uint32))
+        return pa.table({"slice": table["slice"][:1], "blob": pa.array([out.tobytes()], pa.binary())})
+
+    out = np.zeros(SLICES * width, kind)
+    for r in df.groupBy("slice").applyInArrow(run, "slice int, blob binary").collect():  # SLICES rows
+        out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.blob, kind)
+    return out
+
+
+def slices_of(at: np.ndarray, n: np.ndarray, width: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Sorted places and values cut into slices of ``width``."""
+    cuts = np.searchsorted(at, np.arange(SLICES + 1) * width)
+    for s in range(SLICES):
+        a, b = cuts[s], cuts[s + 1]
+        if b > a:
+            yield s, (at[a:b] - s * width).astype(np.uint32).tobytes(), n[a:b].astype(np.uint32).tobytes()

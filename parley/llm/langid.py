@@ -81,8 +81,8 @@ class Model:
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per word: score by language, best 0 and worst ``WORST``; letters."""
         out = np.zeros((len(words), len(self.languages)), np.float32)
-        if not words:
-            return out, np.empty(0, np.int64)
+        if not words or not self.languages:
+            return out, np.zeros(len(words), np.int64)
         owner, bucket, count, script = features(words)
         for k in range(len(self.languages)):
             out[:, k] = np.bincount(owner, self.logs[bucket, k], len(words))

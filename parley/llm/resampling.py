@@ -20,9 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import settle
-from parley.llm.katz import Hashes
-from parley.llm.linededup import SLICES, slices_of, summed_slices
+from parley.llm.common import SLICES, hashed_words, mixed, settle, slices_of, summed_slices, text_slices
 from parley.llm.sharding import with_position
 
 BUCKETS = 1 << 20
@@ -30,17 +28,13 @@ TARGET_DOCS = 20_000  # at most so many good documents make the target model
 PRIOR = 10.0  # with 2, held-out good documents scored far below those learned from
 
 
-def grams(texts: list, known: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and neighbouring pairs of the texts, and each text's number of them."""
-    parts, counts = [np.empty(0, np.uint64)], []
-    for text in texts:
-        words = (text or "").encode("utf-8").lower().split()
-        h = np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
-        pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
-        parts += [h, pairs]
-        counts.append(len(h) + len(pairs))
-    mixed = np.concatenate(parts) * np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(44)).astype(np.int64), np.array(counts, np.int64)
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and bucket of all words and neighbouring pairs."""
+    words, doc, _, _ = hashed_words(texts)
+    same = doc[1:] == doc[:-1]
+    pairs = mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])[same]
+    bucket = np.concatenate([words, pairs]) >> np.uint64(44)
+    return np.concatenate([doc, doc[:-1][same]]), bucket.astype(np.int64)
 
 
 def fit(docs: DataFrame, good_ids: DataFrame, target_docs: int = TARGET_DOCS) -> np.ndarray:
@@ -50,13 +44,12 @@ def fit(docs: DataFrame, good_ids: DataFrame, target_docs: int = TARGET_DOCS) ->
     width = 2 * BUCKETS // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = Hashes(), np.zeros((2, BUCKETS), np.uint32)
+        held = np.zeros((2, BUCKETS), np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                bucket, counts = grams(part.column(1).to_pylist(), known)
+            for part in text_slices(batch, 1):
+                doc, bucket = grams(part.column(1))
                 ids = np.array([-1 if x is None else x for x in part.column(0).to_pylist()], np.int64)
-                target = np.repeat(np.isin(ids, shared.value) & ~np.array(part.column(0).is_null()), counts)
+                target = (np.isin(ids, shared.value) & ~np.array(part.column(0).is_null(), bool))[doc]
                 held[0] += np.bincount(bucket, minlength=BUCKETS).astype(np.uint32)
                 held[1] += np.bincount(bucket[target], minlength=BUCKETS).astype(np.uint32)
         flat = held.reshape(-1)
@@ -83,13 +76,10 @@ def log_ratios(docs: DataFrame, log_ratio: np.ndarray) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                bucket, counts = grams(part.column(1).to_pylist(), known)
-                owner = np.repeat(np.arange(len(counts)), counts)
-                sums = np.bincount(owner, shared.value[bucket], len(counts))
+            for part in text_slices(batch, 1):
+                doc, bucket = grams(part.column(1))
+                sums = np.bincount(doc, shared.value[bucket], part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums, pa.float64())], names=["doc_id", "log_ratio"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_ratio double")
