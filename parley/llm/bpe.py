@@ -30,12 +30,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.common import settle
+
 MAX_WORD_BYTES = 64
 #: Words a worker remembers before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 
 # The piece pattern of the tokenizer file, the order of bytes as printable characters.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PIECES_AND_ENDS = regex.compile(r"\n|" + PIECE.pattern)
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 
 
@@ -102,6 +105,88 @@ class Merges:
         return [p for p, keep in zip(parts, alive) if keep]
 
 
+class Batch:
+    """Merges many pieces at once: each round joins every piece's pairs of its lowest rank."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.bytes, self.last = np.array(merges.bytes, np.uint32), np.array(merges.last_bytes, np.uint32)
+        self.merged = np.array([*merges.merged, 0], np.uint32)
+        self.none = len(merges.merged)
+        pairs = np.array([(k >> 32, k & 0xFFFFFFFF) for k in merges.ranks], np.uint64).reshape(-1, 2)
+        ranks = np.fromiter(merges.ranks.values(), np.int64, len(merges.ranks))
+        self.keys = (pairs[:, 0] << np.uint64(32)) | pairs[:, 1]
+        self.bits = max(4, int(4 * len(ranks)).bit_length())
+        self.slots = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.ranks = np.full(1 << self.bits, self.none, np.int64)
+        at, left = self.place(self.keys), np.arange(len(ranks))
+        while len(left):  # open addressing: who finds a free slot first keeps it
+            free = self.slots[at[left]] == np.uint64(0xFFFFFFFFFFFFFFFF)
+            self.slots[at[left[free]]] = self.keys[left[free]]
+            done = self.slots[at[left]] == self.keys[left]
+            self.ranks[at[left[done]]] = ranks[left[done]]
+            left = left[~done]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+        # a round is the same as merging one by one if no token joins at a lower rank than it is made
+        made = np.full(int(max(merges.names)) + 1, -1)
+        made[self.merged[ranks]] = np.maximum(made[self.merged[ranks]], 0)
+        np.maximum.at(made, self.merged[ranks], ranks)
+        self.usable = bool((np.maximum(made[pairs[:, 0].astype(int)], made[pairs[:, 1].astype(int)]) < ranks).all()) if len(ranks) else True
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, keys: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, ``none`` where they do not merge."""
+        at = self.place(keys)
+        got = self.slots[at]
+        out = np.where(got == keys, self.ranks[at], self.none)
+        open_ = np.flatnonzero((got != keys) & (got != np.uint64(0xFFFFFFFFFFFFFFFF)))
+        while len(open_):
+            at = (at if len(at) == len(open_) else at[open_]) + 1 & ((1 << self.bits) - 1)
+            got, want = self.slots[at], keys[open_]
+            hit = got == want
+            out[open_[hit]] = self.ranks[at[hit]]
+            go = ~hit & (got != np.uint64(0xFFFFFFFFFFFFFFFF))
+            open_, at = open_[go], at[go]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces (none may be empty), and where each piece's begin."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum(lengths)
+        ids = self.bytes[raw]
+        ids[ends - 1] = self.last[raw[ends - 1]]
+        word = np.repeat(np.arange(len(pieces)), lengths)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            same = word[1:] == word[:-1]
+            rank = np.full(len(ids), self.none)
+            at = np.flatnonzero(same)
+            rank[at] = self.rank(ids[at].astype(np.uint64) << np.uint64(32) | ids[at + 1])
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            over = best == self.none
+            if over.any():
+                done.append((word[over], ids[over]))
+                ids, word, rank, best = ids[~over], word[~over], rank[~over], best[~over]
+            hit = np.flatnonzero(rank == best)
+            if not len(hit):
+                break
+            fresh = np.concatenate([[True], hit[1:] != hit[:-1] + 1])  # of overlapping pairs every second one
+            place = np.arange(len(hit)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            hit = hit[place % 2 == 0]
+            ids[hit] = self.merged[rank[hit]]
+            keep = np.ones(len(ids), bool)
+            keep[hit + 1] = False
+            ids, word = ids[keep], word[keep]
+        word = np.concatenate([w for w, _ in done]) if done else np.empty(0, np.int64)
+        ids = np.concatenate([i for _, i in done]) if done else np.empty(0, np.uint32)
+        order = np.argsort(word, kind="stable")
+        return ids[order], np.searchsorted(word[order], np.arange(len(pieces) + 1))
+
+
 def lowered(text: str) -> str:
     """The text composed and lower-cased letter by letter (so a final sigma is not special)."""
     text = unicodedata.normalize("NFC", text)
@@ -175,78 +260,124 @@ class Lexicon:
             f.write(compiled)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        sizes = struct.unpack("<6i", self.map[:24])
-        view, at, parts = memoryview(self.map), 24, []
+        sizes, at, parts = struct.unpack("<6i", self.map[:24]), 24, []
         for n in sizes[:5]:
-            parts.append(view[at : at + 4 * n].cast("i"))
+            parts.append(np.frombuffer(self.map, "<i4", n, at))
             at += 4 * n
         self.first, self.targets, self.skips, self.starts, self.ids = parts
-        self.finals, self.labels = at, at + sizes[5]
+        self.finals = np.frombuffer(self.map, np.uint8, sizes[5], at)
+        labels = np.frombuffer(self.map, np.uint8, len(self.targets), at + sizes[5])
         self.root = sizes[5] - 1
+        # the edges in order of (state, byte)
+        self.edges = np.repeat(np.arange(sizes[5]), np.diff(self.first)) << 8 | labels
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Each word's number, -1 if the lexicon lacks it; all words walk together."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.cumsum(lengths) - lengths
+        out = np.full(len(words), -1)
+        going = np.arange(len(words))
+        state, number, k = np.full(len(words), self.root), np.zeros(len(words), np.int64), 0
+        while len(going):
+            over = lengths[going] == k
+            ended = going[over]
+            out[ended] = np.where(self.finals[state[ended]] == 1, number[ended], -1)
+            going = going[~over]
+            if not len(going) or not len(self.edges):
+                break
+            want = state[going] << 8 | raw[begin[going] + k]
+            edge = np.minimum(np.searchsorted(self.edges, want), len(self.edges) - 1)
+            on = self.edges[edge] == want
+            going, edge = going[on], edge[on]
+            number[going] += self.skips[edge]
+            state[going] = self.targets[edge]
+            k += 1
+        return out
+
+    def ids_of(self, number: int) -> np.ndarray:
+        """The ids of the word with a number."""
+        return self.ids[self.starts[number] : self.starts[number + 1]]
 
     def find(self, word: bytes) -> list[int] | None:
         """The word's ids, or None if the lexicon lacks it."""
-        state, number, base = self.root, 0, self.labels
-        for k in range(len(word)):
-            at = self.map.find(word[k : k + 1], base + self.first[state], base + self.first[state + 1])
-            if at < 0:
-                return None
-            number += self.skips[at - base]
-            state = self.targets[at - base]
-        if not self.map[self.finals + state]:
-            return None
-        return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
+        number = int(self.numbers([word])[0])
+        return None if number < 0 else self.ids_of(number).tolist()
 
 
 class Encoder:
-    """Encodes and decodes whole texts; words come from the lexicon or are merged, and are remembered."""
+    """Encodes and decodes whole texts; words come from the lexicon or are merged, and are remembered.
+
+    Two generations of remembered words bound the memory: once the newer one is full it becomes the
+    older, and words still in use move over.
+    """
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None):
-        self.merges, self.lexicon = merges, lexicon
-        self.ids: dict[str, bytes] = {}
-        self.names: dict[str, str] = {}
+        self.merges, self.lexicon, self.batch = merges, lexicon, Batch(merges)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.names = [merges.names.get(i, "") for i in range(max(merges.names) + 1)]
         special = "|".join(regex.escape(x) for x in merges.special)
         self.split = regex.compile(f"({special})") if special else None
         self.hints = {x[:2] for x in merges.special}
 
-    def learn(self, chunk: str) -> None:
-        ids: list[int] = []
-        for piece in PIECE.findall(chunk):
-            raw = piece.encode("utf-8")
-            found = self.lexicon.find(raw) if self.lexicon and len(raw) <= MAX_WORD_BYTES else None
-            ids += self.merges.encode(piece) if found is None else found
-        self.ids[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        self.names[chunk] = " ".join(self.merges.names[i] for i in ids)
-
-    def chunks(self, text: str) -> list[str]:
-        """All chunks of a text; a special token's own string is one, marked by a leading NUL."""
-        if self.split is None or not any(h in text for h in self.hints):
-            return chunks_of(text)
-        out: list[str] = []
-        for part in self.split.split(text):
-            if part in self.merges.special:
-                out.append("\0 " + part)  # no chunk holds a blank
-                self.ids[out[-1]] = struct.pack("<I", self.merges.special[part])
-                self.names[out[-1]] = part
+    def learn(self, chunks: list[str]) -> None:
+        """Remember the ids of new chunks: their words are looked up, then merged, all at once."""
+        words: dict[bytes, int] = {}
+        parts: list[list[int]] = [[]]
+        for piece in PIECES_AND_ENDS.findall("\n".join(chunks)):
+            if piece == "\n":
+                parts.append([])
             else:
-                out.extend(chunks_of(part))
-        return out
+                parts[-1].append(words.setdefault(piece.encode("utf-8"), len(words)))
+        listed = list(words)
+        found: list[bytes | None] = [None] * len(listed)
+        if self.lexicon:
+            short = [i for i, w in enumerate(listed) if len(w) <= MAX_WORD_BYTES]
+            for i, n in zip(short, self.lexicon.numbers([listed[i] for i in short]).tolist()):
+                if n >= 0:
+                    found[i] = self.lexicon.ids_of(n).tobytes()
+        rest = [i for i, f in enumerate(found) if f is None and self.batch.usable and len(listed[i]) <= 256]
+        if rest:
+            ids, starts = self.batch.encode([listed[i] for i in rest])
+            packed, at = ids.astype("<u4").tobytes(), (4 * starts).tolist()
+            for k, i in enumerate(rest):
+                found[i] = packed[at[k] : at[k + 1]]
+        for i, f in enumerate(found):
+            if f is None:
+                ids_ = self.merges.encode(listed[i].decode("utf-8"))
+                found[i] = struct.pack(f"<{len(ids_)}I", *ids_)
+        for chunk, part in zip(chunks, parts):
+            self.new[chunk] = found[part[0]] if len(part) == 1 else b"".join([found[i] for i in part])
+
+    def prepare(self, texts: list[str]) -> None:
+        """Learn at once what some texts hold that is not remembered."""
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        seen = set().union(*(chunks_of(part) for text in texts for part in self.stretches(text) if part not in self.merges.special))
+        for chunk in seen:
+            if chunk not in self.new and (ids := self.old.get(chunk)) is not None:
+                self.new[chunk] = ids
+        self.learn([c for c in seen if c not in self.new])
+
+    def stretches(self, text: str) -> list[str]:
+        """The text cut at special tokens."""
+        return [text] if self.split is None or not any(h in text for h in self.hints) else self.split.split(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a stretch without special tokens."""
+        chunks = chunks_of(text)
+        try:
+            return b"".join(map(self.new.__getitem__, chunks))
+        except KeyError:
+            self.learn(list({c: None for c in chunks if c not in self.new}))
+            return b"".join(map(self.new.__getitem__, chunks))
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and the text decoded from them."""
-        chunks = self.chunks(text)
-        try:
-            ids = b"".join(map(self.ids.__getitem__, chunks))
-        except KeyError:
-            if len(self.ids) > CACHE_WORDS:
-                self.ids.clear()
-                self.names.clear()
-                chunks = self.chunks(text)
-            for chunk in chunks:
-                if chunk not in self.ids:
-                    self.learn(chunk)
-            ids = b"".join(map(self.ids.__getitem__, chunks))
-        return ids, " ".join(filter(None, map(self.names.__getitem__, chunks)))
+        special = self.merges.special
+        ids = b"".join(struct.pack("<I", special[part]) if part in special else self.plain(part) for part in self.stretches(text))
+        return ids, " ".join(map(self.names.__getitem__, memoryview(ids).cast("I")))
 
 
 def piece_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -275,11 +406,19 @@ def piece_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return partial.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, tokenizer_file: str, lexicon_words: int = 32_768, text_col: str = "text") -> bytes:
-    """The compiled lexicon of the corpus' most frequent pieces (ties: by the piece)."""
-    frequent = piece_counts(docs, text_col).filter("n > 1").orderBy(F.desc("n"), "piece").limit(lexicon_words)
+def build_lexicon(docs: DataFrame, tokenizer_file: str, lexicon_words: int = 131_072, text_col: str = "text") -> bytes:
+    """The compiled lexicon of the corpus' most frequent pieces: those above the least count that few enough have."""
+    counts = settle(piece_counts(docs, text_col).filter("n > 1"))
+    steps = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.floor(F.log2("n") * 8).cast("long") + 1000)
+    least, total = None, 0
+    for r in sorted(counts.groupBy(steps.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).collect(), key=lambda r: -r.n):
+        total += r.words
+        if total > lexicon_words:
+            break
+        least = r.n
     merges = Merges(tokenizer_file)
-    return compile_lexicon((r.piece, merges.encode(r.piece)) for r in frequent.collect())
+    frequent = counts.filter(F.col("n") >= least).collect() if least else []  # at most lexicon_words rows
+    return compile_lexicon((r.piece, merges.encode(r.piece)) for r in frequent)
 
 
 def encode(
@@ -310,8 +449,10 @@ def encode(
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 ids, texts = [], []
-                for text in part.column(width):
-                    i, t = encoder.encode(text.as_py() or "")
+                given = [x or "" for x in part.column(width).to_pylist()]
+                encoder.prepare(given)
+                for text in given:
+                    i, t = encoder.encode(text)
                     ids.append(i)
                     texts.append(t)
                 columns = [part.column(k) for k in range(width)]
