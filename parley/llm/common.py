@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import math
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,31 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+BATCH_BYTES = 4 << 20
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow, giving freed memory back to the system at its end: workers are used again."""
+
+    def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed blocks otherwise
+            if trim is not None:
+                trim(0)
+
+    return with_end
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, as texts may be long; a smaller bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**31 - 1))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and go on from there."""
     checkpoint_folder(df.sparkSession)
@@ -104,7 +134,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return hashes, np.searchsorted(bounds, starts, "right") - 1, starts, raw
 
 
-def text_slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch cut into stretches of rows with about ``size`` bytes of text."""
     lengths = np.array([x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
     part = (np.cumsum(lengths) - lengths) // size
@@ -117,25 +147,46 @@ def text_slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iter
 SLICES = 64
 
 
-def summed_slices(df: DataFrame, width: int, kind: type, how: Callable) -> np.ndarray:
-    """One array of SLICES * width values from partial (slice, at, n) blobs: combined by ``how`` (out, at, n)."""
+def slices_of(at: np.ndarray, n: np.ndarray, width: int) -> pa.RecordBatch:
+    """Sorted places and their values as rows (slice, blob), cut into ``SLICES`` slices of ``width``."""
+    cuts = np.searchsorted(at, np.arange(SLICES + 1) * width)
+    full = np.flatnonzero(np.diff(cuts))
+    press = zstandard.ZstdCompressor(level=1).compress
+    blobs = []
+    for s in full:
+        a, b = cuts[s], cuts[s + 1]
+        values = np.ascontiguousarray(n[a:b]).astype("<u8").view(np.uint8).reshape(-1, 8).T  # small numbers' zeros together
+        blobs.append(press(np.diff(at[a:b] - s * width, prepend=0).astype("<u4").tobytes() + values.tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "blob"])
 
-    def run(table: pa.Table) -> pa.Table:
-        out = np.zeros(width, kind)
-        for at, n in zip(table["at"].to_pylist(), table["n"].to_pylist()):
-            how(out, np.frombuffer(at, np.uint32), np.frombuffer(n, np.uint32))
-        return pa.table({"slice": table["slice"][:1], "blob": pa.array([out.tobytes()], pa.binary())})
 
-    out = np.zeros(SLICES * width, kind)
-    for r in df.groupBy("slice").applyInArrow(run, "slice int, blob binary").collect():  # SLICES rows
-        out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.blob, kind)
-    return out
+def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places within the slice and their values."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = len(raw) // 12
+    values = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 4 * n).reshape(8, n).T).reshape(-1).view("<u8")
+    return np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64), values
 
 
-def slices_of(at: np.ndarray, n: np.ndarray, width: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Sorted places and values cut into slices of ``width``."""
-    cuts = np.searchsorted(at, np.arange(SLICES + 1) * width)
-    for s in range(SLICES):
-        a, b = cuts[s], cuts[s + 1]
-        if b > a:
-            yield s, (at[a:b] - s * width).astype(np.uint32).tobytes(), n[a:b].astype(np.uint32).tobytes()
+def summed_slices(partial: DataFrame, width: int, out: np.ndarray) -> np.ndarray:
+    """The sums of partial (slice, blob) rows, added to ``out``, which has SLICES * width places.
+
+    Partial sums are added in two steps, so that a task has about the square root of them at once.
+    """
+    salts = max(1, math.isqrt(scaled_partitions(partial.sparkSession)))
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = np.zeros(width, np.uint64)
+        for blob in table["blob"]:
+            at, n = opened(blob.as_py())
+            sums[at] += n
+        s, at = table["slice"][0].as_py(), np.flatnonzero(sums)
+        return pa.Table.from_batches([slices_of(at + s * width, sums[at], width)])
+
+    salted = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    once = salted.groupBy("slice", "salt").applyInArrow(add, "slice int, blob binary")
+    most = np.iinfo(out.dtype).max if out.dtype.kind in "iu" else np.inf
+    for r in once.groupBy("slice").applyInArrow(add, "slice int, blob binary").collect():  # SLICES rows
+        at, n = opened(r.blob)
+        out[r.slice * width + at] = np.minimum(n, most) if out.dtype != bool else n > 0
+    return out

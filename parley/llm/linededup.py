@@ -20,110 +20,69 @@ an empty table gives no rows; all other columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import scaled_partitions, settle
-from parley.llm.katz import Hashes
+from parley.llm.common import hashed_words, mixed, scaled_partitions, settle, SLICES, slices_of, small_batches, summed_slices, text_slices, tidy
 
 MIN_WORDS = 5
 RARITY_BUCKETS = 1 << 22
 FILTER_BITS = 1 << 26
-SLICES = 64
-FIRST_TRIES = 4
+FIRST_TRIES = 1
 WORD_MASK = np.uint64((1 << 40) - 1)
-SLICE_LINES = 1 << 20
 
 
 class Lines:
     """The lines of some texts that have ``min_words`` words or more, as sets of word hashes."""
 
-    def __init__(self, ids: list, texts: list, known: Hashes, min_words: int):
-        hashes, counts, docs, numbers = [], [], [], []
-        for i, text in zip(ids, texts):
-            for k, line in enumerate((text or "").encode("utf-8").lower().split(b"\n")):
-                words = line.split()
-                if len(words) >= min_words:
-                    hashes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-                    counts.append(len(words))
-                    docs.append(i)
-                    numbers.append(k)
-        n = len(counts)
-        words = (np.concatenate(hashes) if n else np.empty(0, np.int64)).view(np.uint64) & WORD_MASK
-        both = np.sort(np.repeat(np.arange(n, dtype=np.uint64), counts) << np.uint64(40) | words)
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    def __init__(self, ids: np.ndarray, texts: pa.Array, min_words: int):
+        hashes, doc, start, raw = hashed_words(texts)
+        breaks = np.cumsum(raw == 10)
+        number = breaks[start] if len(start) else start  # line breaks before the word, over all texts
+        new = np.concatenate([[True], (number[1:] != number[:-1]) | (doc[1:] != doc[:-1])])[: len(start)]
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(start)))
+        many = count >= min_words
+        lengths = np.array([x or 0 for x in pc.binary_length(texts).to_pylist()], np.int64)
+        ends = np.cumsum(lengths)
+        before = np.concatenate([[0], breaks])[ends - lengths]  # breaks before the text
+        self.doc, self.number = ids[doc[first]][many], (number[first] - before[doc[first]])[many].astype(np.int32)
+        n = int(many.sum())
+        owner = np.repeat(np.cumsum(many) - 1, count).astype(np.uint64)
+        use = np.repeat(many, count)
+        both = np.sort(owner[use] << np.uint64(40) | (hashes[use] & WORD_MASK))
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
         self.owner, self.words = (both >> np.uint64(40)).astype(np.int64), both & WORD_MASK
         self.size = np.bincount(self.owner, minlength=n)
-        self.doc, self.number = np.array(docs, np.int64), np.array(numbers, np.int32)
-        mixed = (self.words + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        starts = np.cumsum(self.size) - self.size
-        key = np.add.reduceat(mixed, starts) if n else np.empty(0, np.uint64)
-        self.key = (key * np.uint64(0x94D049BB133111EB) ^ self.size.astype(np.uint64)).view(np.int64)
-        self.starts, self.enough = starts, self.size >= min_words
+        self.starts, self.enough = np.cumsum(self.size) - self.size, self.size >= min_words
+        key = np.add.reduceat(mixed(self.words + np.uint64(1)), self.starts) if n else np.empty(0, np.uint64)
+        self.key = mixed(key ^ self.size.astype(np.uint64)).view(np.int64)
 
 
 def lines_in(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[Lines]:
-    """The batches' lines (columns id, text), about a million words at a time."""
-    known = Hashes()
+    """The batches' lines (columns id, text), some megabytes of text at a time."""
     for batch in batches:
-        ids, texts, size = [], [], 0
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(i)
-            texts.append(text.as_py())
-            size += len(texts[-1] or "")
-            if size > 8 << 20:
-                yield Lines(ids, texts, known, min_words)
-                ids, texts, size = [], [], 0
-        if ids:
-            yield Lines(ids, texts, known, min_words)
-
-
-def summed_slices(df: DataFrame, width: int, kind: type, how: Callable) -> np.ndarray:
-    """One array of SLICES * width values from partial (slice, at, n) blobs: combined by ``how`` (out, at, n)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        out = np.zeros(width, kind)
-        for at, n in zip(table["at"].to_pylist(), table["n"].to_pylist()):
-            how(out, np.frombuffer(at, np.uint32), np.frombuffer(n, np.uint32))
-        return pa.table({"slice": table["slice"][:1], "blob": pa.array([out.tobytes()], pa.binary())})
-
-    out = np.zeros(SLICES * width, kind)
-    for r in df.groupBy("slice").applyInArrow(run, "slice int, blob binary").collect():  # SLICES rows
-        out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.blob, kind)
-    return out
-
-
-def slices_of(at: np.ndarray, n: np.ndarray, width: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Sorted places and values cut into slices of ``width``."""
-    cuts = np.searchsorted(at, np.arange(SLICES + 1) * width)
-    for s in range(SLICES):
-        a, b = cuts[s], cuts[s + 1]
-        if b > a:
-            yield s, (at[a:b] - s * width).astype(np.uint32).tobytes(), n[a:b].astype(np.uint32).tobytes()
+        for part in text_slices(batch, 1):
+            yield Lines(part.column(0).to_numpy(zero_copy_only=False), part.column(1), min_words)
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
     """A map of ``FILTER_BITS`` truth values that holds for all keys (and few others)."""
-    width = FILTER_BITS // SLICES // 8
+    width = FILTER_BITS // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.unique(batch.column(0).to_numpy(zero_copy_only=False) & (FILTER_BITS - 1))
-            rows = list(slices_of(bits, np.zeros(len(bits)), width * 8))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["slice", "at", "n"])
+            yield slices_of(bits, np.ones(len(bits)), width)
 
-    def set_bits(out, at, _):
-        np.bitwise_or.at(out, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-
-    return summed_slices(keys.mapInArrow(run, "slice int, at binary, n binary"), width, np.uint8, set_bits)
+    bits = summed_slices(keys.mapInArrow(tidy(run), "slice int, blob binary"), width, np.zeros(FILTER_BITS, bool))
+    return np.packbits(bits, bitorder="little")
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -132,22 +91,26 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _survey(docs: DataFrame, min_words: int) -> DataFrame:
-    """Of every line its class (id, line, key); and partial counts of words (slice, at, n)."""
+    """Of every line its class (id, line, key); and partial counts of words (slice, blob)."""
     width = RARITY_BUCKETS // SLICES
-    names = ["id", "line", "key", "slice", "at", "n"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["id", "line", "key", "slice", "blob"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def counted() -> pa.RecordBatch:
+        def merged() -> tuple[np.ndarray, np.ndarray]:
             at = np.concatenate([a for a, _ in held])
             order = np.argsort(at, kind="stable")
             at, n = at[order], np.concatenate([n for _, n in held])[order]
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            rows = list(zip(*slices_of(at[first], np.add.reduceat(n, first), width)))
+            held[:] = [(at[first], np.add.reduceat(n, first))]
+            return held[0]
+
+        def counted() -> pa.RecordBatch:
+            rows = slices_of(*merged(), width)
             held.clear()
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(rows[0]), t) for t in types[:3]), *(pa.array(x, t) for x, t in zip(rows, types[3:]))], names=names)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(rows.num_rows, t) for t in types[:3]), *rows.columns], names=names)
 
         for lines in lines_in(batches, min_words):
             ok = lines.enough
@@ -156,71 +119,108 @@ def _survey(docs: DataFrame, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(lines.doc[ok]), pa.array(lines.number[ok]), pa.array(lines.key[ok]), *(pa.nulls(n, t) for t in types[3:])], names=names)
             if len(lines.words):
                 held.append(np.unique((lines.words & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64), return_counts=True))
-            if sum(len(a) for a, _ in held) > 4_000_000:
+            if sum(len(a) for a, _ in held) > 1_000_000 and len(merged()[0]) > 500_000:
                 yield counted()
         if held:
             yield counted()
 
-    return docs.mapInArrow(run, "id long, line int, key long, slice int, at binary, n binary")
+    return docs.mapInArrow(tidy(run), "id long, line int, key long, slice int, blob binary")
 
 
 ROW = np.dtype([("word", "<u8"), ("key", "<i8"), ("id", "<i8"), ("m0", "<u8"), ("m1", "<u8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4")])
 
 
-def _prefixes(docs: DataFrame, min_words: int, rarity, buckets: int) -> DataFrame:
-    """bucket, blob: rows of the prefix words that more than one line may have, by bucket of the word."""
+def prefix_rows(lines: Lines, counts: np.ndarray) -> np.ndarray:
+    """Of every line the rows of its prefix words that more than one line may have."""
+    n = counts[(lines.words & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64)]
+    order = np.lexsort((lines.words, n, lines.owner))
+    owner, words, n = lines.owner[order], lines.words[order], n[order]
+    at = np.arange(len(owner)) - lines.starts[owner]
+    size = lines.size[owner]
+    prefix = size - (4 * size + 4) // 5 + 1
+    maps = []
+    for k in range(2):  # each word has one of 128 bits
+        bit = np.uint64(1) << ((words >> np.uint64(3)) & np.uint64(63))
+        bit = np.where((words & np.uint64(1)) == k, bit, np.uint64(0))
+        maps.append(np.bitwise_or.reduceat(bit, lines.starts) if len(bit) else bit)
+    use = (at < prefix) & (n > 1) & lines.enough[owner]
+    rows = np.empty(int(use.sum()), ROW)
+    owner = owner[use]
+    rows["word"], rows["key"], rows["id"], rows["line"] = words[use], lines.key[owner], lines.doc[owner], lines.number[owner]
+    rows["size"], rows["at"], rows["m0"], rows["m1"] = lines.size[owner], at[use], maps[0][owner], maps[1][owner]
+    return rows
+
+
+def earliest(rows: np.ndarray) -> np.ndarray:
+    """Of a class's rows for a word the earliest, by word and class."""
+    rows = rows[np.lexsort((rows["line"], rows["id"], rows["key"], rows["word"]))]
+    return rows[np.concatenate([[True], (rows["word"][1:] != rows["word"][:-1]) | (rows["key"][1:] != rows["key"][:-1])])[: len(rows)]]
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """Rows sorted by word, by columns, words as differences, compressed."""
+    columns = [np.diff(rows["word"], prepend=np.uint64(0)), *(np.ascontiguousarray(rows[c]) for c in ROW.names[1:])]
+    # bytes of one place together, so that small numbers' zeros are
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in columns))
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    """The rows of ``packed``."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n, at = len(raw) // ROW.itemsize, 0
+    rows = np.empty(n, ROW)
+    for name in ROW.names:
+        width = ROW[name].itemsize
+        rows[name] = np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(ROW[name])
+        at += n * width
+    rows["word"] = np.cumsum(rows["word"])
+    return rows
+
+
+def _prefixes(docs: DataFrame, min_words: int, rarity, buckets: int, words=None) -> DataFrame:
+    """bucket, blob: packed rows by bucket of the word; only of ``words``, a broadcast filter, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = rarity.value
-        held, size = [], 0
+        held = []
 
         def out() -> pa.RecordBatch:
-            rows = np.concatenate(held)
+            rows = earliest(np.concatenate(held))
             bucket = (rows["word"] >> np.uint64(23)).astype(np.int64) % buckets
-            order = np.lexsort((rows["key"], rows["word"], bucket))
+            order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
-            new = np.concatenate([[True], (rows["word"][1:] != rows["word"][:-1]) | (rows["key"][1:] != rows["key"][:-1])])
-            # of a class's copies the earliest; ids and lines are compared as one pair
-            first = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            order = np.lexsort((rows["line"], rows["id"], group))
-            rows, bucket = rows[order][first], bucket[first]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "blob"])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([packed(rows[cuts[b] : cuts[b + 1]]) for b in full], pa.binary())], names=["bucket", "blob"])
 
         for lines in lines_in(batches, min_words):
-            n = counts[(lines.words & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64)]
-            order = np.lexsort((lines.words, n, lines.owner))
-            owner, words, n = lines.owner[order], lines.words[order], n[order]
-            at = np.arange(len(owner)) - lines.starts[owner]
-            size = lines.size[owner]
-            prefix = size - (4 * size + 4) // 5 + 1
-            maps = []
-            for k in range(2):
-                bit = np.uint64(1) << ((words >> np.uint64(6 * k + 3)) & np.uint64(63))
-                bit = np.where((words & np.uint64(1)) == k, bit, np.uint64(0))  # each word has one of the 128 bits
-                maps.append(np.bitwise_or.reduceat(bit, lines.starts) if len(bit) else bit)
-            use = (at < prefix) & (n > 1) & lines.enough[owner]
-            rows = np.empty(int(use.sum()), ROW)
-            owner = owner[use]
-            rows["word"], rows["key"], rows["id"], rows["line"] = words[use], lines.key[owner], lines.doc[owner], lines.number[owner]
-            rows["size"], rows["at"], rows["m0"], rows["m1"] = lines.size[owner], at[use], maps[0][owner], maps[1][owner]
-            held.append(rows)
-            if sum(map(len, held)) > 1_500_000:
+            rows = prefix_rows(lines, rarity.value)
+            held.append(rows if words is None else rows[passes(words.value, rows["word"].astype(np.int64))])
+            if sum(map(len, held)) > 400_000:
                 yield out()
-                held = []
         if sum(map(len, held)):
             yield out()
 
-    return docs.mapInArrow(run, "bucket int, blob binary")
+    return docs.mapInArrow(tidy(run), "bucket int, blob binary")
+
+
+def _words_of(docs: DataFrame, min_words: int, rarity, keys: DataFrame):
+    """A broadcast filter of the prefix words of the classes with these keys."""
+    context = docs.sparkSession.sparkContext
+    wanted = context.broadcast(key_filter(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines in lines_in(batches, min_words):
+            rows = prefix_rows(lines, rarity.value)
+            found = np.unique(rows["word"][passes(wanted.value, rows["key"])]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["word"])
+
+    return wanted, context.broadcast(key_filter(docs.mapInArrow(tidy(run), "word long")))
 
 
 def candidates(rows: np.ndarray, most: int | None, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Later and earlier classes that may be similar, and the classes that had more than ``most``."""
-    order = np.lexsort((rows["line"], rows["id"], rows["key"], rows["word"]))
-    rows = rows[order]
-    rows = rows[np.concatenate([[True], (rows["word"][1:] != rows["word"][:-1]) | (rows["key"][1:] != rows["key"][:-1])])] if len(rows) else rows
+    rows = earliest(rows)
     rows = rows[np.lexsort((rows["size"], rows["word"]))]
     word, size, at, m0, m1, key = (np.ascontiguousarray(rows[c]) for c in ("word", "size", "at", "m0", "m1", "key"))
     rank = np.empty(len(rows), np.int64)
@@ -272,15 +272,27 @@ def _pairs(prefixes: DataFrame, most: int | None, wanted) -> DataFrame:
     """later, earlier (null: later had more candidates than were sent), each pair once."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x, ROW) for x in table["blob"].to_pylist()])
+        rows = np.concatenate([unpacked(x) for x in table["blob"].to_pylist()])
         a, b, more = candidates(rows, most, wanted.value if wanted is not None else None)
         return pa.table({"later": pa.array(np.concatenate([a, more]), pa.int64()), "earlier": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(more), pa.int64())])})
 
     return prefixes.groupBy("bucket").applyInArrow(run, "later long, earlier long").distinct()
 
 
+def five_bytes(words: np.ndarray) -> bytes:
+    """40-bit values, five bytes each."""
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def from_five_bytes(blob: bytes) -> np.ndarray:
+    """The values of ``five_bytes``."""
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
 def _sets(docs: DataFrame, min_words: int, keys: DataFrame) -> DataFrame:
-    """key, words (a blob of sorted hashes) of the classes with these keys (and few others)."""
+    """key, words (a blob of sorted 40-bit hashes) of the classes with these keys (and few others)."""
     wanted = docs.sparkSession.sparkContext.broadcast(key_filter(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,10 +303,10 @@ def _sets(docs: DataFrame, min_words: int, keys: DataFrame) -> DataFrame:
             if len(sent) > 1_000_000:
                 sent.clear()
             if use:
-                blobs = [lines.words[lines.starts[i] : lines.starts[i] + lines.size[i]].tobytes() for i in use]
+                blobs = [five_bytes(lines.words[lines.starts[i] : lines.starts[i] + lines.size[i]]) for i in use]
                 yield pa.RecordBatch.from_arrays([pa.array(lines.key[use]), pa.array(blobs, pa.binary())], names=["key", "words"])
 
-    return docs.mapInArrow(run, "key long, words binary").groupBy("key").agg(F.max("words").alias("words"))
+    return docs.mapInArrow(tidy(run), "key long, words binary").groupBy("key").agg(F.max("words").alias("words"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -304,35 +316,35 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                a, b = from_five_bytes(x.as_py()), from_five_bytes(y.as_py())
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 keep.append(9 * int((b[at] == a).sum()) >= 4 * (len(a) + len(b)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["later", "earlier"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("key").alias("later"), F.col("words").alias("a"))
     right = sets.select(F.col("key").alias("earlier"), F.col("words").alias("b"))
-    return pairs.join(left, "later").join(right, "earlier").select("later", "earlier", "a", "b").mapInArrow(similar, "later long, earlier long")
+    return pairs.join(left, "later").join(right, "earlier").select("later", "earlier", "a", "b").mapInArrow(tidy(similar), "later long, earlier long")
 
 
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, line (from 0) of every line that repeats or resembles an earlier one."""
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     inner = docs.select(_id(id_col).alias("id"), F.col(text_col).alias("text"))
     survey = settle(_survey(inner, min_words))
-
-    def add(out, at, n):
-        out[at] += n
-
-    rarity = context.broadcast(summed_slices(survey.filter("slice is not null").select("slice", "at", "n"), RARITY_BUCKETS // SLICES, np.uint32, add))
+    counts = survey.filter("slice is not null").select("slice", "blob")
+    rarity = context.broadcast(summed_slices(counts, RARITY_BUCKETS // SLICES, np.zeros(RARITY_BUCKETS, np.uint32)))
     lines = survey.filter("slice is null").select("id", "line", "key")
-    prefixes = _prefixes(inner, min_words, rarity, 3 * scaled_partitions(docs.sparkSession))
+    buckets = scaled_partitions(docs.sparkSession, 3)
+    prefixes = _prefixes(inner, min_words, rarity, buckets)
     tried = settle(_pairs(prefixes, FIRST_TRIES, None))
     pairs = tried.filter("earlier is not null")
     sets = settle(_sets(inner, min_words, pairs.select(F.explode(F.array("later", "earlier")).alias("key"))))
     matched = settle(_verified(pairs, sets).select("later").distinct())
     again = settle(tried.filter("earlier is null").select("later").distinct().join(matched, "later", "left_anti"))
     if not again.isEmpty():  # the few that had more candidates, and none of the first was similar
-        wanted = context.broadcast(key_filter(again))
+        wanted, words = _words_of(inner, min_words, rarity, again)
+        prefixes = _prefixes(inner, min_words, rarity, buckets, words)
         pairs = settle(_pairs(prefixes, None, wanted).join(again, "later", "left_semi").join(pairs, ["later", "earlier"], "left_anti"))
         sets = _sets(inner, min_words, pairs.select(F.explode(F.array("later", "earlier")).alias("key")))
         matched = matched.union(_verified(pairs, sets).select("later")).distinct()
