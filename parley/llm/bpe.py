@@ -30,11 +30,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import settle
+from parley.llm.common import settle, small_batches, tidy
 
 MAX_WORD_BYTES = 64
 #: Words a worker remembers before it starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 # The piece pattern of the tokenizer file, the order of bytes as printable characters.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -321,6 +321,10 @@ class Encoder:
         self.split = regex.compile(f"({special})") if special else None
         self.hints = {x[:2] for x in merges.special}
 
+    def forget(self) -> None:
+        """Drop all remembered words."""
+        self.new, self.old = {}, {}
+
     def learn(self, chunks: list[str]) -> None:
         """Remember the ids of new chunks: their words are looked up, then merged, all at once."""
         words: dict[bytes, int] = {}
@@ -402,7 +406,8 @@ def piece_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     yield out()
         yield out()
 
-    partial = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "piece string, n long")
+    small_batches(docs.sparkSession)
+    partial = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(count), "piece string, n long")
     return partial.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
@@ -468,8 +473,9 @@ def encode(
                     columns.append(pa.array(texts, pa.string()))
                 names = [f.split(" ")[0] for f in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        encoder.forget()  # the worker may go on to other work
 
-    out = inner.mapInArrow(run, schema)
+    out = inner.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *out.columns[width:])
 
 

@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.common import small_batches, tidy
+
 BUCKETS = 1 << 15
 SWITCH = 10.0
 LEAST_SHARE = 0.001  # of a language's letters in a script that it writes
 WORST = -12.0  # a word counts against a language by so much at most
-CACHE_WORDS = 300_000
-SLICE_CHARS = 16 << 20  # characters labelled at once
+CACHE_WORDS = 200_000
+SLICE_CHARS = 4 << 20  # characters labelled at once
 
 # First code points of script ranges, and the script that holds from there.
 SCRIPT_STARTS = [
@@ -117,7 +119,8 @@ def fit(train: DataFrame) -> Model:
                     yield from out()
         yield from out()
 
-    counts = train.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(run, "lang string, bucket int, n long")
+    small_batches(train.sparkSession)
+    counts = train.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(tidy(run), "lang string, bucket int, n long")
     table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x (BUCKETS + scripts) rows at most
     languages = sorted(table.lang.unique().tolist())
     n = np.zeros((BUCKETS + len(SCRIPTS), len(languages)))
@@ -213,5 +216,5 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                     yield label(batch.slice(start, i + 1 - start), texts)
                     start, size, texts = i + 1, 0, []
 
-    out = inner.mapInArrow(run, schema)
+    out = inner.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(prefix + c) for c in out.columns[width:]])

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.common import small_batches
+
 UNIT, HOP, RATE = 192, 96, 8000
 REACH = (1, 4)  # frames, frequencies
 FAN, MOST_FRAMES = 3, 32
@@ -103,6 +105,7 @@ def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def media(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_media: bool = True, with_pairs: bool = True) -> DataFrame:
     """Per row: ``keep``, the stored form's and payload's sizes and digests, feature; if wanted media, times, codes."""
+    small_batches(docs.sparkSession)
     inner = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     width = len(keep)
     own = ["n_bytes long", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string"]

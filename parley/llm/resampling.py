@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import SLICES, hashed_words, mixed, settle, slices_of, summed_slices, text_slices
+from parley.llm.common import hashed_words, mixed, settle, SLICES, slices_of, small_batches, summed_slices, text_slices
 from parley.llm.sharding import with_position
 
 BUCKETS = 1 << 20
@@ -44,25 +44,21 @@ def fit(docs: DataFrame, good_ids: DataFrame, target_docs: int = TARGET_DOCS) ->
     width = 2 * BUCKETS // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, BUCKETS), np.uint32)
+        held = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             for part in text_slices(batch, 1):
                 doc, bucket = grams(part.column(1))
                 ids = np.array([-1 if x is None else x for x in part.column(0).to_pylist()], np.int64)
                 target = (np.isin(ids, shared.value) & ~np.array(part.column(0).is_null(), bool))[doc]
-                held[0] += np.bincount(bucket, minlength=BUCKETS).astype(np.uint32)
-                held[1] += np.bincount(bucket[target], minlength=BUCKETS).astype(np.uint32)
+                held[0] += np.bincount(bucket, minlength=BUCKETS)
+                held[1] += np.bincount(bucket[target], minlength=BUCKETS)
         flat = held.reshape(-1)
         at = np.flatnonzero(flat)
-        rows = list(slices_of(at, flat[at], width))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["slice", "at", "n"])
+        yield slices_of(at, flat[at], width)
 
-    def add(out, at, n):
-        out[at] += n
-
-    partial = docs.select("doc_id", "text").mapInArrow(run, "slice int, at binary, n binary")
-    raw, target = summed_slices(partial, width, np.float64, add).reshape(2, BUCKETS)
+    small_batches(docs.sparkSession)
+    partial = docs.select("doc_id", "text").mapInArrow(run, "slice int, blob binary")
+    raw, target = summed_slices(partial, width, np.zeros(2 * BUCKETS)).reshape(2, BUCKETS)
     expected = raw / max(raw.sum(), 1) * target.sum()
     model = raw * (target + PRIOR) / (expected + PRIOR)
     total = max(model.sum(), 1e-9)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import scaled_partitions, settle
+from parley.llm.common import scaled_partitions, settle, small_batches, tidy
 
 SEED = 42
 LEAF = 64  # pairs of fingerprints below which node pairs are compared directly
@@ -69,8 +69,9 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, words: int = 1, id_col
             offsets = pa.array(np.arange(0, len(flat) + 1, words), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, fp array<long>")
 
 
 class Trie:
@@ -250,7 +251,7 @@ def links(distinct: DataFrame, words: int, blocks: int, budget: int, node_rows:
         if len(held):
             yield out(held)
 
-    return sorted_rows.mapInArrow(run, "a array<long>, b array<long>").distinct()
+    return sorted_rows.mapInArrow(tidy(run), "a array<long>, b array<long>").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
