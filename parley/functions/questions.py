@@ -101,3 +101,14 @@ def name_place(words: Column, name_words: Column) -> Column:
     n = F.size(words) - F.size(name_words)
     hits = F.filter(F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>")), lambda i: F.forall(F.zip_with(F.slice(words, i + 1, F.size(name_words)), name_words, spells_name), lambda x: x))
     return F.get(hits, F.lit(0))
+
+
+def cyrillic(word: Column) -> Column:
+    """A Latin spelling as the recognizer writes it: digraphs first, i after a vowel as й."""
+    # Latin digraphs and letters and their Cyrillic spelling.
+    digraphs = {"sh": "ш", "ch": "ч", "zh": "ж", "kh": "х", "ts": "ц", "ya": "я", "yu": "ю", "yo": "е", "j": "дж", "x": "кс"}
+    latin, letters = "abcdefghiklmnopqrstuvwyz", "абкдефгхиклмнопкрстуввйз"
+    out = F.regexp_replace(F.lower(word), "(?<=[aeou])i", "й")
+    for a, b in digraphs.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.translate(out, latin, letters)

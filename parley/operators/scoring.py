@@ -99,3 +99,78 @@ def difference_statistics(df: DataFrame, a: str, b: str) -> DataFrame:
     """``df`` with the largest and mean absolute difference of two arrays."""
     d = F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double"))
     return df.withColumn("max_abs", F.array_max(d)).withColumn("mean_abs", F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / F.size(d))
+
+
+def frames(spans: DataFrame, keys: list[str], name: str, frame_ms: int = 10) -> DataFrame:
+    """keys, frame, name: the set of a column's values in each frame that their spans fill."""
+    first, last = F.floor(F.col("start_ms") / frame_ms), F.floor(F.col("end_ms") / frame_ms) - 1
+    filled = spans.filter(last >= first).withColumn("frame", F.explode(F.sequence(first, last)))
+    return filled.groupBy(*keys, "frame").agg(F.collect_set(name).alias(name))
+
+
+def frame_scores(reference: DataFrame, hypothesis: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: frames spoken, found, missed, false, and with two speakers or more in the reference."""
+    a, b = frames(reference, keys, "speaker"), frames(hypothesis, keys, "label")
+    both = a.join(b, [*keys, "frame"], "full_outer")
+    has = lambda c: F.col(c).isNotNull()
+    return both.groupBy(*keys).agg(
+        F.count_if(has("speaker")).alias("spoken"),
+        F.count_if(has("speaker") & has("label")).alias("found"),
+        F.count_if(has("speaker") & ~has("label")).alias("missed"),
+        F.count_if(has("label") & ~has("speaker")).alias("false"),
+        F.count_if(F.size("speaker") > 1).alias("overlapped"),
+    )
+
+
+def threshold_sweep(pairs: DataFrame, keys: list[str], score: str, same: str, low: float, step: float, steps: int) -> DataFrame:
+    """keys, threshold, precision, recall of calling pairs the same from each threshold of a grid on."""
+    cell = F.greatest(F.lit(-1), F.least(F.lit(steps - 1), F.floor((F.col(score) - F.lit(low)) / F.lit(step)).cast("int")))
+    counted = pairs.groupBy(*keys, cell.alias("_c")).agg(F.count_if(F.col(same)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    grid = counted.select(*keys).distinct().withColumn("_c", F.explode(F.sequence(F.lit(-1), F.lit(steps - 1))))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_c"))
+    full = grid.join(counted, [*keys, "_c"], "left").fillna(0, ["_s", "_n"])
+    sums = full.select(*keys, "_c", F.sum("_s").over(w).alias("_right"), F.sum("_n").over(w).alias("_called"), F.sum("_s").over(Window.partitionBy(*keys)).alias("_all"))
+    return sums.filter("_c >= 0").select(*keys, F.round(F.lit(low) + F.lit(step) * F.col("_c"), 9).alias("threshold"), F.round(ratio(F.col("_right"), F.col("_called")), 9).alias("precision"), F.round(ratio(F.col("_right"), F.col("_all")), 9).alias("recall"))
+
+
+def leakage(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Leaked words over far words and errors over reference words, as percentages of sums."""
+    percent = lambda a, b: F.round(100 * F.try_divide(F.sum(a), F.nullif(F.sum(b), F.lit(0))), 6)
+    return items.groupBy(*keys).agg(percent("leaked", "far_words").alias("leaked_pct"), percent("errors", "ref_words").alias("error_pct"))
+
+
+def split_errors(reference: list[str], hypothesis: list[str], boundary: int) -> tuple[int, int]:
+    """Word errors of the best alignment before and from a place of the reference; insertions count where they stand."""
+    n, m = len(reference), len(hypothesis)
+    cost = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i == 0 or j == 0:
+                cost[i][j] = i + j
+            else:
+                cost[i][j] = min(cost[i - 1][j - 1] + (reference[i - 1] != hypothesis[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    errors, i, j = [0, 0], n, m
+    while i or j:
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + (reference[i - 1] != hypothesis[j - 1]):
+            errors[i - 1 >= boundary] += reference[i - 1] != hypothesis[j - 1]
+            i, j = i - 1, j - 1
+        elif i and cost[i][j] == cost[i - 1][j] + 1:
+            errors[i - 1 >= boundary] += 1
+            i -= 1
+        else:
+            errors[i >= boundary and boundary < n] += 1
+            j -= 1
+    return errors[0], errors[1]
+
+
+def part_error_rates(items: DataFrame) -> DataFrame:
+    """lang, position, words, errors, wer of two-part items (columns ref, hyp, boundary, langs)."""
+
+    @F.udf("array<int>")
+    def both(ref, hyp, boundary):  # once per item; the alignment has no built-in form
+        return list(split_errors(ref, hyp or [], boundary))
+
+    scored = items.withColumn("_e", both("ref", "hyp", "boundary"))
+    part = lambda k, words: F.struct(F.get("langs", F.lit(k)).alias("lang"), F.lit(k).alias("position"), words.alias("words"), F.get("_e", F.lit(k)).alias("errors"))
+    parts = scored.select(F.inline(F.array(part(0, F.col("boundary").cast("int")), part(1, (F.size("ref") - F.col("boundary")).cast("int")))))
+    return parts.groupBy("lang", "position").agg(F.sum("words").alias("words"), F.sum("errors").alias("errors"), F.round(F.try_divide(F.sum("errors"), F.sum("words")), 9).alias("wer"))

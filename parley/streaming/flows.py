@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -76,11 +75,12 @@ def current_only(sink: Callable[[DataFrame, int], None], generation: Callable[[]
 
 def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Processes what is there into a table in memory and returns it, for tests and small jobs."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
     query = writer.start()
-    limit = time.time() + 300
-    while query.isActive and time.time() < limit:
-        query.awaitTermination(5)
+    try:
+        query.processAllAvailable()  # processing-time timers would keep an availableNow query going
+    finally:
+        query.stop()
     return stream.sparkSession.table(name)

@@ -186,3 +186,23 @@ def test_audio_measures():
     assert audio.alignment(curve, rng.normal(size=400), 40) is None
     assert audio.echo_loss(noise, noise * 0.1) == pytest.approx(20, abs=1e-6)
     assert audio.si_sdr(noise * 3, noise) > 80
+
+
+def test_rechunking_and_jumps():
+    from parley.streaming.chunks import Rechunker
+
+    k = Rechunker()
+    steady = [c for i in range(10) for c in k.feed(100 + i * 100, [0.1] * 1600)]
+    assert [a for a, _ in steady] == [i * 32 for i in range(31)] and all(len(s) == 512 for _, s in steady)
+    jumped = [c for i in range(30) for c in k.feed(2100 + i * 100, [0.1] * 1600)]
+    starts = [a for a, _ in jumped]
+    assert starts[-1] > 4_800 and max(np.diff(starts)) >= 900 and starts == sorted(starts)
+    assert len(k.finish()) <= 1
+
+
+def test_errors_are_split_at_the_boundary():
+    from parley.operators.scoring import split_errors
+
+    assert split_errors("a b c d".split(), "a x c".split(), 2) == (1, 1)
+    assert split_errors("a b".split(), "a b z".split(), 1) == (0, 1)
+    assert split_errors("a b".split(), [], 1) == (1, 1)
