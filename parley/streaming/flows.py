@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -73,14 +74,22 @@ def current_only(sink: Callable[[DataFrame, int], None], generation: Callable[[]
     return run
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Processes what is there into a table in memory and returns it, for tests and small jobs."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def run_once(stream: DataFrame, name: str, mode: str = "append", wait_s: float = 120.0) -> DataFrame:
+    """Processes what is there into a table in memory and returns it, for tests and small jobs.
+
+    Processing-time timers make batches without end, so the query is stopped after one without input.
+    """
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    limit = time.time() + wait_s
     try:
-        query.processAllAvailable()  # processing-time timers would keep an availableNow query going
+        while time.time() < limit:
+            seen = [p["numInputRows"] for p in query.recentProgress]
+            if query.exception() is not None or (any(seen) and seen[-1] == 0):
+                break
+            time.sleep(0.2)
     finally:
+        failed = query.exception()
         query.stop()
+    if failed is not None:
+        raise failed
     return stream.sparkSession.table(name)
