@@ -1,14 +1,18 @@
 """Language-model scores: Katz backoff over word bigrams with Good-Turing discounts.
 
 Tokens are words (A-Z lowered, white space dropped) and one end per text; a word is known by its
-64-bit hash. All words of the training texts are counted into a partitioned table. Words with at
-least the share ``MIN_SHARE`` of all tokens are at most 1 / ``MIN_SHARE`` in number, whatever the
-input's size; bigrams of these words are counted over all training texts, and those of at least the
-same share are kept, by the usual pruning of n-gram models. A kept bigram has its discounted
-probability; any other token backs off to its unigram probability times the history's weight, which
-is chosen so that the probabilities after every history add up to one exactly. Unigram
-probabilities are Good-Turing discounted and leave the rest to one unknown word. The small kept
-tables are broadcast; the counts of all rarer words are joined by Spark.
+64-bit hash. All words and all bigrams of the training texts are counted into partitioned tables and
+none is pruned, so the model grows with its texts. A seen bigram has its discounted probability; any
+other token backs off to its unigram probability times the history's weight, which is chosen so that
+the probabilities after every history add up to one exactly. Unigram probabilities are Good-Turing
+discounted and leave the rest to one unknown word.
+
+Words with at least the share ``MIN_SHARE`` of all tokens are common: at most 1 / ``MIN_SHARE`` of
+them exist at any size, so their counts and backoff weights are broadcast and they go by their place
+there. All else is joined by Spark: a text's score is the sum of unigram logs and backoff weights,
+plus for each seen bigram what it differs from these, so that one table of (history, word, value)
+answers all. Texts ask for each of their slice's different pairs once. The share only decides what
+is joined, never a result.
 
 Cases: a null text counts as empty (one token, its end); an empty training set knows no word, and
 the unknown word then has probability one; texts are scored whole; repeated rows are scored each;
@@ -24,17 +28,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import stored
+from parley.llm.common import stored, tidy
 
 MIN_SHARE = 2.0**-21
 GT_MOST = 5  # counts up to this one are discounted
 CACHE_WORDS = 400_000
-PAIR_BITS = 22
+SLICE = 2000  # texts that share their pairs; their places fit 16 bits
+HELD = 2_000_000  # rows summed in a task before they go out
+#: Codes of common words are their places; these follow, and rarer words go by their hashes.
+START, UNIGRAM, BACKOFF, OWN = range(1 << 22, (1 << 22) + 4)
 
 
 def word_hash(word: bytes) -> int:
@@ -106,6 +114,14 @@ def discounts(counts_of_counts: dict[int, int]) -> np.ndarray:
     return out
 
 
+def discounted(factors: np.ndarray, count) -> F.Column:
+    """A count times its factor, as a column expression."""
+    d = F.lit(1.0)
+    for r in range(GT_MOST, 0, -1):
+        d = F.when(count == r, F.lit(float(factors[r]))).otherwise(d)
+    return d * count
+
+
 @dataclass
 class Unigrams:
     """Discounted unigram probabilities by count, and the unknown word's."""
@@ -133,63 +149,49 @@ class Unigrams:
         d = np.where(count > GT_MOST, 1.0, self.factors[np.minimum(count, GT_MOST)])
         return np.where(count > 0, self.scale * d * count / max(self.total, 1), self.unknown)
 
-    def log_p_column(self, count) -> F.Column:
-        """log10 of the same as a column expression."""
-        d = F.lit(1.0)
-        for r in range(GT_MOST, 0, -1):
-            d = F.when(count == r, F.lit(float(self.factors[r]))).otherwise(d)
-        return F.when(count > 0, F.log10(F.lit(self.scale / max(self.total, 1)) * d * count)).otherwise(F.lit(math.log10(self.unknown)))
+    def p_column(self, count) -> F.Column:
+        """The same as a column expression."""
+        return F.when(count > 0, F.lit(self.scale / max(self.total, 1)) * discounted(self.factors, count)).otherwise(F.lit(self.unknown))
 
 
 @dataclass
 class Model:
-    """The kept tables: words by hash, bigram log probabilities by key, backoff weights by history."""
+    """Common words by hash, their counts and backoff weights, and the unigrams' discounts."""
 
     words: np.ndarray
     counts: np.ndarray
-    pairs: np.ndarray
-    pair_log: np.ndarray
     backoff_log: np.ndarray  # one more than words: the last is the text's start
     unigrams: Unigrams
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        """Each hash's place among the kept words, -1 if it is rarer."""
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's place among the common words, itself if it is rarer."""
         if not len(self.words):
-            return np.full(len(hashes), -1)
+            return hashes
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
+        return np.where(self.words[at] == hashes, at, hashes)
 
-    def histories(self, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The place before each token; the start's at a text's first."""
-        out = np.concatenate([[-1], places[:-1]])[: len(places)]
-        out[starts[:-1]] = len(self.words)
-        return out
 
+def is_common(code):
+    """Whether codes are of common words or the start; for arrays and columns."""
+    return (code >= 0) & (code <= START)
 
-def backoff(pairs: np.ndarray, counts: np.ndarray, history_totals: np.ndarray, word_p: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of kept bigrams' probabilities and of all histories' weights, exactly normalised."""
-    h, w = pairs >> PAIR_BITS, pairs & ((1 << PAIR_BITS) - 1)
-    n = len(history_totals)
-    discounted = np.where(counts > GT_MOST, 1.0, factors[np.minimum(counts, GT_MOST)]) * counts
-    kept = np.bincount(h, discounted, n)
-    totals = np.maximum(history_totals, 1).astype(float)
-    totals += kept > totals * (1 - 1e-9)  # nothing was freed: one more is made unseen
-    p = discounted / totals[h]
-    rest = 1 - np.bincount(h, p, n)
-    lower = 1 - np.bincount(h, word_p[w], n)
-    return np.log10(p), np.log10(rest / lower)
 
+def histories(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The code before each token; the start's at a text's first."""
+    out = np.concatenate([[START], codes[:-1]])[: len(codes)]
+    out[starts[:-1]] = START
+    return out
 
-def fit(train: DataFrame, min_share: float = MIN_SHARE) -> tuple[Model, DataFrame]:
-    """The model of the texts in the column text, and the table of all unigram counts (w, c)."""
-    unigrams = stored(unigram_counts(train).withColumn("bucket", F.pmod("w", F.lit(4)).cast("int")), "unigrams", ["bucket"])
-    by_count = unigrams.groupBy(F.least("c", F.lit(GT_MOST + 2)).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("t")).collect()
-    total, distinct = sum(r.t for r in by_count), sum(r.n for r in by_count)
-    base = Unigrams.of(total, distinct, {r.r: r.n for r in by_count})
-    least = max(1, math.ceil(min_share * total))
-    kept = unigrams.filter(F.col("c") >= least).select("w", "c").toPandas().sort_values("w")  # at most 1 / min_share rows
-    words, counts = kept.w.to_numpy(np.int64), kept.c.to_numpy(np.int64)
-    model = Model(words, counts, np.empty(0, np.int64), np.empty(0), np.zeros(len(words) + 1), base)
+
+def grouped(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal pairs together, and where each run of them starts."""
+    order = np.argsort(h * np.int64(-7046029254386353131) + w, kind="stable")
+    h, w = h[order], w[order]
+    return order, np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])[: len(h)])
+
+
+def pair_counts(train: DataFrame, model: Model) -> DataFrame:
+    """h, w, c of all bigrams by code, summed within tasks."""
     shared = train.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,44 +199,77 @@ def fit(train: DataFrame, min_share: float = MIN_SHARE) -> tuple[Model, DataFram
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _ in held])
-            n = np.concatenate([n for _, n in held])
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.add.reduceat(n, first))], names=["key", "c"])
+            h, w, c = summed(*map(np.concatenate, zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(c)], names=["h", "w", "c"])
+
+        def summed(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            order, first = grouped(h, w)
+            return h[order][first], w[order][first], np.add.reduceat(c[order], first)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                hashes, starts = tokens_of(batch.column(0).slice(at, 2000), known)
-                places = model.places(hashes)
-                before = model.histories(places, starts)
-                both = (places >= 0) & (before >= 0)
-                held.append(np.unique(before[both] << PAIR_BITS | places[both], return_counts=True))
+            for at in range(0, batch.num_rows, SLICE):
+                hashes, starts = tokens_of(batch.column(0).slice(at, SLICE), known)
+                codes = model.codes(hashes)
+                held.append(summed(histories(codes, starts), codes, np.ones(len(codes), np.int64)))
                 size += len(held[-1][0])
-                if size > 2_000_000:
+                if size > HELD:
                     yield out()
                     held, size = [], 0
         if size:
             yield out()
 
-    pair_counts = train.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    bigrams = stored(pair_counts.withColumn("kept", F.col("c") >= least), "bigrams", ["kept"])
-    rare = bigrams.filter(F.col("c") <= GT_MOST + 1).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
-    top = bigrams.filter("kept").select("key", "c").toPandas().sort_values("key")  # at most 1 / min_share rows
-    pairs = top.key.to_numpy(np.int64)
-    texts = int(counts[np.searchsorted(words, END)]) if END in words else 0
-    logs = backoff(pairs, top.c.to_numpy(np.int64), np.append(counts, texts), base.p(counts), discounts({r.c: r.n for r in rare}))
-    return Model(words, counts, pairs, *logs, base), unigrams.select("w", "c")
+    return train.select("text").mapInArrow(tidy(run), "h long, w long, c long")
 
 
-def score(docs: DataFrame, model: Model, unigrams: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def fit(train: DataFrame, min_share: float = MIN_SHARE) -> tuple[Model, DataFrame]:
+    """The model of the texts in the column text, and the table (h, w, v, c) of all that is joined.
+
+    v is added to the score for a rarer word (h ``UNIGRAM``, with its count c), after a rarer history
+    (w ``BACKOFF``), and for a seen bigram beside its unigram and backoff logs.
+    """
+    spark = train.sparkSession
+    unigrams = stored(unigram_counts(train).withColumn("bucket", F.pmod("w", F.lit(4)).cast("int")), "unigrams", ["bucket"])
+    by_count = unigrams.groupBy(F.least("c", F.lit(GT_MOST + 2)).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("t")).collect()
+    total, distinct = sum(r.t for r in by_count), sum(r.n for r in by_count)
+    base = Unigrams.of(total, distinct, {r.r: r.n for r in by_count})
+    least = max(1, math.ceil(min_share * total))
+    common = unigrams.filter(F.col("c") >= least).select("w", "c").toPandas().sort_values("w")  # at most 1 / min_share rows
+    words, counts = common.w.to_numpy(np.int64), common.c.to_numpy(np.int64)
+    model = Model(words, counts, np.zeros(len(words) + 1), base)
+    rarer = unigrams.filter(F.col("c") < least).select("w", "c")
+    places = spark.createDataFrame(pa.table({"w": pa.array(np.arange(len(words))), "u_common": pa.array(counts)}))
+
+    # bigrams of a rarer word are dealt by it, so that its count joins without another exchange; others spread
+    deal = F.when(is_common(F.col("w")), F.pmod(F.xxhash64("h", "w"), F.lit(1 << 16))).otherwise(F.col("w")).alias("r")
+    counted = pair_counts(train, model).select(deal, "h", "w", "c").repartition("r").groupBy("r", "h", "w").agg(F.sum("c").alias("c"))
+    with_rarer = counted.join(rarer.select(F.col("w").alias("r"), F.col("c").alias("u")).hint("shuffle_hash"), "r", "left")
+    with_all = with_rarer.join(F.broadcast(places), "w", "left")
+    pairs = stored(with_all.select("h", "w", "c", F.coalesce("u", "u_common").alias("u"), is_common(F.col("h")).cast("int").alias("common_h")), "bigrams", ["common_h"])
+    few = pairs.filter(F.col("c") <= GT_MOST + 1).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
+    cut = discounted(discounts({r.c: r.n for r in few}), F.col("c"))
+
+    sums = pairs.groupBy("h", "common_h").agg(F.sum("c").cast("double").alias("t"), F.sum(cut).alias("kept"), F.sum(base.p_column(F.col("u"))).alias("lower"))
+    # where nothing was freed, one more is made unseen
+    weighed = sums.withColumn("t", F.col("t") + (F.col("kept") > F.col("t") * (1 - 1e-9)).cast("int"))
+    weights = stored(weighed.select("h", "t", F.log10((1 - F.col("kept") / F.col("t")) / (1 - F.col("lower"))).alias("b"), "common_h"), "weights", ["common_h"])
+    is_kept = F.col("common_h") == 1
+    kept = weights.filter(is_kept).select("h", "b").toPandas()  # at most 1 / min_share rows and the start
+    model.backoff_log[np.minimum(kept.h.to_numpy(np.int64), len(words))] = kept.b.to_numpy(float)
+
+    value = F.log10(cut / F.col("t")) - F.col("b") - F.log10(base.p_column(F.col("u")))
+    seen = pairs.filter(is_kept).drop("common_h").join(F.broadcast(weights.filter(is_kept).drop("common_h")), "h")
+    rare = pairs.filter(~is_kept).drop("common_h").join(weights.filter(~is_kept).drop("common_h").hint("shuffle_hash"), "h")
+    lookup = seen.unionByName(rare).select("h", "w", value.alias("v"), F.lit(0).cast("long").alias("c"))
+    lookup = lookup.union(weights.filter(~is_kept).select("h", F.lit(BACKOFF).cast("long"), "b", F.lit(0).cast("long")))
+    return model, lookup.union(rarer.select(F.lit(UNIGRAM).cast("long"), "w", F.log10(base.p_column(F.col("c"))), "c"))
+
+
+def score(docs: DataFrame, model: Model, lookup: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Per row: ``keep``, n_tokens, n_known, train_tokens, base_score, score."""
     base = model.unigrams
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("kept"), F.col(text_col).alias("text"))
-    kept_type = inner.schema["kept"].dataType
-    schema = f"id long, w long, n int, own struct<kept:{kept_type.simpleString()},n_tokens:long,n_known:long,base:double,score:double>"
+    own_type = f"struct<kept:{inner.schema['kept'].dataType.simpleString()},n_tokens:long,n_known:long,base:double,score:double>"
     total, distinct = base.total, base.distinct
     below = math.log10(total + 0.1 * (distinct + 1))
 
@@ -244,63 +279,95 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame, keep: tuple[str, .
         word_base = np.log10(model.counts + 0.1) - below
         next_id = TaskContext.get().partitionId() << 40
 
-        def table(part: pa.RecordBatch, first_id: int) -> pa.RecordBatch:
+        def tables(part: pa.RecordBatch, first_id: int) -> Iterator[pa.RecordBatch]:
             hashes, starts = tokens_of(part.column(1), known)
-            places, n = model.places(hashes), part.num_rows
-            before = model.histories(places, starts)
-            common, rare = places >= 0, places < 0
-            weight = np.where(before >= 0, model.backoff_log[before], 0.0)
-            logs = np.where(common, (word_log[places] if len(word_log) else 0.0), 0.0) + weight
-            if len(model.pairs):
-                key = before << PAIR_BITS | places
-                at = np.minimum(np.searchsorted(model.pairs, key), len(model.pairs) - 1)
-                seen = common & (before >= 0) & (model.pairs[at] == key)
-                logs[seen] = model.pair_log[at[seen]]
-            firsts = starts[:-1]
-            doc = np.repeat(np.arange(n), np.diff(starts))
-            sums = lambda x: np.add.reduceat(x, firsts)  # noqa: E731  every text has its end
-            based = np.where(common, word_base[places] if len(word_base) else 0.0, 0.0)
-            order = np.lexsort((hashes[rare], doc[rare]))
-            rw, rd = hashes[rare][order], doc[rare][order]
-            start = np.flatnonzero(np.concatenate([[True], (rw[1:] != rw[:-1]) | (rd[1:] != rd[:-1])])[: len(rw)])
-            times = np.diff(np.append(start, len(rw)))
+            codes, n = model.codes(hashes), part.num_rows
+            before = histories(codes, starts)
+            common, weighed = is_common(codes), is_common(before)
+            place = np.where(common, codes, 0)
+            logs = np.where(weighed, model.backoff_log[np.where(weighed, np.minimum(before, len(model.words)), 0)], 0.0)
+            based = np.zeros(len(codes))
+            if len(model.words):
+                logs += np.where(common, word_log[place], 0.0)
+                based += np.where(common, word_base[place], 0.0)
+            doc = np.repeat(np.arange(n, dtype=np.uint16), np.diff(starts))
+            sums = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731  every text has its end
             own = pa.StructArray.from_arrays(
                 [part.column(0), pa.array(np.diff(starts)), pa.array(sums(common.astype(np.int64))), pa.array(sums(based)), pa.array(sums(logs))],
                 names=["kept", "n_tokens", "n_known", "base", "score"],
             )
             ids = first_id + np.arange(n)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([ids, first_id + rd[start]])),
-                    pa.array(np.concatenate([ids * 2654435761, rw[start]])),
-                    pa.array(np.concatenate([np.zeros(n, np.int32), times.astype(np.int32)])),
-                    pa.concat_arrays([own, pa.nulls(len(start), own.type)]),
-                ],
-                names=["id", "w", "n", "own"],
-            )
+            names = ["id", "h", "w", "docs", "own"]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids * 2654435761), pa.array(np.full(n, OWN)), pa.nulls(n, pa.binary()), own], names=names)
+            rare, after = np.flatnonzero(~common), np.flatnonzero(~weighed)
+            h = np.concatenate([before, np.full(len(rare), UNIGRAM), before[after]])
+            w = np.concatenate([codes, codes[rare], np.full(len(after), BACKOFF)])
+            order, first = grouped(h, w)
+            doc = np.concatenate([doc, doc[rare], doc[after]])[order]
+            ends = np.append(first, len(doc)).astype(np.int32) * 2
+            listed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(doc.tobytes())])
+            h, w = h[order][first], w[order][first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), first_id)), pa.array(h), pa.array(w), listed, pa.nulls(len(first), own.type)], names=names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                yield table(part, next_id)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield from tables(part, next_id)
                 next_id += part.num_rows
 
-    # a text's own row has n = 0 and any key, so that these rows spread
-    rows = inner.mapInArrow(run, schema).join(unigrams, "w", "left")
-    count = F.when(F.col("n") > 0, F.coalesce("c", F.lit(0)))
-    parts = rows.select(
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "known", "base", "score", "own"]
+        held, size = [], 0
+
+        def summed(ids: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+            ids, at = np.unique(ids, return_inverse=True)
+            return ids, *[np.bincount(at, x, len(ids)) for x in columns]
+
+        def out() -> pa.RecordBatch:
+            ids, known, base, score = summed(*map(np.concatenate, zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.nulls(len(ids), own_kind)], names=names)
+
+        for batch in batches:
+            table = pa.table(batch)
+            own_kind = table.schema.field("own").type
+            own = table.filter(pc.is_null(table["docs"])).combine_chunks()
+            if own.num_rows:
+                zeros = np.zeros(own.num_rows)
+                yield pa.RecordBatch.from_arrays([own["id"].combine_chunks(), pa.array(zeros.astype(np.int64)), pa.array(zeros), pa.array(zeros), own["own"].combine_chunks()], names=names)
+            rows = table.filter(pc.is_valid(table["docs"]))
+            if not rows.num_rows:
+                continue
+            times = pc.binary_length(rows["docs"]).to_numpy() // 2
+            docs = np.frombuffer(b"".join(rows["docs"].to_pylist()), np.uint16)
+            spread = [np.repeat(rows[c].to_numpy(), times) for c in ("id", "known", "base", "score")]
+            held.append(summed(spread[0] + docs, *spread[1:]))
+            size += len(held[-1][0])
+            if size > HELD:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    asked = inner.mapInArrow(tidy(run), f"id long, h long, w long, docs binary, own {own_type}")
+    found = asked.join(lookup.hint("shuffle_hash"), ["h", "w"], "left")
+    single = F.col("h") == UNIGRAM
+    # bigrams that were never seen and unknown histories add nothing
+    found = found.filter(F.col("docs").isNull() | single | F.col("v").isNotNull())
+    count = F.coalesce("c", F.lit(0))
+    parts = found.select(
         "id",
+        "docs",
+        (single & (count > 0)).cast("long").alias("known"),
+        F.when(single, F.log10(count + F.lit(0.1)) - F.lit(below)).otherwise(0.0).alias("base"),
+        F.coalesce("v", F.lit(math.log10(base.unknown))).alias("score"),
         "own",
-        (F.when(count > 0, F.col("n")).otherwise(0)).cast("long").alias("known"),
-        (F.col("n") * (F.log10(count + F.lit(0.1)) - F.lit(below))).alias("base"),
-        (F.col("n") * base.log_p_column(count)).alias("score"),
-    )
+    ).mapInArrow(tidy(add), f"id long, known long, base double, score double, own {own_type}")
     summed = parts.groupBy("id").agg(F.max("own").alias("own"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
     return summed.select(
         *[F.col("own.kept")[f"k{i}"].alias(c) for i, c in enumerate(keep)],
         F.col("own.n_tokens").alias("n_tokens"),
         (F.col("own.n_known") + F.col("known")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("own.base") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
-        (F.col("own.score") + F.coalesce("score", F.lit(0.0))).alias("score"),
+        (F.col("own.base") + F.col("base")).alias("base_score"),
+        (F.col("own.score") + F.col("score")).alias("score"),
     )

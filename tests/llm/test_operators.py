@@ -305,6 +305,15 @@ def test_scores_with_few_kept_words(docs):
     assert all((a[i].n_known, a[i].n_tokens) == (b[i].n_known, b[i].n_tokens) and math.isclose(a[i].base_score, b[i].base_score, rel_tol=1e-9) for i in a)
 
 
+def test_scores_do_not_depend_on_the_share(docs):
+    """Every bigram counts, also those of words that are not broadcast."""
+    train = docs.filter("doc_id % 10 != 3")
+    whole = {r.doc_id: r for r in katz.score(docs, *katz.fit(train)).collect()}
+    for share in (0.01, 1.0):
+        got = {r.doc_id: r for r in katz.score(docs, *katz.fit(train, min_share=share)).collect()}
+        assert got.keys() == whole.keys() and all(got[i].n_known == r.n_known and math.isclose(got[i].score, r.score, rel_tol=1e-9) for i, r in whole.items())
+
+
 # 9 lines
 
 
