@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +48,24 @@ def containment(part: Column, whole: Column) -> Column:
     return F.when(F.size(mine) > 0, shared / F.size(mine)).otherwise(F.lit(0.0))
 
 
+def whole_containment(part: Column, whole: Column) -> Column:
+    """The same in time linear in the texts, for texts of any length."""
+
+    @F.pandas_udf("double")
+    def run(parts: pd.Series, wholes: pd.Series) -> pd.Series:
+        def counts(text: str) -> Counter[str]:
+            padded = f" {text} "
+            return Counter(padded[i : i + 3] for i in range(len(text))) if text else Counter()
+
+        found = []
+        for a, b in zip(parts, wholes):
+            mine = counts(a) if a is not None and b is not None else Counter()
+            found.append((mine & counts(b)).total() / mine.total() if mine else 0.0)
+        return pd.Series(found, dtype="float64")
+
+    return run(part, whole)
+
+
 def is_echo(mic: Column, call: Column, least: float = 0.6) -> Column:
     """Whether normalised microphone text repeats the call's: one word exactly, more by containment."""
     words = F.split(mic, " ")

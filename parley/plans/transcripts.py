@@ -56,6 +56,13 @@ FROM n JOIN n p ON n.conv_id = p.conv_id AND p.turn = n.turn - 1 LEFT JOIN s ON
 """
 
 
+def echo_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each turn's text is contained in the previous turn's, by trigrams of whole texts."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalized(F.col("text")).alias("t"))
+    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("t").alias("p"))
+    return rows.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.whole_containment(F.col("t"), F.col("p")), 9).alias("containment"))
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as one text of clocked lines, a turn every 41 seconds."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("meeting_id"), "role", "text", (F.col("turn") * 41_000).alias("start_ms"), F.col("turn").alias("id"))
@@ -161,5 +168,7 @@ SELECT item_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text)
 """
 
 NAMED = ["clean_texts", "normalized_texts", "token_totals", "echo_scores", "transcripts", "budgeted_suffix", "word_error_rate", "text_fractions", "display_names", "talk_time_labels", "slugs"]
-QUERIES = {n: globals()[n] for n in NAMED}
+#: Whole texts, tested by brute force; their namesakes with SQL twins take beginnings only.
+WHOLE = ["echo_scores_whole"]
+QUERIES = {n: globals()[n] for n in [*NAMED, *WHOLE]}
 ORACLES = {n: globals()[n.upper()] for n in NAMED}
