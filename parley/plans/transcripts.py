@@ -116,6 +116,14 @@ SELECT role, CAST(sum(ref_words) AS BIGINT) AS ref_words, CAST(sum(word_errors)
 """
 
 
+def word_error_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus error rates by role, each whole turn taken as a hypothesis of the whole next one."""
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " +"), lambda w: w != "")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", words.alias("hyp"))
+    nxt = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("hyp").alias("ref"))
+    return scoring.error_rates(rows.join(nxt, ["conv_id", "turn"]), ["role"])
+
+
 def text_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each role's texts, the shares with punctuation, capitals and digits, and the empty ones."""
     return scoring.text_fractions(table(spark, sf_dir, "conversations"), ["role"], "text")
@@ -169,6 +177,6 @@ SELECT item_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text)
 
 NAMED = ["clean_texts", "normalized_texts", "token_totals", "echo_scores", "transcripts", "budgeted_suffix", "word_error_rate", "text_fractions", "display_names", "talk_time_labels", "slugs"]
 #: Whole texts, tested by brute force; their namesakes with SQL twins take beginnings only.
-WHOLE = ["echo_scores_whole"]
+WHOLE = ["echo_scores_whole", "word_error_rate_whole"]
 QUERIES = {n: globals()[n] for n in [*NAMED, *WHOLE]}
 ORACLES = {n: globals()[n.upper()] for n in NAMED}
