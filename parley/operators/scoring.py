@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +81,11 @@ def equal_error_rate(pairs: DataFrame, keys: list[str], score: str, same: str, l
     """
     cell = F.greatest(F.lit(0), F.least(F.lit(steps), F.floor((F.col(score) - F.lit(low)) / F.lit(step)).cast("int") + 1))
     counted = pairs.groupBy(*keys, cell.alias("_c")).agg(F.count_if(F.col(same)).alias("_s"), F.count_if(~F.col(same)).alias("_d"))
+    return error_rate_of_cells(counted, keys, low, step, steps)
+
+
+def error_rate_of_cells(counted: DataFrame, keys: list[str], low: float = -0.2, step: float = 0.006, steps: int = 201) -> DataFrame:
+    """The same from the numbers of same (_s) and different (_d) pairs in each of the grid's cells (_c)."""
     grid = counted.select(*keys).distinct().withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     w = Window.partitionBy(*keys).orderBy("_c")
     full = grid.join(counted, [*keys, "_c"], "left").fillna(0, ["_s", "_d"])
@@ -86,6 +95,57 @@ def equal_error_rate(pairs: DataFrame, keys: list[str], score: str, same: str, l
     return sums.filter(F.col("_c") < steps).groupBy(*keys).agg(best).select(*keys, F.round(F.lit(low) + F.lit(step) * F.col("_b.c"), 9).alias("threshold"), F.round("_b.eer", 9).alias("eer"))
 
 
+PAIR_BLOCK = 8192  # vectors
+TILE_ROWS = 128  # whose scores are held at once
+
+
+def units(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each length, the places of its vectors and these at length one; others (score 0) are left out."""
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for at, v in enumerate(column):
+        x = np.array([np.nan if y is None else y for y in v.as_py() or []], np.float64)
+        if 0 < (n := np.sqrt(x @ x)) < np.inf:
+            found.setdefault(len(x), []).append((at, x / n))
+    return [(np.array([at for at, _ in rows]), np.stack([x for _, x in rows])) for _, rows in sorted(found.items())]
+
+
+def pair_cells(vectors: DataFrame, id_col: str, label: str, vector: str, low: float = -0.2, step: float = 0.006, steps: int = 201) -> DataFrame:
+    """_c, _s, _d over all pairs of rows with different ids, each pair once, by cosines rounded to six places.
+
+    Rows are dealt into blocks of bounded size; each pair of blocks is one task's tile, which sends its cells' counts
+    only. Rows without id or label are in no pair; cosines of null, empty, zero or not finite vectors are 0.
+    """
+    rows = vectors.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("l"), F.col(vector).alias("v"))
+    blocks = max(1, math.ceil(rows.count() / PAIR_BLOCK))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    side = lambda own, other, to: rows.select(*[F.col(c).alias(f"{c}_{own}") for c in ("id", "l", "v", "b")], F.col("b").alias(own), F.explode(to).alias(other))
+    left, right = side("x", "y", F.sequence("b", F.lit(blocks - 1))), side("y", "x", F.sequence(F.lit(0), "b"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        counts = np.zeros((2, steps + 1), np.int64)
+        if a.num_rows and b.num_rows:
+            ids, others = a["id_x"].to_numpy(), b["id_y"].to_numpy()
+            labels = pa.chunked_array([*a["l_x"].chunks, *b["l_y"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+            of_a, of_b = labels[: len(ids)], labels[len(ids) :]
+            parts = {x.shape[1]: (at, x) for at, x in units(b["v_y"])}
+            full = [(at, x, *parts[x.shape[1]]) for at, x in units(a["v_x"]) if x.shape[1] in parts]
+            one = a["b_x"][0].as_py() == b["b_y"][0].as_py()
+            for at in range(0, len(ids), TILE_ROWS):
+                s = slice(at, at + TILE_ROWS)
+                scores = np.zeros((len(ids[s]), len(others)))
+                for i, x, j, y in full:
+                    own = (i >= s.start) & (i < s.stop)
+                    scores[np.ix_(i[own] - at, j)] = x[own] @ y.T
+                use = ids[s, None] < others if one else ids[s, None] != others
+                cell = np.clip(np.floor((np.round(scores[use], 6) - low) / step).astype(np.int64) + 1, 0, steps)
+                same = (of_a[s, None] == of_b)[use]
+                counts += np.bincount(cell + np.where(same, 0, steps + 1), minlength=2 * steps + 2).reshape(2, -1)
+        return pa.table({"_c": pa.array(np.arange(steps + 1, dtype=np.int32)), "_s": pa.array(counts[0]), "_d": pa.array(counts[1])})
+
+    tiles = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(run, "_c int, _s long, _d long")
+    return tiles.groupBy("_c").agg(F.sum("_s").alias("_s"), F.sum("_d").alias("_d"))
+
+
 def by_duration(items: DataFrame, keys: list[str], duration_ms: str, wrong: str) -> DataFrame:
     """Wrong and all milliseconds by length: under 1 s, under 2 s, under 7 s, longer; with the share of speech."""
     ms = F.col(duration_ms)

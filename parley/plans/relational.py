@@ -152,6 +152,12 @@ SELECT round(-0.2 + 0.006 * i, 9) AS threshold, round((frr + far) / 2, 9) AS eer
 """
 
 
+def pair_error_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The equal error rate of same and different labels over all pairs of vectors."""
+    cells = scoring.pair_cells(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    return scoring.error_rate_of_cells(cells.withColumn("g", F.lit(1)), ["g"]).drop("g")
+
+
 def revenue_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and totals by status and priority with all subtotals."""
     cube = table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
@@ -213,5 +219,7 @@ SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n, round(sum(value),
 """
 
 NAMED = ["usage_totals", "metric_pivot", "real_time", "best_runs", "matched_subset", "duration_buckets", "hourly_levels", "smoothed_values", "nearest_centroid", "pair_error_rate", "revenue_cube", "nation_revenue", "without_orders", "json_props", "sessions"]
-QUERIES = {n: globals()[n] for n in NAMED}
+#: All pairs, tested by brute force; its namesake with an SQL twin takes those within blocks of ids only.
+WHOLE = ["pair_error_rate_whole"]
+QUERIES = {n: globals()[n] for n in [*NAMED, *WHOLE]}
 ORACLES = {n: globals()[n.upper()] for n in NAMED}
