@@ -11,7 +11,8 @@ an earlier line anywhere (by document id, then line number). Each class sends at
 no match is tried again against all of them, so nothing is missed and large groups of near copies
 do not make all pairs.
 
-Words are 40-bit hashes here. Lines with fewer than ``min_words`` different words always stay.
+Words are 40-bit hashes here. Lines with fewer than ``min_words`` different words always stay; the
+queries take 1, so that only blank lines do.
 
 Cases: a null text stays null and has no lines; rows with one id share their place, so repeated
 rows are treated alike; a null id comes first; empty and very long lines and texts are taken whole;

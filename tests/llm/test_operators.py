@@ -317,6 +317,22 @@ def test_scores_do_not_depend_on_the_share(docs):
 # 9 lines
 
 
+def test_short_lines_in_query_and_pipeline(spark, tmp_path):
+    """Lines of one to four different words go too, also long ones and text without blanks."""
+    import corpus_pipeline
+    from parley.llm import queries
+
+    texts = ["Les.\nAnd ornd.\n\nalpha beta gamma delta", "les.\nand ornd.\n\nalpha beta gamma delta omega\nda da da da da da", "\u6f22\u5b57\u8cc7\u6599\nda\nalpha beta gamma", "\u6f22\u5b57\u8cc7\u6599\nornd. and\nalpha beta zeta\nLes"]
+    table = spark.createDataFrame([(i, t, None, "s", 0, 0.0, 0, "", "", 0) for i, t in enumerate(texts)], SCHEMA)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_lines(table.collect(), min_words=1)
+    assert want == {(1, 0), (1, 1), (1, 3), (2, 1), (3, 0), (3, 1)}
+    got = queries.QUERIES["op9_lines"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, k) for r in got for k in r.removed} == want
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, table, str(tmp_path)).collect()}
+    assert left == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in want) for i, t in enumerate(texts)}
+
+
 def brute_lines(rows, min_words=5):
     seen, out = [], set()
     lines = sorted({(r.doc_id, k, frozenset(line.split())) for r in rows for k, line in enumerate((r.text or "").encode().lower().split(b"\n"))}, key=lambda x: x[:2])
