@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from parley.llm.common import scaled_partitions, settle, small_batches, tidy
 
@@ -277,7 +278,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(
+def _placed(
     docs: DataFrame,
     shingle_words: int = 4,
     words: int = 1,
@@ -285,20 +286,43 @@ def near_duplicates(
     budget: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
-) -> DataFrame:
-    """doc_id, fp, component_id (smallest id reachable over links within the budget) of every row."""
+) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp of every row; and fp, first (its smallest id), root of every fingerprint."""
     fps = settle(fingerprints(docs, shingle_words, words, id_col, text_col))
     classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(classes.select("fp"), words, blocks, budget))
+    return fps, classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, fp, component_id (smallest id reachable over links within the budget) of every row."""
+    fps, placed = _placed(docs, **how)
     # each component's smallest id, then each fingerprint's: both tables hold distinct fingerprints only
-    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = placed.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(of_fp, fps.fp == of_fp._fp).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with the same columns and one document of each group: that of the smallest id, once."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, words: int = 1, **how) -> DataFrame:
+    """``docs`` with the same columns and one document of each group: that of the smallest id, once.
+
+    Rows without id or with a repeated one are each judged by their own text's group.
+    """
+    fps, placed = _placed(docs, shingle_words, words, id_col=id_col, text_col=text_col, **how)
+    best = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("_kept"), F.col("fp").alias("_of"))).alias("b")
+    kept = placed.groupBy("root").agg(best).select("b._kept", "b._of")
+    shared = fps.groupBy(F.col("doc_id").alias("_id")).agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("_id is null or x <> y").select("_id")
+    # an id that stands for one text tells its row; of the others the fingerprints are computed anew
+    single = kept.join(shared, kept._kept.eqNullSafe(shared._id), "left_anti")
+    clear = docs.join(single, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+    doubtful = docs.join(shared, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(x.as_py(), shingle_words, words).view(np.int64).tolist() for x in batch.column(place)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "_fp"])
+
+    marked = doubtful.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("_fp", ArrayType(LongType()))]))
+    own = marked.join(kept, (F.col("_fp") == F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["_fp"])
+    return clear.unionByName(own.select(*docs.columns))

@@ -104,6 +104,15 @@ def test_one_of_each_group_stays(docs):
     assert 5 in ids and not {11, 12, 13} & set(ids) and {0, 1, 2, 3, 6} <= set(ids)
 
 
+def test_rows_without_own_ids_stay(spark):
+    """Null and repeated ids: each different text keeps a row, and copies keep one."""
+    rng = random.Random(8)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    rows = [(i, t, None, "s", 0, 0.0, 0, "", "", 0) for i, t in [(None, a), (None, b), (None, b), (None, e), (4, c), (4, d), (4, d), (5, e), (6, "x y z"), (6, "x y z")]]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA), shingle_words=5, words=4, blocks=21, budget=48)
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted([(0, a), (0, b), (4, c), (4, d), (5, e), (6, "x y z")])
+
+
 # 2 sharding
 
 
