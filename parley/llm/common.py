@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
+import re
 import sys
 import tempfile
 import uuid
@@ -19,11 +20,15 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
-        folder = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='parley-')}"
+        folder = context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='parley-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -71,6 +76,36 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def place_of(docs: DataFrame, id_col: str) -> Column:
+    """A long that orders rows by id: whole numbers themselves, other ids by their hash, null first."""
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.coalesce(F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit(-(1 << 63)))
+
+
+FILTER_WORDS = 1 << 18  # of 64 bits
+
+
+def split_by_keys(df: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``columns`` (longs) are surely not among ``keys``, and all others, none of them shuffled.
+
+    A map of ``FILTER_WORDS`` * 64 bits by hash is broadcast; where it is full, more rows are among the others.
+    """
+    bit = F.pmod(F.xxhash64(*columns), F.lit(FILTER_WORDS * 64))
+    word, bits, flag = (fresh(df, f"filter {x}") for x in ("word", "bits", "flag"))
+    marked = keys.select(F.shiftright(bit, 6).alias("w"), bit.alias("b")).selectExpr("w", "shiftleft(1L, cast(b & 63 AS int)) AS v").groupBy("w").agg(F.bit_or("v").alias("v"))
+    joined = df.withColumns({word: F.shiftright(bit, 6), flag: bit}).join(F.broadcast(marked.select(F.col("w").alias(word), F.col("v").alias(bits))), word, "left")
+    held = joined.withColumn(flag, F.expr(f"coalesce((shiftright(`{bits}`, cast(`{flag}` & 63 AS int)) & 1L) = 1L, false)"))
+    return tuple(held.filter(c).select(*df.columns) for c in (~F.col(flag), F.col(flag)))
+
+
 def fold_of(doc_id: Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
@@ -81,12 +116,7 @@ def scaled_partitions(spark: SparkSession, times: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * times
 
 
-# Words by 64-bit hashes, all at once: a polynomial over seeded values of the bytes, then mixed.
-_RNG = np.random.default_rng(20240229)
-_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]  # A-Z count as a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Words by 64-bit hashes, all at once: a polynomial over the bytes, then mixed.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -123,15 +153,23 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     bounds = np.frombuffer(offsets, wide)[texts.offset : texts.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
     bounds = bounds - bounds[0]
-    inside = ~_SPACE[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[bounds] = True
-    starts = np.flatnonzero(inside & np.concatenate([[True], edge[1:-1] | ~inside[:-1]])[: len(raw)])
-    ends = np.flatnonzero(inside & np.concatenate([edge[1:-1] | ~inside[1:], [True]])[-len(raw) :] if len(raw) else inside) + 1
-    up, down = _powers(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[raw] * up[: len(raw)])])
+    size = len(raw)
+    inside = np.zeros(size + 2, bool)
+    np.logical_and(raw != 0x20, raw - np.uint8(9) > 4, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[0::2].copy(), edges[1::2].copy()
+    if len(starts):  # a word does not go on in the next text
+        between = np.unique(bounds[1:-1])
+        word = np.searchsorted(starts, between) - 1
+        cut = (word >= 0) & (between < ends[word])
+        starts, ends = np.insert(starts, word[cut] + 1, between[cut]), np.insert(ends, word[cut], between[cut])
+    up, down = _powers(size + 1)
+    lower = raw + (raw - np.uint8(ord("A")) < 26) * np.uint8(32)
+    sums = np.zeros(size + 1, np.uint64)
+    np.multiply(lower, up[:size], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(bounds, starts, "right") - 1, starts, raw
+    return hashes, np.repeat(np.arange(n), np.diff(np.searchsorted(starts, bounds))), starts, raw
 
 
 def text_slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:

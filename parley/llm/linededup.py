@@ -1,22 +1,27 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words (A-Z lowered), and lines with one set are one class. Words are
-ordered by rarity, counted over all lines in ``RARITY_BUCKETS`` buckets by hash (any fixed order is
-right; the rarer its first words, the faster it is). Sets with a Jaccard similarity of 4/5 or more
-share a word of their prefixes, the rarest fifth and one. Classes meet at such words, and pairs
-that their lengths, the word's positions, or a 128-bit map of their words rule out are dropped.
-The others are verified on the sets themselves. A line goes if its class, or one similar to it, has
-an earlier line anywhere (by document id, then line number). Each class sends at most
-``FIRST_TRIES`` earlier candidates from a word, the likeliest ones; a class that had more and found
-no match is tried again against all of them, so nothing is missed and large groups of near copies
-do not make all pairs.
-
-Words are 40-bit hashes here. Lines with fewer than ``min_words`` different words always stay; the
-queries take 1, so that only blank lines do.
-
-Cases: a null text stays null and has no lines; rows with one id share their place, so repeated
-rows are treated alike; a null id comes first; empty and very long lines and texts are taken whole;
-an empty table gives no rows; all other columns pass through.
+A line is the set of its words (A-Z lowered, known by 64-bit hashes), and lines with one set are one
+class. Words are ordered by rarity, counted over all lines in ``RARITY_BUCKETS`` buckets by hash (any
+fixed order is right; the rarer its first words, the faster it is). Sets with a Jaccard similarity of
+4/5 or more share a word of their prefixes, the rarest fifth and one. Classes meet at such words,
+and pairs that their lengths, the word's positions, or parities of their words rule out are dropped:
+each word turns over one of 128 bits, shared words cancel out, so two sets differ in at least as many
+words as bits. A line goes if its class, or one similar to it, has an earlier line anywhere.
+
+Classes meet in blocks of words, where each later class sends its likeliest earlier candidates,
+``TRIES`` at most, and these are verified on the sets themselves. Where a class had more at a word and
+none of the sent ones was similar, the sets of it and of the word's unsent candidates meet there whole. So nothing is missed, and groups of near copies never make all their pairs.
+A word that ``HOT_LINES`` lines or more have is no place to meet: its lines meet at its pairs with
+another word of the prefix, which is one longer then (such sets share two words of these).
+
+Order and places: documents by id (null first; ids that are not whole numbers by their 64-bit hash),
+different texts of one id by their texts' hash, then line numbers from 0. Rows of one id and one text
+share their place, so repeated rows are treated alike.
+
+Cases: a null text stays null and has no lines; lines with fewer than ``min_words`` different words
+stay, blank ones always; a line of any length is judged; a line without white space, as in Chinese or
+Thai, is one word; empty and very long lines and texts are taken whole; an empty table gives no rows;
+all other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,139 +35,190 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import hashed_words, mixed, scaled_partitions, settle, SLICES, slices_of, small_batches, summed_slices, text_slices, tidy
+from parley.llm.common import fresh, hashed_words, mixed, place_of, scaled_partitions, settle, SLICES, slices_of, small_batches, stored, summed_slices, text_slices, tidy
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 RARITY_BUCKETS = 1 << 22
-FILTER_BITS = 1 << 26
-FIRST_TRIES = 1
-WORD_MASK = np.uint64((1 << 40) - 1)
+FILTER_BITS = 1 << 26  # a filter that is full passes more rows than needed, never fewer
+HOT_LINES = 1 << 15
+TRIES = 4
+MEET = 4  # sets of fewer words are similar to equal ones only
+PLACE = ["place", "mark", "line"]
 
 
-class Lines:
-    """The lines of some texts that have ``min_words`` words or more, as sets of word hashes."""
+def rarity_class(counts: np.ndarray) -> np.ndarray:
+    """Eight bits that rise with the counts: no lines and one line 0, two lines 8, then eight steps a doubling."""
+    return ((np.maximum(counts, 1).astype(np.float32).view(np.uint32) >> 20) - (127 << 3)).astype(np.uint8)
+
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array, min_words: int):
-        hashes, doc, start, raw = hashed_words(texts)
-        breaks = np.cumsum(raw == 10)
-        number = breaks[start] if len(start) else start  # line breaks before the word, over all texts
-        new = np.concatenate([[True], (number[1:] != number[:-1]) | (doc[1:] != doc[:-1])])[: len(start)]
+class Lines:
+    """The lines of some rows (place, hash, text) that have words, as sets of word hashes by rarity."""
+
+    def __init__(self, rows: pa.RecordBatch, shared: np.ndarray, rarity: np.ndarray | None = None):
+        hashes, doc, start, raw = hashed_words(rows.column(2))
+        breaks = np.cumsum(raw == 10, dtype=np.int32)
+        number = breaks[start]  # line breaks before the word, over all texts
+        new = np.ones(len(start), bool)
+        new[1:] = (number[1:] != number[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(start)))
-        many = count >= min_words
-        lengths = np.array([x or 0 for x in pc.binary_length(texts).to_pylist()], np.int64)
-        ends = np.cumsum(lengths)
-        before = np.concatenate([[0], breaks])[ends - lengths]  # breaks before the text
-        self.doc, self.number = ids[doc[first]][many], (number[first] - before[doc[first]])[many].astype(np.int32)
-        n = int(many.sum())
-        owner = np.repeat(np.cumsum(many) - 1, count).astype(np.uint64)
-        use = np.repeat(many, count)
-        both = np.sort(owner[use] << np.uint64(40) | (hashes[use] & WORD_MASK))
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
-        self.owner, self.words = (both >> np.uint64(40)).astype(np.int64), both & WORD_MASK
-        self.size = np.bincount(self.owner, minlength=n)
-        self.starts, self.enough = np.cumsum(self.size) - self.size, self.size >= min_words
-        key = np.add.reduceat(mixed(self.words + np.uint64(1)), self.starts) if n else np.empty(0, np.uint64)
+        owner = (np.cumsum(new) - 1).astype(np.uint64)
+        # by line, rarity and hash at once; the exact order only where these bits do not tell
+        rare = rarity[(hashes & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64)] if rarity is not None else np.zeros(len(hashes), np.uint8)
+        both = owner << np.uint64(44) | rare.astype(np.uint64) << np.uint64(36) | hashes >> np.uint64(28)
+        order = np.argsort(both, kind="stable")
+        words, both = hashes[order], both[order]
+        again = np.zeros(len(words), bool)
+        again[1:] = (words[1:] == words[:-1]) & (both[1:] == both[:-1])
+        if len(first) >= 1 << 20 or bool((both[1:] == both[:-1])[~again[1:]].any()):
+            order = np.lexsort((hashes, rare, owner))
+            words = hashes[order]
+            again[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
+        keep = ~again
+        self.owner, self.words, self.rare = owner[keep].astype(np.int64), words[keep], rare[order][keep]
+        self.size = np.bincount(self.owner, minlength=len(first))
+        self.starts = np.cumsum(self.size) - self.size
+        key = np.add.reduceat(mixed(self.words + np.uint64(1)), self.starts) if len(first) else np.empty(0, np.uint64)
         self.key = mixed(key ^ self.size.astype(np.uint64)).view(np.int64)
+        at = doc[first]
+        lengths = np.array([x or 0 for x in pc.binary_length(rows.column(2)).to_pylist()], np.int64)
+        before = np.concatenate([[0], breaks])[np.cumsum(lengths) - lengths]  # breaks before the text
+        self.place, self.hash = (rows.column(k).to_numpy(zero_copy_only=False)[at] for k in (0, 1))
+        self.mark = np.where(passes(shared, spread(self.place)), self.hash, 0)
+        self.line = (number[first] - before[at]).astype(np.int32)
 
+    def at(self, line: int) -> np.ndarray:
+        """The words of a line."""
+        return self.words[self.starts[line] : self.starts[line] + self.size[line]]
 
-def lines_in(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[Lines]:
-    """The batches' lines (columns id, text), some megabytes of text at a time."""
+
+def lines_in(batches: Iterator[pa.RecordBatch], *how) -> Iterator[Lines]:
+    """The batches' lines, some hundred kilobytes of text at a time."""
     for batch in batches:
-        for part in text_slices(batch, 1):
-            yield Lines(part.column(0).to_numpy(zero_copy_only=False), part.column(1), min_words)
+        for part in text_slices(batch, 2, 1 << 19):
+            yield Lines(part, *how)
+
 
+def spread(*values: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of some columns."""
+    out = np.uint64(0)
+    for v in values:
+        out = mixed(v.astype(np.int64).view(np.uint64) + out + np.uint64(1))
+    return out.view(np.int64)
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A map of ``FILTER_BITS`` truth values that holds for all keys (and few others)."""
-    width = FILTER_BITS // SLICES
+
+NOTHING = np.zeros(1, np.uint8)
+
+
+def key_filter(keys: DataFrame, columns: list[str]) -> np.ndarray:
+    """A map of truth values by hash that holds for all rows of ``columns`` (and few others)."""
+    count = keys.count()
+    if not count:
+        return NOTHING
+    size = min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
+    width = size // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.unique(batch.column(0).to_numpy(zero_copy_only=False) & (FILTER_BITS - 1))
+            bits = np.unique(spread(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)) & (size - 1))
             yield slices_of(bits, np.ones(len(bits)), width)
 
-    bits = summed_slices(keys.mapInArrow(tidy(run), "slice int, blob binary"), width, np.zeros(FILTER_BITS, bool))
+    bits = summed_slices(keys.select(*columns).mapInArrow(tidy(run), "slice int, blob binary"), width, np.zeros(size, bool))
     return np.packbits(bits, bitorder="little")
 
 
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & (FILTER_BITS - 1)
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & (8 * len(bits) - 1)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _survey(docs: DataFrame, min_words: int) -> DataFrame:
-    """Of every line its class (id, line, key); and partial counts of words (slice, blob)."""
+def _survey(inner: DataFrame, min_words: int, shared) -> DataFrame:
+    """Of every line its place and class (place, hash, mark, line, key); and partial counts of words (slice, blob)."""
     width = RARITY_BUCKETS // SLICES
-    names = ["id", "line", "key", "slice", "blob"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["place", "hash", "mark", "line", "key", "slice", "blob"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            at = np.concatenate([a for a, _ in held])
-            order = np.argsort(at, kind="stable")
-            at, n = at[order], np.concatenate([n for _, n in held])[order]
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            held[:] = [(at[first], np.add.reduceat(n, first))]
-            return held[0]
-
-        def counted() -> pa.RecordBatch:
-            rows = slices_of(*merged(), width)
+        counts: np.ndarray | None = None
+        held: list[np.ndarray] = []
+
+        def add() -> np.ndarray:
+            more = np.bincount(np.concatenate(held), minlength=RARITY_BUCKETS).astype(np.uint32)
             held.clear()
-            return pa.RecordBatch.from_arrays([*(pa.nulls(rows.num_rows, t) for t in types[:3]), *rows.columns], names=names)
+            return more if counts is None else counts + more
 
-        for lines in lines_in(batches, min_words):
-            ok = lines.enough
+        for lines in lines_in(batches, shared.value):
+            ok = lines.size >= min_words
             n = int(ok.sum())
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(lines.doc[ok]), pa.array(lines.number[ok]), pa.array(lines.key[ok]), *(pa.nulls(n, t) for t in types[3:])], names=names)
-            if len(lines.words):
-                held.append(np.unique((lines.words & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64), return_counts=True))
-            if sum(len(a) for a, _ in held) > 1_000_000 and len(merged()[0]) > 500_000:
-                yield counted()
+                values = (lines.place, lines.hash, lines.mark, lines.line, lines.key)
+                yield pa.RecordBatch.from_arrays([*(pa.array(v[ok], t) for v, t in zip(values, types)), *(pa.nulls(n, t) for t in types[5:])], names=names)
+                held.append((lines.words & np.uint64(RARITY_BUCKETS - 1)).astype(np.int32))
+                if sum(map(len, held)) > 2_000_000:
+                    counts = add()
         if held:
-            yield counted()
+            counts = add()
+        if counts is not None:
+            at = np.flatnonzero(counts)
+            rows = slices_of(at, counts[at], width)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(rows.num_rows, t) for t in types[:5]), *rows.columns], names=names)
+
+    return inner.mapInArrow(tidy(run), "place long, hash long, mark long, line int, key long, slice int, blob binary")
 
-    return docs.mapInArrow(tidy(run), "id long, line int, key long, slice int, blob binary")
 
+ROW = np.dtype([("word", "<u8"), ("key", "<u4"), ("place", "<i8"), ("mark", "<i8"), ("m0", "<u8"), ("m1", "<u8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4")])
 
-ROW = np.dtype([("word", "<u8"), ("key", "<i8"), ("id", "<i8"), ("m0", "<u8"), ("m1", "<u8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4")])
 
+def meeting_words(lines: Lines, use: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lines ``use`` may meet similar ones: each row's place among the lines' words, and its word.
 
-def prefix_rows(lines: Lines, counts: np.ndarray) -> np.ndarray:
-    """Of every line the rows of its prefix words that more than one line may have."""
-    n = counts[(lines.words & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64)]
-    order = np.lexsort((lines.words, n, lines.owner))
-    owner, words, n = lines.owner[order], lines.words[order], n[order]
-    at = np.arange(len(owner)) - lines.starts[owner]
-    size = lines.size[owner]
+    Words that one line has are left out. A word of rarity ``hot`` or more gives one row for each
+    later word of the prefix and one more.
+    """
+    at = np.arange(len(lines.words)) - lines.starts[lines.owner]
+    size = lines.size[lines.owner]
     prefix = size - (4 * size + 4) // 5 + 1
-    maps = []
-    for k in range(2):  # each word has one of 128 bits
-        bit = np.uint64(1) << ((words >> np.uint64(3)) & np.uint64(63))
-        bit = np.where((words & np.uint64(1)) == k, bit, np.uint64(0))
-        maps.append(np.bitwise_or.reduceat(bit, lines.starts) if len(bit) else bit)
-    use = (at < prefix) & (n > 1) & lines.enough[owner]
-    rows = np.empty(int(use.sum()), ROW)
-    owner = owner[use]
-    rows["word"], rows["key"], rows["id"], rows["line"] = words[use], lines.key[owner], lines.doc[owner], lines.number[owner]
-    rows["size"], rows["at"], rows["m0"], rows["m1"] = lines.size[owner], at[use], maps[0][owner], maps[1][owner]
+    ok = use[lines.owner] & (lines.rare > 0)
+    own = ok & (at < prefix)
+    alone = np.flatnonzero(own & (lines.rare < hot))
+    first = np.flatnonzero(own & (lines.rare >= hot))
+    if not len(first):
+        return alone, lines.words[alone]
+    more = prefix[first] - at[first]  # words after it up to the longer prefix's end, which every such set has
+    i = np.repeat(first, more)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more) - more, more)
+    fits = (j < len(lines.words)) & (lines.owner[np.minimum(j, len(lines.words) - 1)] == lines.owner[i])
+    i, j = i[fits], j[fits]
+    return np.concatenate([alone, i]), np.concatenate([lines.words[alone], mixed(lines.words[i] + mixed(lines.words[j]))])
+
+
+def prefix_rows(lines: Lines, min_words: int, hot: int) -> np.ndarray:
+    """Of the earliest line of every class here, a row for each word where it may meet others."""
+    order = np.lexsort((lines.line, lines.mark, lines.place, lines.key))
+    use = np.zeros(len(order), bool)
+    use[order[np.concatenate([[True], lines.key[order[1:]] != lines.key[order[:-1]]])[: len(order)]]] = True
+    place, word = meeting_words(lines, use & (lines.size >= max(min_words, MEET)), hot)
+    owner = lines.owner[place]
+    rows = np.empty(len(place), ROW)
+    rows["word"], rows["key"] = word, (lines.key[owner] >> 32).astype(np.uint32)
+    for name in PLACE:
+        rows[name] = getattr(lines, name)[owner]
+    rows["size"], rows["at"] = lines.size[owner], place - lines.starts[owner]
+    bit = np.uint64(1) << ((lines.words >> np.uint64(3)) & np.uint64(63))
+    for k, name in enumerate(("m0", "m1")):
+        turned = np.where((lines.words & np.uint64(1)) == k, bit, np.uint64(0))
+        rows[name] = np.bitwise_xor.reduceat(turned, lines.starts)[owner] if len(turned) else 0
     return rows
 
 
-def earliest(rows: np.ndarray) -> np.ndarray:
-    """Of a class's rows for a word the earliest, by word and class."""
-    rows = rows[np.lexsort((rows["line"], rows["id"], rows["key"], rows["word"]))]
-    return rows[np.concatenate([[True], (rows["word"][1:] != rows["word"][:-1]) | (rows["key"][1:] != rows["key"][:-1])])[: len(rows)]]
-
-
 def packed(rows: np.ndarray) -> bytes:
     """Rows sorted by word, by columns, words as differences, compressed."""
-    columns = [np.diff(rows["word"], prepend=np.uint64(0)), *(np.ascontiguousarray(rows[c]) for c in ROW.names[1:])]
-    # bytes of one place together, so that small numbers' zeros are
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in columns))
+    columns = [np.diff(rows["word"], prepend=np.uint64(0)), *(rows[c] for c in ROW.names[1:])]
+    parts = []
+    for c in columns:
+        split = np.empty((c.itemsize, len(c)), np.uint8)  # bytes of one place together, so that small numbers' zeros are
+        split[:] = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T
+        parts.append(split)
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(parts).reshape(-1).data)
 
 
 def unpacked(blob: bytes) -> np.ndarray:
@@ -172,203 +228,267 @@ def unpacked(blob: bytes) -> np.ndarray:
     rows = np.empty(n, ROW)
     for name in ROW.names:
         width = ROW[name].itemsize
-        rows[name] = np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(ROW[name])
+        split = np.empty((n, width), np.uint8)
+        split[:] = raw[at : at + n * width].reshape(width, n).T
+        rows[name] = split.reshape(-1).view(ROW[name])
         at += n * width
     rows["word"] = np.cumsum(rows["word"])
     return rows
 
 
-def _prefixes(docs: DataFrame, min_words: int, rarity, buckets: int, words=None) -> DataFrame:
-    """bucket, blob: packed rows by bucket of the word; only of ``words``, a broadcast filter, if given."""
+def _prefixes(inner: DataFrame, min_words: int, hot: int, shared, rarity, buckets: int) -> DataFrame:
+    """bucket, blob: packed rows by bucket of the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
 
         def out() -> pa.RecordBatch:
-            rows = earliest(np.concatenate(held))
+            rows = np.concatenate(held)
+            held.clear()
             bucket = (rows["word"] >> np.uint64(23)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(rows["word"], kind="stable")
+            order = order[np.argsort(bucket[order].astype(np.int32), kind="stable")]
             rows, bucket = rows[order], bucket[order]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
-            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([packed(rows[cuts[b] : cuts[b + 1]]) for b in full], pa.binary())], names=["bucket", "blob"])
 
-        for lines in lines_in(batches, min_words):
-            rows = prefix_rows(lines, rarity.value)
-            held.append(rows if words is None else rows[passes(words.value, rows["word"].astype(np.int64))])
+        for lines in lines_in(batches, shared.value, rarity.value):
+            held.append(prefix_rows(lines, min_words, hot))
             if sum(map(len, held)) > 400_000:
                 yield out()
         if sum(map(len, held)):
             yield out()
 
-    return docs.mapInArrow(tidy(run), "bucket int, blob binary")
-
-
-def _words_of(docs: DataFrame, min_words: int, rarity, keys: DataFrame):
-    """A broadcast filter of the prefix words of the classes with these keys."""
-    context = docs.sparkSession.sparkContext
-    wanted = context.broadcast(key_filter(keys))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines in lines_in(batches, min_words):
-            rows = prefix_rows(lines, rarity.value)
-            found = np.unique(rows["word"][passes(wanted.value, rows["key"])]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["word"])
-
-    return wanted, context.broadcast(key_filter(docs.mapInArrow(tidy(run), "word long")))
-
-
-def candidates(rows: np.ndarray, most: int | None, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Later and earlier classes that may be similar, and the classes that had more than ``most``."""
-    rows = earliest(rows)
-    rows = rows[np.lexsort((rows["size"], rows["word"]))]
-    word, size, at, m0, m1, key = (np.ascontiguousarray(rows[c]) for c in ("word", "size", "at", "m0", "m1", "key"))
-    rank = np.empty(len(rows), np.int64)
-    rank[np.lexsort((rows["line"], rows["id"]))] = np.arange(len(rows))
+    return inner.mapInArrow(tidy(run), "bucket int, blob binary")
+
+
+def one_a_class(rows: np.ndarray) -> np.ndarray:
+    """Of a class's rows at a word the earliest (now and then another too, which does no harm), by word and size."""
+    rows = rows[np.argsort((rows["word"] & ~np.uint64((1 << 24) - 1)) | (rows["key"] >> np.uint32(8)), kind="stable")]
+    same = np.zeros(len(rows), bool)
+    same[1:] = True
+    for name in ("word", "key", "size", "m0", "m1"):
+        same[1:] &= rows[name][1:] == rows[name][:-1]
+    if same.any():
+        run = np.cumsum(~same)
+        copied = np.flatnonzero(same | np.append(same[1:], False))
+        order = copied[np.lexsort((rows["line"][copied], rows["mark"][copied], rows["place"][copied], run[copied]))]
+        first = order[np.concatenate([[True], run[order[1:]] != run[order[:-1]]])]
+        alone = np.ones(len(rows), bool)
+        alone[copied] = False
+        alone[first] = True
+        rows = rows[alone]
+    high = rows["word"] >> np.uint64(20)
+    order = np.argsort(high << np.uint64(20) | np.minimum(rows["size"], (1 << 20) - 1).astype(np.uint64), kind="stable")
+    high, word = high[order], rows["word"][order]
+    if len(rows) and (rows["size"].max() >= 1 << 20 or ((high[1:] == high[:-1]) & (word[1:] != word[:-1])).any()):
+        order = np.lexsort((rows["size"], rows["word"]))
+    return rows[order]
+
+
+def candidates(rows: np.ndarray, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of later and earlier classes that are sent; and rows of later and of earlier ones that are not."""
+    word, size, at, m0, m1 = (np.ascontiguousarray(rows[c]) for c in ("word", "size", "at", "m0", "m1"))
     open_, found = np.arange(max(0, len(rows) - 1)), []
+    least = tries + 1
+    unsent = np.zeros(len(rows), bool)
+    none = np.empty(0, np.int64)
+
+    def likeliest() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, cost = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((rows["line"][b], rows["mark"][b], rows["place"][b], cost, a))
+        a, b, cost = a[order], b[order], cost[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < least
+        unsent[b[~keep]] = True
+        return a[keep], b[keep], cost[keep]
+
     d = 1
     while len(open_):  # each row and the d-th after it: sizes rise within a word
         open_ = open_[open_ + d < len(rows)]
         j = open_ + d
         keep = (word[open_] == word[j]) & (5 * size[open_] >= 4 * size[j])
-        open_, j = open_[keep], j[keep]
-        i = open_
+        i, j = open_[keep], j[keep]
+        open_ = i
         total = size[i] + size[j]
-        share = np.minimum(at[i], at[j]) + 1 + np.minimum(size[i] - at[i], size[j] - at[j]) - 1
+        share = np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j])
         apart = np.bitwise_count(m0[i] ^ m0[j]).astype(np.int64) + np.bitwise_count(m1[i] ^ m1[j])
         fits = (9 * share >= 4 * total) & (9 * (total - apart) >= 8 * total)
         if fits.any():
-            i, j, apart = i[fits], j[fits], apart[fits]
-            later = rank[i] > rank[j]
-            a, b = np.where(later, i, j), np.where(later, j, i)
-            if wanted is not None:
-                ask = passes(wanted, key[a])
-                a, b, apart = a[ask], b[ask], apart[ask]
-            found.append((a, b, apart * 1024 // np.maximum(size[a] + size[b], 1)))
+            i, j, cost = i[fits], j[fits], 9 * apart[fits] - total[fits]  # nine times the bits above the most allowed
+            later = np.ones(len(i), bool)
+            for name in reversed(PLACE):
+                x, y = rows[name][i], rows[name][j]
+                later = np.where(x == y, later, x > y)
+            found.append((np.where(later, i, j), np.where(later, j, i), cost))
+            if len(found) > 64:
+                found = [likeliest()]
         d += 1
-        if most is not None and len(found) > 64:  # keep what may be sent only, and count the rest as more
-            found = [_likeliest(found, most + 1)]
-    empty = np.empty(0, np.int64)
     if not found:
-        return empty, empty, empty
-    a, b, cost = (np.concatenate(x) for x in zip(*found))
-    if most is None:
-        return key[a], key[b], empty
-    a, b, cost = _likeliest([(a, b, cost)], most + 1)
-    place = np.arange(len(a)) - np.searchsorted(a, a)
-    return key[a[place < most]], key[b[place < most]], key[a[place == most]]
-
-
-def _likeliest(found: list, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each later row the ``most`` candidates of the least cost, by row."""
-    a, b, cost = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((b, cost, a))
-    a, b, cost = a[order], b[order], cost[order]
-    keep = np.arange(len(a)) - np.searchsorted(a, a) < most
-    return a[keep], b[keep], cost[keep]
+        return none, none, none, none
+    a, b, cost = likeliest()
+    first = np.searchsorted(a, a)
+    # one is enough where four bits more would still do; else all up to the most
+    sent = np.arange(len(a)) - first < np.where(cost[first] <= -36, 1, tries)
+    unsent[b[~sent]] = True
+    return a[sent], b[sent], np.unique(a[~sent]), np.flatnonzero(unsent)
 
 
-def _pairs(prefixes: DataFrame, most: int | None, wanted) -> DataFrame:
-    """later, earlier (null: later had more candidates than were sent), each pair once."""
+def _pairs(prefixes: DataFrame, tries: int) -> DataFrame:
+    """Later and earlier places to verify; null earlier: later had more at the word; null later: a candidate not sent there."""
+    names = [*(f"later_{x}" for x in PLACE), *(f"earlier_{x}" for x in PLACE)]
+    types = [pa.int64(), pa.int64(), pa.int32()]
 
     def run(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([unpacked(x) for x in table["blob"].to_pylist()])
-        a, b, more = candidates(rows, most, wanted.value if wanted is not None else None)
-        return pa.table({"later": pa.array(np.concatenate([a, more]), pa.int64()), "earlier": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(more), pa.int64())])})
+        rows = one_a_class(np.concatenate([unpacked(x) for x in table["blob"].to_pylist()]))
+        a, b, more, unsent = candidates(rows, tries)
+        columns = []
+        for parts in ((a, more, len(unsent)), (b, len(more), unsent)):
+            for name, t in zip(PLACE, types):
+                columns.append(pa.concat_arrays([pa.nulls(p, t) if isinstance(p, int) else pa.array(rows[name][p], t) for p in parts]))
+        words = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(rows["word"][np.concatenate([more, unsent])].view(np.int64))])
+        return pa.table([*columns, words], names=[*names, "word"])
 
-    return prefixes.groupBy("bucket").applyInArrow(run, "later long, earlier long").distinct()
+    kinds = ", ".join(f"{n} {t}" for n, t in zip(names, 2 * ["long", "long", "int"]))
+    return prefixes.groupBy("bucket").applyInArrow(run, f"{kinds}, word long").distinct()
 
 
-def five_bytes(words: np.ndarray) -> bytes:
-    """40-bit values, five bytes each."""
-    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _side(pairs: DataFrame, side: str) -> DataFrame:
+    return pairs.select(*(F.col(f"{side}_{x}").alias(x) for x in PLACE))
 
 
-def from_five_bytes(blob: bytes) -> np.ndarray:
-    """The values of ``five_bytes``."""
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
+def _sets(inner: DataFrame, shared, places: DataFrame) -> DataFrame:
+    """place, mark, line, words (a blob of sorted hashes) of these lines (and few others)."""
+    context = inner.sparkSession.sparkContext
+    rows, wanted = context.broadcast(key_filter(places.select("place").distinct(), ["place"])), context.broadcast(key_filter(places, PLACE))
 
-
-def _sets(docs: DataFrame, min_words: int, keys: DataFrame) -> DataFrame:
-    """key, words (a blob of sorted 40-bit hashes) of the classes with these keys (and few others)."""
-    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(keys))
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(passes(rows.value, spread(batch.column(0).to_numpy(zero_copy_only=False)))))
+            if batch.num_rows:
+                yield batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
-        for lines in lines_in(batches, min_words):
-            use = np.flatnonzero(lines.enough & passes(wanted.value, lines.key))
-            use = [i for i, k in zip(use.tolist(), lines.key[use].tolist()) if k not in sent and not sent.add(k)]
-            if len(sent) > 1_000_000:
-                sent.clear()
-            if use:
-                blobs = [five_bytes(lines.words[lines.starts[i] : lines.starts[i] + lines.size[i]]) for i in use]
-                yield pa.RecordBatch.from_arrays([pa.array(lines.key[use]), pa.array(blobs, pa.binary())], names=["key", "words"])
+        for lines in lines_in(few(batches), shared.value):
+            use = np.flatnonzero(passes(wanted.value, spread(lines.place, lines.mark, lines.line)))
+            if len(use):
+                blobs = pa.array([np.sort(lines.at(i)).tobytes() for i in use.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(getattr(lines, n)[use]) for n in PLACE), blobs], names=[*PLACE, "words"])
 
-    return docs.mapInArrow(tidy(run), "key long, words binary").groupBy("key").agg(F.max("words").alias("words"))
+    return inner.mapInArrow(tidy(run), "place long, mark long, line int, words binary").groupBy(*PLACE).agg(F.max("words").alias("words"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """later, earlier of the pairs whose sets have a Jaccard similarity of 4/5 or more."""
+    """The later places of the pairs whose sets have a Jaccard similarity of 4/5 or more."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = from_five_bytes(x.as_py()), from_five_bytes(y.as_py())
+            for x, y in zip(batch.column(3), batch.column(4)):
+                a, b = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 keep.append(9 * int((b[at] == a).sum()) >= 4 * (len(a) + len(b)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["later", "earlier"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=PLACE).filter(pa.array(keep, pa.bool_()))
+
+    for side, name in (("later", "a"), ("earlier", "b")):
+        pairs = pairs.join(sets.select(*(F.col(x).alias(f"{side}_{x}") for x in PLACE), F.col("words").alias(name)), [f"{side}_{x}" for x in PLACE])
+    both = pairs.select(*(F.col(f"later_{x}").alias(x) for x in PLACE), "a", "b")
+    return both.mapInArrow(tidy(similar), "place long, mark long, line int").distinct()
+
+
+def _compared(meeting: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the rows (word, place, mark, line, asks) that ask those similar to an earlier one at the word: whole sets meet."""
+    kinds = [pa.int64(), pa.int64(), pa.int32()]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def out() -> pa.RecordBatch:
+            sets = [np.frombuffer(r["words"], "<u8") for r in held]
+            size = np.array([len(s) for s in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            found = []
+            for k, r in enumerate(held):
+                if r["asks"]:
+                    a, b = np.searchsorted(flat, sets[k]), np.searchsorted(flat, sets[k], "right")
+                    both = np.zeros(len(sets), np.int64)
+                    for x, y in zip(a.tolist(), b.tolist()):
+                        both[owner[x:y]] += 1
+                    near = np.flatnonzero(9 * both >= 4 * (size + size[k]))
+                    if any([held[j][n] for n in PLACE] < [r[n] for n in PLACE] for j in near):
+                        found.append(r)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], t) for n, t in zip(PLACE, kinds)], names=PLACE)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and held[-1]["word"] != r["word"]:
+                    yield out()
+                held.append(r)
+        if held:
+            yield out()
+
+    by_word = meeting.join(sets, PLACE).repartition("word").sortWithinPartitions("word")
+    return by_word.mapInArrow(tidy(compare), "place long, mark long, line int").distinct()
+
 
-    left = sets.select(F.col("key").alias("later"), F.col("words").alias("a"))
-    right = sets.select(F.col("key").alias("earlier"), F.col("words").alias("b"))
-    return pairs.join(left, "later").join(right, "earlier").select("later", "earlier", "a", "b").mapInArrow(tidy(similar), "later long, earlier long")
+def _inner(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(place_of(docs, id_col).alias("place"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
 
 
-def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, line (from 0) of every line that repeats or resembles an earlier one."""
+def _gone(docs: DataFrame, min_words: int, id_col: str, text_col: str, tries: int, hot_lines: int) -> DataFrame:
+    """place, hash (of the text), lines: the sorted numbers of the lines that go, of each text that loses any."""
     context = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
-    inner = docs.select(_id(id_col).alias("id"), F.col(text_col).alias("text"))
-    survey = settle(_survey(inner, min_words))
+    inner = _inner(docs, id_col, text_col)
+    hot = int(rarity_class(np.array([hot_lines]))[0])
+    several = inner.groupBy("place").agg(F.min("hash").alias("x"), F.max("hash").alias("y")).filter("x <> y").select("place")
+    shared = context.broadcast(key_filter(several, ["place"]))
+    survey = stored(_survey(inner, min_words, shared), "lines")
     counts = survey.filter("slice is not null").select("slice", "blob")
-    rarity = context.broadcast(summed_slices(counts, RARITY_BUCKETS // SLICES, np.zeros(RARITY_BUCKETS, np.uint32)))
-    lines = survey.filter("slice is null").select("id", "line", "key")
+    rarity = context.broadcast(rarity_class(summed_slices(counts, RARITY_BUCKETS // SLICES, np.zeros(RARITY_BUCKETS, np.uint32))))
+    lines = survey.filter("slice is null").select("place", "hash", "mark", "line", "key")
     buckets = scaled_partitions(docs.sparkSession, 3)
-    prefixes = _prefixes(inner, min_words, rarity, buckets)
-    tried = settle(_pairs(prefixes, FIRST_TRIES, None))
-    pairs = tried.filter("earlier is not null")
-    sets = settle(_sets(inner, min_words, pairs.select(F.explode(F.array("later", "earlier")).alias("key"))))
-    matched = settle(_verified(pairs, sets).select("later").distinct())
-    again = settle(tried.filter("earlier is null").select("later").distinct().join(matched, "later", "left_anti"))
-    if not again.isEmpty():  # the few that had more candidates, and none of the first was similar
-        wanted, words = _words_of(inner, min_words, rarity, again)
-        prefixes = _prefixes(inner, min_words, rarity, buckets, words)
-        pairs = settle(_pairs(prefixes, None, wanted).join(again, "later", "left_semi").join(pairs, ["later", "earlier"], "left_anti"))
-        sets = _sets(inner, min_words, pairs.select(F.explode(F.array("later", "earlier")).alias("key")))
-        matched = matched.union(_verified(pairs, sets).select("later")).distinct()
-    first = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"))
-    classes = first.join(matched.select(F.col("later").alias("key"), F.lit(True).alias("similar")), "key", "left")
-    own = lines.join(classes, "key").filter(F.coalesce("similar", F.lit(False)) | (F.struct("id", "line") != F.col("first")))
-    return own.select("id", "line").distinct()
-
-
-def _id(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-
-
-def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, lines: the sorted numbers of the lines that go, of each document that loses any."""
-    gone = duplicate_lines(docs, min_words, id_col, text_col)
-    return gone.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list("line")).alias("_lines"))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    tried = stored(_pairs(_prefixes(inner, min_words, hot, shared, rarity, buckets), tries), "line-pairs")
+    pairs = tried.filter("later_line is not null and earlier_line is not null")
+    sets = stored(_sets(inner, shared, _side(pairs, "later").union(_side(pairs, "earlier")).distinct()), "line-sets")
+    matched = settle(_verified(pairs, sets))
+    again = settle(_side(tried.filter("earlier_line is null"), "later").join(matched, PLACE, "left_anti"))
+    if not again.isEmpty():  # the few of which none that was sent is similar
+        places = lambda side: [F.col(f"{side}_{x}").alias(x) for x in PLACE]
+        asking = tried.filter("earlier_line is null").select("word", *places("later")).join(again, PLACE, "left_semi")
+        others = tried.filter("later_line is null").select("word", *places("earlier")).join(asking.select("word").distinct(), "word", "left_semi")
+        both = asking.withColumn("asks", F.lit(True)).unionByName(others.withColumn("asks", F.lit(False)))
+        meeting = settle(both.groupBy("word", *PLACE).agg(F.max("asks").alias("asks")))
+        matched = matched.union(_compared(meeting, _sets(inner, shared, meeting.select(*PLACE).distinct()))).distinct()
+    first = lines.groupBy("key").agg(F.min(F.struct("place", "hash", "line", "mark")).alias("f")).select("f.*")
+    kept = first.join(matched, PLACE, "left_anti").select("place", "hash", "line", F.lit(True).alias("kept"))
+    both = lines.select("place", "hash", "line", F.lit(False).alias("kept")).union(kept)
+    numbers = {k: F.collect_list(F.when(F.col("kept") == F.lit(k), F.col("line"))) for k in (False, True)}
+    return both.groupBy("place", "hash").agg(F.sort_array(F.array_except(numbers[False], numbers[True])).alias("lines")).filter(F.size("lines") > 0)
+
+
+def _with_gone(docs: DataFrame, gone: DataFrame, id_col: str, text_hash: Column, lines: str) -> DataFrame:
+    """``docs`` with the column ``lines``, null where no line goes."""
+    place, mark = fresh(docs, "place"), fresh(docs, "hash")
+    keyed = docs.withColumns({place: place_of(docs, id_col), mark: text_hash})
+    return keyed.join(gone.select(F.col("place").alias(place), F.col("hash").alias(mark), F.col("lines").alias(lines)), [place, mark], "left")
+
+
+def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", tries: int = TRIES, hot_lines: int = HOT_LINES) -> DataFrame:
+    """Per row: its id, n_lines, and removed, the sorted numbers of its lines that go."""
+    gone = _gone(docs, min_words, id_col, text_col, tries, hot_lines)
+    counted = docs.select(F.col(id_col), F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.xxhash64(text_col).alias("hash of text"))
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return _with_gone(counted, gone, id_col, F.col("hash of text"), "removed").select(id_col, "n_lines", removed.alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", tries: int = TRIES, hot_lines: int = HOT_LINES) -> DataFrame:
     """``docs`` with the same columns, without the lines that repeat or resemble earlier ones."""
-    gone = removals(docs, min_words, id_col, text_col)
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_lines", i))
-    cleaned = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    joined = docs.withColumn("_id", _id(id_col)).join(gone, "_id", "left")
-    return joined.withColumn(text_col, cleaned).select(*docs.columns)
+    gone = _gone(docs, min_words, id_col, text_col, tries, hot_lines)
+    lines = fresh(docs, "lines")
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(lines, i))
+    cleaned = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return _with_gone(docs, gone, id_col, F.xxhash64(text_col), lines).withColumn(text_col, cleaned).select(*docs.columns)

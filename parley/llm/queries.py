@@ -98,11 +98,8 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all documents, the numbers of the lines that repeat or resemble earlier ones."""
     from parley.llm import linededup
 
-    docs = table(spark, sf_dir, "documents")
-    gone = linededup.removals(docs, min_words=1)
-    counted = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
-    removed = F.coalesce("_lines", F.array().cast("array<int>"))
-    return counted.join(gone, counted.doc_id == gone._id, "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    found = linededup.removals(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
