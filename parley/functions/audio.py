@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import math
+import struct
 import wave
 from fractions import Fraction
 from functools import lru_cache
@@ -60,11 +61,42 @@ def resample(samples: np.ndarray, rate_in: int, rate_out: int = RATE, block: int
     return out
 
 
+class SampleDecoder:
+    """Decodes parts of a stream of little-endian 16-bit samples; an odd byte waits for the next part."""
+
+    def __init__(self) -> None:
+        self.rest = b""
+
+    def feed(self, raw: bytes) -> np.ndarray:
+        raw = self.rest + raw
+        self.rest = raw[len(raw) // 2 * 2 :]
+        return from_s16le(raw)
+
+
 def read_wav(stored: bytes) -> np.ndarray:
-    """A PCM WAV file of any rate, width and channels as 16 kHz mono floats."""
-    with wave.open(io.BytesIO(stored), "rb") as f:
-        width, channels, rate, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
-    if width == 1:
+    """A WAV file of any rate, width (integers or floats) and channels as 16 kHz mono floats; ValueError if it is none."""
+    if stored[:4] != b"RIFF" or stored[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    shape, raw, at = None, None, 12
+    while at + 8 <= len(stored) and raw is None:
+        name, size = stored[at : at + 4], int.from_bytes(stored[at + 4 : at + 8], "little")
+        body = stored[at + 8 : at + 8 + size]
+        if name == b"fmt " and len(body) >= 16:
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
+            shape = (int.from_bytes(body[24:26], "little") if kind == 0xFFFE and len(body) >= 26 else kind), channels, rate, bits
+        elif name == b"data":
+            raw = body
+        at += 8 + size + size % 2
+    if shape is None or raw is None:
+        raise ValueError("a WAV file without format or data")
+    kind, channels, rate, bits = shape
+    width = (bits + 7) // 8
+    if not channels or not rate or (kind, width) not in {(1, 1), (1, 2), (1, 3), (1, 4), (3, 4), (3, 8)}:
+        raise ValueError(f"WAV format {kind} of {bits} bits")
+    raw = raw[: len(raw) // width * width]
+    if kind == 3:
+        x = np.frombuffer(raw, f"<f{width}").astype(np.float64)
+    elif width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
     elif width == 3:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
@@ -74,15 +106,33 @@ def read_wav(stored: bytes) -> np.ndarray:
     return resample(mono(x, channels), rate)
 
 
+class WavWriter:
+    """Writes mono 16-bit samples and silence part by part; ``finish`` gives the file."""
+
+    def __init__(self, rate: int = RATE) -> None:
+        self.out = io.BytesIO()
+        self.file = wave.open(self.out, "wb")
+        self.file.setnchannels(1)
+        self.file.setsampwidth(2)
+        self.file.setframerate(rate)
+
+    def write(self, samples: np.ndarray) -> None:
+        self.file.writeframes(to_s16le(samples))
+
+    def silence(self, n_samples: int) -> None:
+        for n in range(n_samples, 0, -65_536):  # memory stays bounded
+            self.file.writeframes(bytes(2 * min(n, 65_536)))
+
+    def finish(self) -> bytes:
+        self.file.close()
+        return self.out.getvalue()
+
+
 def write_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
     """Mono samples as a 16-bit WAV file."""
-    out = io.BytesIO()
-    with wave.open(out, "wb") as f:
-        f.setnchannels(1)
-        f.setsampwidth(2)
-        f.setframerate(rate)
-        f.writeframes(to_s16le(samples))
-    return out.getvalue()
+    writer = WavWriter(rate)
+    writer.write(samples)
+    return writer.finish()
 
 
 @lru_cache(maxsize=4)
@@ -135,6 +185,70 @@ def quietest(samples: np.ndarray, hop: int = 160, hops: int = 10) -> int:
     return at * hop + hops * hop // 2
 
 
+def snapped(samples: np.ndarray, cuts: list[int], least: int, reach_ms: int = 300, frame: int = 320) -> list[int]:
+    """Cuts moved, one after another, to the middle of the quietest 20 ms within reach (steps of half a frame, the first of equals).
+
+    Pieces stay ``least`` samples long; a cut without room stays where it is.
+    """
+    power = np.concatenate([[0.0], np.cumsum(np.asarray(samples, np.float64) ** 2)])
+    out, before = list(cuts), 0
+    for i, cut in enumerate(cuts):
+        after = cuts[i + 1] if i + 1 < len(cuts) else len(samples)
+        low, high = max(cut - reach_ms * 16, 0, before + least), min(cut + reach_ms * 16, after - least)
+        at = np.arange(low, high - frame + 1, frame // 2)
+        if len(at):
+            out[i] = int(at[(power[at + frame] - power[at]).argmin()]) + frame // 2
+        before = out[i]
+    return out
+
+
+def noise_floor(powers: np.ndarray, rise: float = 1.0023, least: float = 1e-10) -> np.ndarray:
+    """The floor of frame powers after each: smoothed, down at once and up by a factor; powers below ``least`` do not count."""
+    out, smooth, floor = np.full(len(powers), np.nan), None, None
+    for i, p in enumerate(np.asarray(powers, np.float64)):
+        if p >= least:
+            smooth = p if smooth is None else 0.7 * smooth + 0.3 * p
+            floor = floor * rise if floor is not None and smooth >= floor else smooth
+        out[i] = np.nan if floor is None else floor
+    return out
+
+
+def gains(levels: np.ndarray, release: float = 0.985, target: float = 0.08, most: float = 10.0) -> np.ndarray:
+    """The gain for each window's level: an envelope with instant attack is lifted to the target, by 1 to ``most``."""
+    out, envelope = np.empty(len(levels)), 0.0
+    for i, x in enumerate(levels):
+        envelope = max(float(x), envelope * release)
+        out[i] = min(max(target / max(envelope, 1e-9), 1.0), most)
+    return out
+
+
+def hangover(active: np.ndarray, frames: int = 100) -> np.ndarray:
+    """Whether each frame, or one of the ``frames`` before it, is active."""
+    at = np.where(active, np.arange(len(active)), -frames - 1)
+    return np.arange(len(active)) - np.maximum.accumulate(at) <= frames if len(active) else np.zeros(0, bool)
+
+
+class Ring:
+    """The last ``seconds`` of a stream of 16 kHz samples: short gaps are filled with zeros, longer ones start anew."""
+
+    def __init__(self, seconds: int = 60, gap_ms: int = 5_000) -> None:
+        self.size, self.gap_ms, self.start_ms, self.samples = seconds * RATE, gap_ms, 0, np.empty(0, np.float32)
+
+    def feed(self, start_ms: int, samples: np.ndarray) -> None:
+        gap = start_ms - (self.start_ms + len(self.samples) * 1000 // RATE)
+        if not len(self.samples) or gap > self.gap_ms:
+            self.start_ms, self.samples, gap = start_ms, self.samples[:0], 0
+        fill = np.zeros(max(gap, 0) * RATE // 1000, np.float32)
+        self.samples = np.concatenate([self.samples, fill, np.asarray(samples, np.float32)])
+        if (over := len(self.samples) - self.size) > 0:
+            self.start_ms, self.samples = self.start_ms + over * 1000 // RATE, self.samples[over:]
+
+    def slice(self, start_ms: int, end_ms: int) -> np.ndarray:
+        """What is kept of a span of time."""
+        a, b = ((x - self.start_ms) * RATE // 1000 for x in (start_ms, end_ms))
+        return self.samples[max(a, 0) : max(b, 0)]
+
+
 def alignment(reference: np.ndarray, signal: np.ndarray, most: int, least: float = 0.4, lead: float = 0.08, apart: int = 8) -> int | None:
     """The delay, up to ``most``, at which two energy curves agree best; None if not clearly so."""
     scores = np.full(most + 1, -1.0)
@@ -167,11 +281,17 @@ def si_sdr(estimate: np.ndarray, target: np.ndarray) -> float:
 
 
 def wav_column(content: Column) -> Column:
-    """Samples of WAV files (as read by Spark's binaryFile source)."""
+    """Samples of WAV files (as read by Spark's binaryFile source); null for a file that is none."""
+
+    def samples(x: bytes | None) -> np.ndarray | None:
+        try:
+            return None if x is None else read_wav(bytes(x))
+        except ValueError:
+            return None
 
     @F.pandas_udf("array<float>")
     def run(files: pd.Series) -> pd.Series:
-        return files.map(lambda x: None if x is None else read_wav(bytes(x)))
+        return files.map(samples)
 
     return run(content)
 

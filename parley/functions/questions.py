@@ -13,22 +13,22 @@ from parley.functions.text import KAZAKH, tokens
 
 # Words and phrases of the ten rules.
 PHRASES = ["можно ли", "могли бы", "не могли бы", "можете ли", "не подскажете", "как вы думаете", "как вы считаете", "что вы думаете", "что думаете", "что скажете", "ваше мнение", "как считаете", "а вы", "а у вас", "а вам", "а ты", "а у тебя", "или нет", "да или нет", "согласны ли", "вы согласны", "не так ли", "не правда ли", "как насчет", "сіз ше", "сіздер ше", "сендер ше", "сен ше", "не үшін", "не дейсіз", "қалай ойлайсыз"]
-REQUESTS = "расскажите расскажи объясните объясни поясните поясни уточните подскажите подскажи скажите скажи опишите прокомментируйте покажите поделитесь назовите перечислите напомните айтыңызшы айтыңыз айтшы айтып түсіндіріңізші түсіндіріңіз түсіндірші түсіндіріп көрсетіңізші көрсетіңіз".split()
-LI_BLOCKERS = "вряд навряд едва то".split()
-PARTICLES = "ма ме ба бе па пе".split()
-HOSTS = "бар керек болады бола рас дайынсыз келесіз білесіз мүмкін жоқ".split()
-GLUED = r"^(?:бар|жоқ|бола|болады|болды|білесіз|келесіз|келісесіз|дайынсыз|түсінікті|рас|дұрыс|мүмкін|керек)(?:ма|ме|ба|бе|па|пе)$"
-KAZAKH_WH = "қалай қалайша неге неліктен несіне қашан қайда қайдан қайсы қайсысы кім кімге кімнің кімді кіммен қанша қандай неше нешеу нешінші нені неден немен".split()
+REQUESTS = ["расскажите", "расскажи", "объясните", "объясни", "поясните", "поясни", "уточните", "подскажите", "подскажи", "скажите", "скажи", "опишите", "прокомментируйте", "покажите", "поделитесь", "назовите", "перечислите", "напомните", "айтыңызшы", "айтыңыз", "айтшы", "айтып", "түсіндіріңізші", "түсіндіріңіз", "түсіндірші", "түсіндіріп", "көрсетіңізші", "көрсетіңіз"]
+LI_BLOCKERS = ["вряд", "навряд", "едва", "то"]
+PARTICLES = ["ма", "ме", "ба", "бе", "па", "пе"]
+HOSTS = ["бар", "керек", "болады", "бола", "рас", "дайынсыз", "келесіз", "білесіз", "мүмкін", "жоқ"]
+GLUED = r"^(?:бар|жоқ|бола|болады|болды|білесіз|келесіз|келісесіз|дайынсыз|түсінікті|рас|дұрыс|мүмкін|керек)(?:ма|ме|ба|бе|па|пе)$|(?:сыз|сіз|сыздар|сіздер)(?:ба|бе|па|пе)$"
+KAZAKH_WH = ["қалай", "қалайша", "неге", "неліктен", "несіне", "қашан", "қайда", "қайдан", "қайсы", "қайсысы", "кім", "кімге", "кімнің", "кімді", "кіммен", "қанша", "қандай", "неше", "нешеу", "нешінші", "нені", "неден", "немен"]
 VERB_ENDS = "(сыз|сіз|сыздар|сіздер|мыз|міз|ймыз|йміз|сың|сің)$"
-STRONG_WH = "почему зачем отчего сколько насколько куда откуда какой какая какое какие каким каких какую какого какому какими каков какова каковы чей чья чье чьи".split()
-AMBIGUOUS_WH = "как что чего чем когда где кто кого кому кем".split()
-BLOCKED_AFTER = "так потому то чтобы также тогда после пока вот знаю знаем понятно ясно неважно независимо сказал сказали объяснил понимаю поэтому".split()
-BLOCKED_BEFORE = "то нибудь либо бы раз только минимум максимум обычно всегда правило будто ни касается угодно попало".split()
-FILLERS = "а и ну так вот слушайте коллеги ал енді иә жарайды ок окей хорошо понятно ясно да ладно тогда кстати еще ещё".split()
-PRONOUNS = "я мы он она они оно".split()
-ADDRESSES = "вы вас вам вами ваш ваша ваше ваши вашей вашего вашу вашим ты тебя тебе твой твоя твои сіз сізге сізде сіздің сізді сізбен сіздер сендер сен саған сенде сенің".split()
+STRONG_WH = ["почему", "зачем", "отчего", "сколько", "насколько", "куда", "откуда", "какой", "какая", "какое", "какие", "каким", "каких", "какую", "какого", "какому", "какими", "каков", "какова", "каковы", "чей", "чья", "чье", "чьи"]
+AMBIGUOUS_WH = ["как", "что", "чего", "чем", "когда", "где", "кто", "кого", "кому", "кем"]
+BLOCKED_AFTER = ["так", "потому", "то", "чтобы", "также", "тогда", "после", "пока", "вот", "знаю", "знаем", "понятно", "ясно", "неважно", "независимо", "сказал", "сказали", "объяснил", "понимаю", "поэтому"]
+BLOCKED_BEFORE = ["то", "нибудь", "либо", "бы", "раз", "только", "минимум", "максимум", "обычно", "всегда", "правило", "будто", "ни", "касается", "угодно", "попало"]
+FILLERS = ["а", "и", "ну", "так", "вот", "слушайте", "коллеги", "ал", "енді", "иә", "жарайды", "ок", "окей", "хорошо", "понятно", "ясно", "да", "ладно", "тогда", "кстати", "еще", "ещё"]
+PRONOUNS = ["я", "мы", "он", "она", "они", "оно"]
+ADDRESSES = ["вы", "вас", "вам", "вами", "ваш", "ваша", "ваше", "ваши", "вашей", "вашего", "вашу", "вашим", "ты", "тебя", "тебе", "твой", "твоя", "твои", "сіз", "сізге", "сізде", "сіздің", "сізді", "сізбен", "сіздер", "сендер", "сен", "саған", "сенде", "сенің"]
 GREETINGS = ["сәлеметсіз бе", "сәлеметсіздер ме", "сәлеметсіздер бе", "амансыз ба", "амансыздар ма", "қалыңыз қалай", "қалың қалай", "как дела", "как ваши дела"]
-ANNOUNCED = "вопрос вопросик сұрақ".split()
+ANNOUNCED = ["вопрос", "вопросик", "сұрақ"]
 
 
 def without_greetings(words: Column) -> Column:
@@ -79,9 +79,9 @@ def question_reason(text: Column) -> Column:
 
 
 # Case endings that a spoken name may carry, by kind of stem.
-NAME_ENDS = "га ге ка ке на не нын нин дын дин тын тин ны ни ды ди ты ти н да де та те нда нде дан ден тан тен нан нен мен бен пен ша ше дай дей тай тей лар лер дар дер тар тер жан а у ом е ым ой ы ю ем ей я".split()
-A_STEM_ENDS = "ы и е у ю ой ей ою ею".split()
-SOFT_STEM_ENDS = "я ю ем е и".split()
+NAME_ENDS = ["га", "ге", "ка", "ке", "на", "не", "нын", "нин", "дын", "дин", "тын", "тин", "ны", "ни", "ды", "ди", "ты", "ти", "н", "да", "де", "та", "те", "нда", "нде", "дан", "ден", "тан", "тен", "нан", "нен", "мен", "бен", "пен", "ша", "ше", "дай", "дей", "тай", "тей", "лар", "лер", "дар", "дер", "тар", "тер", "жан", "а", "у", "ом", "е", "ым", "ой", "ы", "ю", "ем", "ей", "я"]
+A_STEM_ENDS = ["ы", "и", "е", "у", "ю", "ой", "ей", "ою", "ею"]
+SOFT_STEM_ENDS = ["я", "ю", "ем", "е", "и"]
 
 
 def spells_name(token: Column, name: Column) -> Column:
@@ -103,12 +103,26 @@ def name_place(words: Column, name_words: Column) -> Column:
     return F.get(hits, F.lit(0))
 
 
+# Latin pairs and letters and their Cyrillic spelling.
+LATIN_PAIRS = {"sh": "ш", "ch": "ч", "zh": "ж", "kh": "х", "ts": "ц", "ya": "я", "yu": "ю", "yo": "е"}
+LATIN_LETTERS = {
+    "a": "а", "b": "б", "c": "к", "d": "д", "e": "е", "f": "ф", "g": "г", "h": "х", "i": "и", "j": "дж", "k": "к", "l": "л", "m": "м",
+    "n": "н", "o": "о", "p": "п", "q": "к", "r": "р", "s": "с", "t": "т", "u": "у", "v": "в", "w": "в", "x": "кс", "y": "й", "z": "з",
+}
+
+
 def cyrillic(word: Column) -> Column:
-    """A Latin spelling as the recognizer writes it: digraphs first, i after a vowel as й."""
-    # Latin digraphs and letters and their Cyrillic spelling.
-    digraphs = {"sh": "ш", "ch": "ч", "zh": "ж", "kh": "х", "ts": "ц", "ya": "я", "yu": "ю", "yo": "е", "j": "дж", "x": "кс"}
-    latin, letters = "abcdefghiklmnopqrstuvwyz", "абкдефгхиклмнопкрстуввйз"
-    out = F.regexp_replace(F.lower(word), "(?<=[aeou])i", "й")
-    for a, b in digraphs.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.translate(out, latin, letters)
+    """A Latin spelling as the recognizer writes it, from left to right: pairs before letters, i after a vowel as й."""
+    w = F.lower(word)
+    pairs, letters = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in (LATIN_PAIRS, LATIN_LETTERS))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"))
+
+    def step(state: Column, i: Column) -> Column:
+        one, two, last = F.substr(w, i + 1, F.lit(1)), F.substr(w, i + 1, F.lit(2)), F.substr(w, i, F.lit(1))
+        pair = F.try_element_at(pairs, two)
+        letter = F.when((one == "i") & (i > 0) & last.isin("a", "e", "o", "u"), "й").otherwise(F.coalesce(F.try_element_at(letters, one), one))
+        taken = F.struct(F.concat(state["out"], F.coalesce(pair, letter)).alias("out"), (i + F.when(pair.isNotNull(), 2).otherwise(1)).alias("next"))
+        return F.when(i < state["next"], state).otherwise(taken)
+
+    places = F.when(F.length(w) > 0, F.sequence(F.lit(0), F.length(w) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, lambda s: s["out"])

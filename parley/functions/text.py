@@ -41,15 +41,10 @@ def trigrams(text: Column) -> Column:
 
 
 def containment(part: Column, whole: Column) -> Column:
-    """Share of the first text's trigrams that the second has too, as multisets; 0 if either is empty."""
-    mine, others = trigrams(part), trigrams(whole)
-    count = lambda xs, t: F.size(F.filter(xs, lambda y: y == t))
-    shared = F.aggregate(F.array_distinct(mine), F.lit(0), lambda s, t: s + F.least(count(mine, t), count(others, t)))
-    return F.when(F.size(mine) > 0, shared / F.size(mine)).otherwise(F.lit(0.0))
+    """Share of the first text's trigrams that the second has too, as multisets; 0 if either is empty or null.
 
-
-def whole_containment(part: Column, whole: Column) -> Column:
-    """The same in time linear in the texts, for texts of any length."""
+    Its time is linear in the texts, which may be of any length.
+    """
 
     @F.pandas_udf("double")
     def run(parts: pd.Series, wholes: pd.Series) -> pd.Series:
@@ -83,9 +78,9 @@ def has_kazakh_letters(text: Column) -> Column:
 
 
 def word_distance(left: Column, right: Column) -> Column:
-    """Levenshtein distance in words of two arrays: each distinct word of the pair is one character."""
+    """Levenshtein distance in words of two arrays: each distinct word of the pair, a million at most, is one character."""
     both = F.array_distinct(F.concat(left, right))
-    code = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x4E00), 4, "0")), "UTF-16BE")), "")
+    code = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0xFFFF), 8, "0")), "UTF-32")), "")
     return F.levenshtein(code(left), code(right))
 
 

@@ -20,20 +20,30 @@ def _dealt(df: DataFrame, low: Column, high: Column, bucket: int) -> DataFrame:
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[Column, Column], right_span: tuple[Column, Column], bucket: int, how: str = "inner") -> DataFrame:
     """Pairs of one key whose closed intervals meet; ``right`` shares only the keys' names with ``left``.
 
-    ``how`` is inner or left_semi. An interval of n buckets has n rows, so ``bucket`` should be about a usual length.
+    ``how`` is inner or left_semi. An interval of n buckets has n rows, so ``bucket`` should be about a
+    usual length; a semi join makes no buckets and keeps repeated rows of ``left``.
     """
+    if how == "left_semi":
+        return _meeting(left, right, keys, left_span, right_span)
     a = _dealt(left, *left_span, bucket)
     b = _dealt(right, *right_span, bucket)
     b = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in b.columns if c not in (*keys, "_low", "_high", "_bucket")], F.col("_low").alias("_rlow"), F.col("_high").alias("_rhigh"), F.col("_bucket").alias("_rbucket"))
     same = (a["_bucket"] == b["_rbucket"]) & (F.col("_low") <= F.col("_rhigh")) & (F.col("_rlow") <= F.col("_high"))
     for k in keys:
         same = same & (a[k] == b[f"_k_{k}"])
-    if how == "left_semi":
-        return a.join(b, same, "left_semi").drop("_low", "_high", "_bucket").distinct()
     once = F.col("_bucket") == F.floor(F.greatest("_low", "_rlow") / bucket)
     return a.join(b, same & once).drop("_low", "_high", "_bucket", "_rlow", "_rhigh", "_rbucket", *[f"_k_{k}" for k in keys])
 
 
+def _meeting(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[Column, Column], right_span: tuple[Column, Column]) -> DataFrame:
+    """Rows of ``left`` that some interval of ``right`` meets: of the right side's islands, which do not meet each other, the last that begins by a row's end decides."""
+    spans = right.select(*keys, right_span[0].alias("_at"), right_span[1].alias("_until")).filter("_at <= _until")
+    islands = merged(spans, keys, "_at", "_until", 0)
+    rows = left.select(*keys, left_span[1].alias("_at"), left_span[0].alias("_since"), F.struct(*left.columns).alias("_whole"))
+    found = as_of(rows, islands, keys, "_at", ["_until"])
+    return found.filter("_since <= _at AND _until >= _since").select("_whole.*")
+
+
 def merged(df: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms", touch: int = 1) -> DataFrame:
     """Spans of a key that overlap or lie within ``touch`` of each other, as one."""
     w = Window.partitionBy(*keys).orderBy(start, end)

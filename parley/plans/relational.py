@@ -136,28 +136,20 @@ SELECT vec_id, nearest, round(s, 6) AS similarity FROM s QUALIFY row_number() OV
 
 
 def pair_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The equal error rate of same and different labels over pairs within blocks of 25 vectors."""
-    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") / 25).cast("long").alias("block"), "vec_id", "label", "embedding")
-    other = rows.select("block", F.col("vec_id").alias("o_id"), F.col("label").alias("o_label"), F.col("embedding").alias("o"))
-    pairs = rows.join(other, "block").filter("vec_id < o_id").select(F.lit(1).alias("g"), F.round(vectors.cosine(F.col("embedding"), F.col("o")), 6).alias("s"), (F.col("label") == F.col("o_label")).alias("same"))
-    return scoring.equal_error_rate(pairs, ["g"], "s", "same").drop("g")
+    """The equal error rate of same and different labels over all pairs of vectors."""
+    cells = scoring.pair_cells(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    return scoring.error_rate_of_cells(cells.withColumn("g", F.lit(1)), ["g"]).drop("g")
 
 
 PAIR_ERROR_RATE = """
-WITH e AS (SELECT vec_id // 25 AS b, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-p AS (SELECT round(list_cosine_similarity(a.v, c.v), 6) AS s, a.label = c.label AS same FROM e a JOIN e c ON a.b = c.b AND a.vec_id < c.vec_id),
-x AS (SELECT greatest(0, least(201, CAST(floor((s + 0.2) / CAST(0.006 AS DOUBLE)) AS INTEGER) + 1)) AS c, same FROM p),
-g AS (SELECT i, count(*) FILTER (WHERE same AND c <= i) / greatest(count(*) FILTER (WHERE same), 1) AS frr, 1 - count(*) FILTER (WHERE NOT same AND c <= i) / greatest(count(*) FILTER (WHERE NOT same), 1) AS far FROM x, range(0, 201) r(i) GROUP BY i)
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+p AS (SELECT round(list_cosine_similarity(a.v, c.v), 6) AS s, a.label = c.label AS same FROM e a JOIN e c ON a.vec_id < c.vec_id),
+x AS (SELECT greatest(0, least(201, CAST(floor((s + 0.2) / CAST(0.006 AS DOUBLE)) AS INTEGER) + 1)) AS c, count(*) FILTER (WHERE same) AS n, count(*) FILTER (WHERE NOT same) AS o FROM p GROUP BY 1),
+g AS (SELECT i, coalesce(sum(n) FILTER (WHERE c <= i), 0) / greatest(sum(n), 1) AS frr, 1 - coalesce(sum(o) FILTER (WHERE c <= i), 0) / greatest(sum(o), 1) AS far FROM x, range(0, 201) r(i) GROUP BY i)
 SELECT round(-0.2 + 0.006 * i, 9) AS threshold, round((frr + far) / 2, 9) AS eer FROM g ORDER BY round(abs(frr - far), 12), i LIMIT 1
 """
 
 
-def pair_error_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The equal error rate of same and different labels over all pairs of vectors."""
-    cells = scoring.pair_cells(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
-    return scoring.error_rate_of_cells(cells.withColumn("g", F.lit(1)), ["g"]).drop("g")
-
-
 def revenue_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and totals by status and priority with all subtotals."""
     cube = table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
@@ -219,7 +211,5 @@ SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n, round(sum(value),
 """
 
 NAMED = ["usage_totals", "metric_pivot", "real_time", "best_runs", "matched_subset", "duration_buckets", "hourly_levels", "smoothed_values", "nearest_centroid", "pair_error_rate", "revenue_cube", "nation_revenue", "without_orders", "json_props", "sessions"]
-#: All pairs, tested by brute force; its namesake with an SQL twin takes those within blocks of ids only.
-WHOLE = ["pair_error_rate_whole"]
-QUERIES = {n: globals()[n] for n in [*NAMED, *WHOLE]}
+QUERIES = {n: globals()[n] for n in NAMED}
 ORACLES = {n: globals()[n.upper()] for n in NAMED}

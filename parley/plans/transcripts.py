@@ -39,16 +39,16 @@ SELECT role, count(*) AS n, count(DISTINCT w) AS distinct_words FROM w WHERE w <
 
 
 def echo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each turn's first 80 characters are contained in the previous turn's, by trigrams."""
-    part = F.substr(T.normalized(F.col("text")), F.lit(1), F.lit(80))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", part.alias("t"))
+    """How far each turn's text is contained in the previous turn's, by trigrams of whole texts."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalized(F.col("text")).alias("t"))
     before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("t").alias("p"))
     return rows.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.containment(F.col("t"), F.col("p")), 9).alias("containment"))
 
 
 ECHO_SCORES = r"""
-WITH n AS (SELECT conv_id, turn, substr(trim(regexp_replace(replace(lower(text), 'ё', 'е'), '[^\p{L}\p{N}]+', ' ', 'g')), 1, 80) AS t FROM conversations),
-g AS (SELECT conv_id, turn, substr(concat(' ', t, ' '), i, 3) AS g, count(*) AS c FROM n, range(1, 81) r(i) WHERE i <= length(t) GROUP BY ALL),
+WITH n AS (SELECT conv_id, turn, trim(regexp_replace(replace(lower(text), 'ё', 'е'), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM conversations),
+i AS (SELECT conv_id, turn, concat(' ', t, ' ') AS p, unnest(range(1, length(t) + 1)) AS i FROM n),
+g AS (SELECT conv_id, turn, substr(p, i, 3) AS g, count(*) AS c FROM i GROUP BY ALL),
 s AS (SELECT a.conv_id, a.turn, sum(least(a.c, coalesce(b.c, 0))) AS shared, sum(a.c) AS total
       FROM g a LEFT JOIN g b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 AND a.g = b.g GROUP BY 1, 2)
 SELECT n.conv_id, n.turn, round(coalesce(shared / total, 0), 9) AS containment
@@ -56,13 +56,6 @@ FROM n JOIN n p ON n.conv_id = p.conv_id AND p.turn = n.turn - 1 LEFT JOIN s ON
 """
 
 
-def echo_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each turn's text is contained in the previous turn's, by trigrams of whole texts."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalized(F.col("text")).alias("t"))
-    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("t").alias("p"))
-    return rows.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.whole_containment(F.col("t"), F.col("p")), 9).alias("containment"))
-
-
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as one text of clocked lines, a turn every 41 seconds."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("meeting_id"), "role", "text", (F.col("turn") * 41_000).alias("start_ms"), F.col("turn").alias("id"))
@@ -88,35 +81,7 @@ SELECT conv_id, turn FROM c WHERE r = 1 OR (s <= 1500 AND r <= 4)
 """
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn's first words as a hypothesis of the next one's."""
-    words = F.slice(F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " +"), lambda w: w != ""), 1, 12)
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", words.alias("hyp"))
-    nxt = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("hyp").alias("ref"))
-    return rows.join(nxt, ["conv_id", "turn"])
-
-
-_WORDS_SQL = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' +'), lambda w: w <> '')[1:12]"
-
-
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus error rates by role: all errors over all reference units, in words and characters."""
-    return scoring.error_rates(_pairs(spark, sf_dir), ["role"])
-
-
-WORD_ERROR_RATE = f"""
-WITH r AS (SELECT conv_id, turn, role, {_WORDS_SQL} AS hyp FROM conversations),
-p AS (SELECT a.role, a.hyp, b.hyp AS ref FROM r a JOIN r b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-d AS (SELECT role, hyp, ref, list_distinct(list_concat(hyp, ref)) AS dict FROM p),
-e AS (SELECT role, len(ref) AS ref_words, length(array_to_string(ref, ' ')) AS ref_chars,
-  levenshtein(array_to_string(list_transform(hyp, lambda w: chr(CAST(32 + list_position(dict, w) AS INTEGER))), ''), array_to_string(list_transform(ref, lambda w: chr(CAST(32 + list_position(dict, w) AS INTEGER))), '')) AS word_errors,
-  levenshtein(array_to_string(hyp, ' '), array_to_string(ref, ' ')) AS char_errors FROM d)
-SELECT role, CAST(sum(ref_words) AS BIGINT) AS ref_words, CAST(sum(word_errors) AS BIGINT) AS word_errors, CAST(sum(char_errors) AS BIGINT) AS char_errors,
-       round(sum(word_errors) / sum(ref_words), 9) AS wer, round(sum(char_errors) / sum(ref_chars), 9) AS cer FROM e GROUP BY role
-"""
-
-
-def word_error_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus error rates by role, each whole turn taken as a hypothesis of the whole next one."""
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " +"), lambda w: w != "")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", words.alias("hyp"))
@@ -175,8 +140,8 @@ SELECT item_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text)
        CASE WHEN length(text) > 50 THEN concat(substr(text, 1, 49), '…') ELSE text END AS quote FROM benchmark
 """
 
-NAMED = ["clean_texts", "normalized_texts", "token_totals", "echo_scores", "transcripts", "budgeted_suffix", "word_error_rate", "text_fractions", "display_names", "talk_time_labels", "slugs"]
-#: Whole texts, tested by brute force; their namesakes with SQL twins take beginnings only.
-WHOLE = ["echo_scores_whole", "word_error_rate_whole"]
-QUERIES = {n: globals()[n] for n in [*NAMED, *WHOLE]}
+NAMED = ["clean_texts", "normalized_texts", "token_totals", "echo_scores", "transcripts", "budgeted_suffix", "text_fractions", "display_names", "talk_time_labels", "slugs"]
+#: Edit distances of whole turns' words are beyond SQL; tested by brute force.
+UNTWINNED = ["word_error_rate"]
+QUERIES = {n: globals()[n] for n in [*NAMED, *UNTWINNED]}
 ORACLES = {n: globals()[n.upper()] for n in NAMED}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +37,21 @@ def gaps(chunks: DataFrame, keys: list[str], slack: int = 16) -> DataFrame:
 
 
 def integrity(spark: SparkSession, manifest: DataFrame, path: str) -> DataFrame:
-    """path, state (missing, corrupt or ok) of the manifest's files (path, size, sha256)."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"), F.length("content").alias("_size"), F.sha2("content", 256).alias("_sha"))
-    joined = manifest.join(files, F.endswith(files._path, manifest.path), "left")
-    state = F.when(F.col("_path").isNull(), "missing").when((F.col("size") != F.col("_size")) | (F.col("sha256") != F.col("_sha")), "corrupt").otherwise("ok")
-    return joined.select("path", state.alias("state"))
+    """path, state (missing, corrupt or ok) of the manifest's files (path below the folder, size, sha256).
+
+    Files meet the manifest by their whole path below the folder; only files of the right size are read.
+    """
+    folder = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", path).rstrip("/") + "/"
+    own = F.expr(f"substring(path, locate({_quoted(folder)}, path) + {len(folder)})")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(own.alias("path"), "length", "content")
+    met = files.join(manifest.select("path", "size", F.lower("sha256").alias("sha")), "path")
+    fine = (F.col("length") == F.col("size")) & F.when(F.col("length") == F.col("size"), F.sha2("content", 256) == F.col("sha"))
+    known = met.select("path", F.when(fine, "ok").otherwise("corrupt").alias("state"))
+    return manifest.select("path").join(known, "path", "left").select("path", F.coalesce("state", F.lit("missing")).alias("state"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -53,8 +65,37 @@ def tab_separated(spark: SparkSession, path: str, columns: list[str]) -> DataFra
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
-    """token, id from lines whose last blank parts them."""
-    return spark.read.text(path).select(F.regexp_extract("value", r"^(.*) (\d+)$", 1).alias("token"), F.regexp_extract("value", r"^(.*) (\d+)$", 2).cast("int").alias("id")).filter("id is not null")
+    """token, id, is_blank from lines whose last blank parts them; the blank is ``<blk>``, else the last id.
+
+    A table whose ids are not 0 to n - 1, each once, raises an error when it is read.
+    """
+    parts = r"^(.*) (\d+)$"
+    rows = spark.read.text(path).select(F.regexp_extract("value", parts, 1).alias("token"), F.regexp_extract("value", parts, 2).try_cast("int").alias("id")).filter("id is not null")
+    named = F.max(F.when(F.col("token") == "<blk>", F.col("id")))
+    of = rows.agg(F.coalesce(named, F.max("id")).alias("blank"), F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("d"), F.max("id").alias("top"))
+    whole = (F.col("n") == F.col("d")) & (F.col("top") == F.col("n") - 1)
+    checked = F.when(whole, F.col("id")).otherwise(F.raise_error(F.lit("token ids must be 0 to n - 1")).cast("int"))
+    return rows.crossJoin(F.broadcast(of)).select("token", checked.alias("id"), (F.col("id") == F.col("blank")).alias("is_blank"))  # of has one row
+
+
+def info_value(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """value: what follows ``key:`` on the first line that begins so."""
+    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).filter(F.startswith(F.ltrim("value"), F.lit(f"{key}:")))
+    return lines.agg(F.min_by(F.trim(F.substr(F.ltrim("value"), F.lit(len(key) + 2))), "n").alias("value"))
+
+
+def sentences(spark: SparkSession, path: str) -> DataFrame:
+    """id, file, raw, text, n_samples, gender of a speech corpus' tab-separated listing."""
+    rows = tab_separated(spark, path, ["id", "file", "raw", "text", "characters", "n_samples", "gender"])
+    return rows.select(F.col("id").cast("long").alias("id"), "file", "raw", "text", F.col("n_samples").cast("long").alias("n_samples"), "gender")
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """The result files below a path, one row each; broken ones and summaries are left out."""
+    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    shape = "model string, sets map<string,struct<n:long,wer:double,cer:double,rtf:double>>"
+    rows = files.filter("file <> 'summary.json'").select("file", F.from_json("value", shape).alias("r"))
+    return rows.filter("r.model is not null").select("file", "r.*")
 
 
 def devices(listing: DataFrame) -> DataFrame:

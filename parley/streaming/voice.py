@@ -15,50 +15,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WINDOW_MS = 32
-START_MS, END_MS, LONG_END_MS, BEFORE_MS, AFTER_MS = 150, 500, 100, 250, 150
-LONGEST_MS, LOOK_BACK_MS = 20_000, 3_000
+SPEECH_MS, SILENCE_MS, SHORT_SILENCE_MS, BEFORE_MS, AFTER_MS = 150, 500, 100, 250, 150
+LONGEST_MS, LOOK_BACK_MS, GRACE_MS = 20_000, 3_000, 800
 
 
 @dataclass
 class Segmenter:
-    """Fed one window after another (its end, whether it holds speech, its level); gives (start, end) of utterances."""
+    """Fed one window after another (its end, the detector's speech flag, its level); gives (start, end) of utterances.
+
+    The flag comes from a detector that wants 150 ms of speech before it rises and 500 ms of silence
+    (100 ms in an utterance over half the longest) before it falls. After three longest utterances
+    without a pause the detector begins anew; the open utterance then waits 800 ms for more speech.
+    """
 
     longest_ms: int = LONGEST_MS
     start: int | None = None
     before: int = 0  # the previous utterance's end
-    speech_since: int | None = None
-    silence_since: int | None = None
+    speaking: bool = False
+    voice_since: int = 0
+    grace_until: int | None = None
     levels: list[tuple[int, float]] = field(default_factory=list)
     fed: int = 0
 
     def feed(self, end: int, speech: bool, level: float) -> list[tuple[int, int]]:
-        begin, self.fed = end - WINDOW_MS, end
-        self.levels = [x for x in self.levels if x[0] > end - LOOK_BACK_MS] + [(end, level)]
-        if self.start is None:
-            self.speech_since = (begin if self.speech_since is None else self.speech_since) if speech else None
-            if self.speech_since is not None and end - self.speech_since >= START_MS:
-                self.start = max(self.speech_since - BEFORE_MS, self.before, 0)
-                self.silence_since = None
-            return []
-        self.silence_since = None if speech else begin if self.silence_since is None else self.silence_since
-        wait = LONG_END_MS if end - self.start > self.longest_ms / 2 else END_MS
-        if self.silence_since is not None and end - self.silence_since >= wait:
-            return [self.close(min(self.silence_since + min(AFTER_MS, wait // 2), end))]
-        if end - self.start >= self.longest_ms:
-            return [self.cut(end)]
+        soft = self.start is not None and self.speaking and self.fed + 3 * WINDOW_MS - self.voice_since > max(self.longest_ms // 2, 1_500)
+        was, self.speaking, self.fed = self.speaking, speech, end
+        self.levels = [x for x in self.levels if x[0] > end - LOOK_BACK_MS] + [(end, level * level)]
+        if speech and not was:
+            self.voice_since = max(end - 2 * WINDOW_MS - SPEECH_MS, 0)
+            self.grace_until = None
+            if self.start is None:
+                self.start = max(self.voice_since - BEFORE_MS, self.before, 0)
+        elif was and not speech and self.start is not None:
+            silence = SHORT_SILENCE_MS if soft else SILENCE_MS
+            return [self.close(end - silence + min(AFTER_MS, silence // 2))]
+        elif speech and self.start is not None and end - self.start >= self.longest_ms:
+            return [self.cut()]
+        elif self.start is not None and self.grace_until is not None and end >= self.grace_until:
+            return [self.close(end)]
         return []
 
     def close(self, end: int) -> tuple[int, int]:
-        out = (self.start, end)
-        self.start, self.before, self.speech_since, self.silence_since = None, end, None, None
+        out = (self.start, min(max(end, self.start), self.fed))
+        self.start, self.before, self.grace_until = None, out[1], None
         return out
 
-    def cut(self, end: int) -> tuple[int, int]:
-        """Ends at the quietest window looked back on (the latest of equals) and begins anew there."""
-        earliest = self.start + self.longest_ms // 2
-        at = min((x for x in self.levels if x[0] >= earliest), key=lambda x: (x[1], -x[0]))[0]
-        out = (self.start, at)
-        self.start = self.before = at
+    def cut(self) -> tuple[int, int]:
+        """Ends at the centre of the quietest three windows looked back on (the latest of equals) and begins anew there."""
+        low = max(self.start + self.longest_ms // 2, self.fed - LOOK_BACK_MS)
+        window = [x for x in self.levels if x[0] - WINDOW_MS >= low]
+        three = [(sum(e for _, e in window[i : i + 3]), -window[i + 1][0]) for i in range(len(window) - 2)]
+        at = -min(three)[1] - WINDOW_MS // 2 if three else self.fed
+        out = self.close(at)
+        self.start = out[1]
+        if self.fed - self.voice_since >= 3 * max(self.longest_ms, LONGEST_MS):
+            self.speaking, self.voice_since, self.grace_until = False, self.fed, self.fed + GRACE_MS
         return out
 
     def finish(self) -> list[tuple[int, int]]:

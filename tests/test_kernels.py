@@ -151,13 +151,19 @@ def feed(kernel, flags, level=lambda i: 0.1):
 
 def test_utterances():
     one = feed(Segmenter(), [False] * 20 + [True] * 60 + [False] * 40)
-    assert len(one) == 1 and one[0][0] == 20 * 32 - 250 and one[0][1] == 80 * 32 + 150
-    assert feed(Segmenter(), [False] * 20 + [True] * 3 + [False] * 40) == []
+    # the flag rises two windows and 150 ms late and falls 500 ms late; 250 ms before and 150 ms after are kept
+    assert one == [(21 * 32 - 64 - 150 - 250, 81 * 32 - 500 + 150)]
     two = feed(Segmenter(), ([False] * 20 + [True] * 30 + [False] * 20) * 2)
     assert len(two) == 2 and two[0][1] <= two[1][0]
-    long = feed(Segmenter(longest_ms=12_000), [True] * 1000, lambda i: 0.0 if i == 340 else 0.1)
-    assert len(long) >= 2 and all(a[1] == b[0] for a, b in zip(long, long[1:])) and long[0][1] == 341 * 32
+    soft = feed(Segmenter(longest_ms=6_000), [False] * 20 + [True] * 120 + [False] * 20)
+    assert soft == [(21 * 32 - 464, 141 * 32 - 100 + 50)]  # over half the longest a short silence is enough
+    long = feed(Segmenter(longest_ms=12_000), [True] * 1000, lambda i: 0.0 if i in (339, 340, 341) else 0.1)
+    assert len(long) >= 2 and all(a[1] == b[0] for a, b in zip(long, long[1:])) and long[0][1] == 341 * 32 - 16
     assert all(b - a <= 12_000 + 32 for a, b in long)
+    # after a minute without a pause the detector begins anew, and 800 ms later the rest is closed
+    stopped = feed(Segmenter(), [True] * 1880 + [False] * 100)
+    assert stopped[-1][1] <= 1880 * 32 + 800 + 32 and stopped[-2][1] == stopped[-1][0]
+    assert feed(Segmenter(), [False] * 50) == [] and feed(Segmenter(), [True] * 40)[-1][1] == 40 * 32
 
 
 def test_audio_round_trips():
@@ -175,6 +181,52 @@ def test_audio_round_trips():
     assert audio.collapsed(np.eye(3)[[0, 0, 2, 1, 1, 2, 1]], blank=2) == [0, 1, 1]
 
 
+def test_wav_of_all_kinds_and_broken_ones():
+    import io
+    import struct
+    import wave
+
+    def wav(kind, bits, raw, channels=1, rate=16_000):
+        shape = struct.pack("<HHIIHH", kind, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits)
+        return b"RIFF" + struct.pack("<I", 36 + len(raw)) + b"WAVEfmt " + struct.pack("<I", 16) + shape + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", len(raw)) + raw
+
+    x = np.array([0, 0.5, -0.25, -1], np.float32)
+    assert np.allclose(audio.read_wav(wav(3, 32, x.astype("<f4").tobytes())), x) and np.allclose(audio.read_wav(wav(3, 64, x.astype("<f8").tobytes())), x)
+    assert np.allclose(audio.read_wav(wav(1, 32, (x * 2.0**31).astype("<i8").clip(-(2**31), 2**31 - 1).astype("<i4").tobytes())), x)
+    assert np.allclose(audio.read_wav(wav(1, 16, (x * 32768).astype("<i2").tobytes(), channels=2)), [0.25, -0.625])
+    for broken in (b"", b"RIFF", wav(1, 16, b"")[:30], wav(7, 8, b"abc"), b"x" * 100):
+        with pytest.raises(ValueError):
+            audio.read_wav(broken)
+    writer = audio.WavWriter()
+    for part in (x[:2], x[2:]):
+        writer.write(part)
+        writer.silence(3)
+    with wave.open(io.BytesIO(writer.finish())) as f:
+        assert f.getnframes() == 10 and audio.from_s16le(f.readframes(10))[[2, 3, 4, 7, 8, 9]].max() == 0
+    decoder = audio.SampleDecoder()
+    raw = (x * 32767).astype("<i2").tobytes()
+    assert np.array_equal(np.concatenate([decoder.feed(raw[:3]), decoder.feed(raw[3:4]), decoder.feed(raw[4:])]), audio.from_s16le(raw))
+
+
+def test_snapping_floors_gains_and_rings():
+    x = np.full(32_000, 0.5)
+    x[15_000:15_400] = 0
+    assert audio.snapped(x, [16_000], 1_000) == [15_040 + 160] and audio.snapped(x, [16_000], 16_000) == [16_000]
+    assert audio.snapped(x, [], 10) == []
+    floor = audio.noise_floor(np.array([0.0, 1.0, 0.5, 1.0]))
+    assert np.isnan(floor[0]) and np.allclose(floor[1:], [1.0, 0.85, 0.85 * 1.0023])
+    assert np.allclose(audio.gains(np.array([0.008, 0.8, 0.0])), [10, 1, 1]) and audio.gains(np.array([0.04])).tolist() == [2]
+    assert audio.hangover(np.array([0, 1, 0, 0, 0], bool), 2).tolist() == [False, True, True, True, False]
+    ring = audio.Ring(seconds=1, gap_ms=100)
+    ring.feed(0, np.ones(1600))
+    ring.feed(150, np.ones(1600))
+    assert len(ring.samples) == 4000 and ring.slice(100, 150).max() == 0 and len(ring.slice(-50, 50)) == 800
+    ring.feed(5000, np.ones(1600))
+    assert ring.start_ms == 5000 and len(ring.samples) == 1600
+    ring.feed(5100, np.ones(16_000))
+    assert ring.start_ms == 5100 and len(ring.samples) == 16_000
+
+
 def test_audio_measures():
     rng = np.random.default_rng(0)
     noise = rng.normal(size=16_000) * 0.1
