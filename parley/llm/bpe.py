@@ -39,9 +39,39 @@ CACHE_WORDS = 150_000
 # The piece pattern of the tokenizer file, the order of bytes as printable characters.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PIECES_AND_ENDS = regex.compile(r"\n|" + PIECE.pattern)
+# Code points (first, last) that became letters or numbers after Unicode 16.0, the library's version.
+NEWER_RANGES = [
+    (0x0558, 0x0558), (0x058B, 0x058C), (0x088F, 0x088F), (0x0C5C, 0x0C5C), (0x0CDC, 0x0CDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9),
+    (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+NEWER = frozenset(chr(c) for a, b in NEWER_RANGES for c in range(a, b + 1))
+_NEWER = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER_RANGES) + "]"
+OLDER_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--{_NEWER}]+|[\p{{N}}--{_NEWER}]|[[^\s\p{{L}}\p{{N}}]||{_NEWER}]+", regex.V1)
+OLDER_PIECES_AND_ENDS = regex.compile(r"\n|" + OLDER_PIECE.pattern, regex.V1)
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 
 
+# Capitals that Unicode versions after 15.1 added, with the library's lower-case letters.
+LOWER_LATER = {
+    "\u1c89": "\u1c8a", "\ua7cb": "\u0264", "\ua7cc": "\ua7cd", "\ua7ce": "\ua7cf", "\ua7d2": "\ua7d3", "\ua7d4": "\ua7d5", "\ua7da": "\ua7db", "\ua7dc": "\u019b",
+    **{chr(c): chr(c + 0x20) for c in range(0x10D50, 0x10D66)},
+    **{chr(c): chr(c + 0x1B) for c in range(0x16EA0, 0x16EB9)},
+}
+
+
+def pieces_of(text: str, with_ends: bool = False) -> list[str]:
+    """The pieces of a text without white space, with line ends between if wanted."""
+    if text.isascii() or NEWER.isdisjoint(text):
+        return (PIECES_AND_ENDS if with_ends else PIECE).findall(text)
+    return (OLDER_PIECES_AND_ENDS if with_ends else OLDER_PIECE).findall(text)
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte: itself if printable, else the next free one from 256."""
     taken, out, free = set(PRINTABLE), [], 256
@@ -189,7 +219,11 @@ class Batch:
 
 def lowered(text: str) -> str:
     """The text composed and lower-cased letter by letter (so a final sigma is not special)."""
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFC", text)
+    if not LOWER_LATER.keys().isdisjoint(text):
+        text = text.translate({ord(k): v for k, v in LOWER_LATER.items()})
     return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 
 
@@ -329,7 +363,7 @@ class Encoder:
         """Remember the ids of new chunks: their words are looked up, then merged, all at once."""
         words: dict[bytes, int] = {}
         parts: list[list[int]] = [[]]
-        for piece in PIECES_AND_ENDS.findall("\n".join(chunks)):
+        for piece in pieces_of("\n".join(chunks), with_ends=True):
             if piece == "\n":
                 parts.append([])
             else:
@@ -393,7 +427,7 @@ def piece_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         def out() -> pa.RecordBatch:
             pieces: Counter[str] = Counter()
             for chunk, n in found.items():
-                for piece in PIECE.findall(chunk):
+                for piece in pieces_of(chunk):
                     if len(piece.encode("utf-8")) <= MAX_WORD_BYTES:
                         pieces[piece] += n
             found.clear()
@@ -442,14 +476,16 @@ def encode(
     """
     spark = docs.sparkSession
     with open(tokenizer_file, "rb") as f:
-        shared: Broadcast = spark.sparkContext.broadcast((f.read(), lexicon))
+        file = f.read()
+    shared: Broadcast = spark.sparkContext.broadcast((file, lexicon))
+    digest = hashlib.sha256(file).hexdigest() + hashlib.sha256(lexicon or b"").hexdigest()
     inner = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     fields = [f"k{i} {t}" for i, (_, t) in enumerate(inner.dtypes[:-1])]
     schema = ", ".join([*fields, "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>"] * with_ids, *["decoded string"] * with_text])
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = _encoder(shared, digest)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -479,17 +515,16 @@ def encode(
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *out.columns[width:])
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(shared: Broadcast) -> Encoder:
-    """This worker's encoder for a broadcast tokenizer."""
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared.value)
-    if key not in _ENCODERS:
+def _encoder(shared: Broadcast, digest: str) -> Encoder:
+    """This worker's encoder for a broadcast tokenizer and lexicon, known by their digest."""
+    if digest not in _ENCODERS:
         _ENCODERS.clear()
         file, lexicon = shared.value
-        _ENCODERS[key] = Encoder(Merges(file), Lexicon(lexicon) if lexicon else None)
-    return _ENCODERS[key]
+        _ENCODERS[digest] = Encoder(Merges(file), Lexicon(lexicon) if lexicon else None)
+    return _ENCODERS[digest]
 
 
 def decode(encoded: DataFrame, tokenizer_file: str, ids_col: str = "ids") -> DataFrame:
