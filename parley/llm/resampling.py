@@ -39,8 +39,9 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, good_ids: DataFrame, target_docs: int = TARGET_DOCS) -> np.ndarray:
     """log target over raw frequency by bucket; good_ids has one column of ids (columns doc_id, text of docs)."""
-    ids = good_ids.toDF("id").filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(target_docs)
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r.id for r in ids.collect()), np.int64))
+    kind = dict(docs.dtypes)["doc_id"]
+    ids = good_ids.toDF("id").select(F.xxhash64(F.col("id").cast(kind)).alias("h"), "id").filter("id is not null").distinct().orderBy("h", "id").limit(target_docs)
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r.h for r in ids.collect()), np.int64))
     width = 2 * BUCKETS // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,8 +49,7 @@ def fit(docs: DataFrame, good_ids: DataFrame, target_docs: int = TARGET_DOCS) ->
         for batch in batches:
             for part in text_slices(batch, 1):
                 doc, bucket = grams(part.column(1))
-                ids = np.array([-1 if x is None else x for x in part.column(0).to_pylist()], np.int64)
-                target = (np.isin(ids, shared.value) & ~np.array(part.column(0).is_null(), bool))[doc]
+                target = (np.isin(part.column(0).fill_null(0).to_numpy(), shared.value) & ~np.array(part.column(0).is_null(), bool))[doc]
                 held[0] += np.bincount(bucket, minlength=BUCKETS)
                 held[1] += np.bincount(bucket[target], minlength=BUCKETS)
         flat = held.reshape(-1)
@@ -57,7 +57,8 @@ def fit(docs: DataFrame, good_ids: DataFrame, target_docs: int = TARGET_DOCS) ->
         yield slices_of(at, flat[at], width)
 
     small_batches(docs.sparkSession)
-    partial = docs.select("doc_id", "text").mapInArrow(run, "slice int, blob binary")
+    known = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))  # ids of any kind
+    partial = docs.select(known.alias("h"), "text").mapInArrow(run, "slice int, blob binary")
     raw, target = summed_slices(partial, width, np.zeros(2 * BUCKETS)).reshape(2, BUCKETS)
     expected = raw / max(raw.sum(), 1) * target.sum()
     model = raw * (target + PRIOR) / (expected + PRIOR)
