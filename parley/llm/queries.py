@@ -37,10 +37,10 @@ def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as WAV payloads with spectral-peak fingerprints, as digests."""
+    """All documents as WAV payloads, as digests, with their spectral-peak pairs as time-coded arrays."""
     from parley.llm import media
 
-    return media.media(table(spark, sf_dir, "documents"), with_media=False, with_pairs=False)
+    return media.media(table(spark, sf_dir, "documents"), with_media=False)
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,16 +72,17 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"))
     model = langid.fit(docs.filter(~F.coalesce("held_out", F.lit(True))))
-    return langid.identify(docs, model, keep=("doc_id", "held_out"), with_spans=False)
+    found = langid.identify(docs, model, keep=("doc_id", "held_out"), with_spans=False)
+    return found.withColumn("held_out", F.coalesce("held_out", F.lit(False)))  # rows without id are neither held out nor learned from
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each document is in the mixture, at no more than 1.25 repeats of a source."""
+    """How often each document is in the mixture, at no more than 1.25 repeats of a source, and where in its source's order."""
     from parley.llm import mixing
 
     docs = table(spark, sf_dir, "documents")
-    counted = mixing.with_copies(docs, mixing.plan(docs, most_repeats=1.25))
-    return counted.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"), "copies", F.col("copies_weight").alias("weight"))
+    counted = mixing.with_copies(docs, mixing.plan(docs, most_repeats=1.25), with_places=True)
+    return counted.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"), "copies", F.col("copies_weight").alias("weight"), F.col("copies_blocks").alias("blocks"), F.col("copies_place").alias("place"))
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +91,9 @@ def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.common import fold_of
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold_of(F.col("doc_id"), 10) == 0).alias("held_out"))
-    model, unigrams = katz.fit(docs.filter(~F.coalesce("held_out", F.lit(True))))
-    return katz.score(docs, model, unigrams, keep=("doc_id", "held_out"))
+    model, buckets = katz.fit(docs.filter(~F.coalesce("held_out", F.lit(True))))
+    scored = katz.score(docs, model, buckets, keep=("doc_id", "held_out"))
+    return scored.withColumn("held_out", F.coalesce("held_out", F.lit(False)))  # rows without id are neither held out nor learned from
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
