@@ -174,6 +174,13 @@ def collapsed(frames: np.ndarray, blank: int) -> list[int]:
     return best[keep].tolist()
 
 
+def active_level(samples: np.ndarray, frame: int = 320, below_db: float = 40.0) -> float:
+    """Root mean square over the 20 ms frames that lie within 40 dB of the loudest."""
+    n = len(samples) // frame
+    power = (np.asarray(samples[: n * frame], np.float64).reshape(n, frame) ** 2).mean(axis=1) if n else np.zeros(1)
+    return float(np.sqrt(power[power >= power.max() * 10 ** (-below_db / 10)].mean()))
+
+
 def quietest(samples: np.ndarray, hop: int = 160, hops: int = 10) -> int:
     """The middle of the quietest stretch of ``hops`` hops, the latest of equals."""
     n = len(samples) // hop

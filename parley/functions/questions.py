@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parley.functions.text import KAZAKH, tokens
+from parley.functions.text import KAZAKH, folded, tokens
 
 # Words and phrases of the ten rules.
 PHRASES = ["можно ли", "могли бы", "не могли бы", "можете ли", "не подскажете", "как вы думаете", "как вы считаете", "что вы думаете", "что думаете", "что скажете", "ваше мнение", "как считаете", "а вы", "а у вас", "а вам", "а ты", "а у тебя", "или нет", "да или нет", "согласны ли", "вы согласны", "не так ли", "не правда ли", "как насчет", "сіз ше", "сіздер ше", "сендер ше", "сен ше", "не үшін", "не дейсіз", "қалай ойлайсыз"]
@@ -111,6 +111,28 @@ LATIN_LETTERS = {
 }
 
 
+def name_hit(text: Column, names: Column) -> Column:
+    """name, place and vocative of the first of some names in a text (ties: the earlier name), null if none is in it.
+
+    A Latin name is looked for in Cyrillic, too. It is vocative at the text's end, or within two words of
+    its beginning, leading fillers aside.
+    """
+    words = F.filter(F.split(folded(text), "[^a-zа-я0-9]+"), lambda w: w != "")
+    n = F.size(words)
+    leading = F.size(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda i: (i < n - 1) & F.forall(F.slice(words, 1, i + 1), lambda w: w.isin(FILLERS))))
+
+    def hit(name: Column, k: Column) -> Column:
+        own = F.filter(F.split(folded(name), "[^a-zа-я0-9]+"), lambda w: w != "")
+        spelled = F.transform(own, lambda w: F.when(w.rlike("[a-z]"), cyrillic(w)).otherwise(w))
+        place = F.least(name_place(words, own), name_place(words, spelled))
+        vocative = (place <= leading + 1) | (place + F.size(own) == n)
+        return F.when(F.size(own) > 0, F.struct(place.alias("place"), k.alias("k"), name.alias("name"), vocative.alias("vocative")))
+
+    found = F.filter(F.transform(names, hit), lambda h: h["place"].isNotNull())
+    first = F.array_min(found)
+    return F.when(first.isNotNull(), F.struct(first["name"].alias("name"), first["place"].alias("place"), first["vocative"].alias("vocative")))
+
+
 def cyrillic(word: Column) -> Column:
     """A Latin spelling as the recognizer writes it, from left to right: pairs before letters, i after a vowel as й."""
     w = F.lower(word)

@@ -71,10 +71,18 @@ class Guard:
     """One meeting's hold-back state; every method gives the segments that may go on, in order."""
 
     held: deque = field(default_factory=deque)
-    shown: set = field(default_factory=set)
-    speaking: dict = field(default_factory=dict)  # open utterances of the call: id -> earliest start
+    shown: dict = field(default_factory=dict)  # partials shown of the microphone: id -> latest end
+    speaking: dict = field(default_factory=dict)  # open utterances of the call: id -> earliest start, latest end
     finals: list = field(default_factory=list)
     sounds: list = field(default_factory=list)
+    newest: int = 0
+
+    def forget(self, end: int) -> None:
+        """Drop utterances without a final that ended long before the newest segment, so that the state stays bounded."""
+        self.newest = max(self.newest, end)
+        waiting = {s["id"] for s, _, _ in self.held}
+        self.shown = {i: e for i, e in self.shown.items() if e >= self.newest - KEEP_MS or i in waiting}
+        self.speaking = {i: x for i, x in self.speaking.items() if x[1] >= self.newest - KEEP_MS}
 
     def sound(self, start: int, end: int, rms: float, now: int) -> list[dict]:
         if rms >= QUIET_RMS:
@@ -87,6 +95,7 @@ class Guard:
 
     def segment(self, s: dict, now: int) -> list[dict]:
         text = plain(s["text"])
+        self.forget(s["end_ms"])
         if s["source"] == "system":
             if s["is_final"]:
                 self.speaking.pop(s["id"], None)
@@ -94,12 +103,14 @@ class Guard:
                     self.finals.append((s["start_ms"], s["end_ms"], text))
                     self.finals = [f for f in self.finals if f[1] >= s["end_ms"] - KEEP_MS]
             else:
-                self.speaking[s["id"]] = min(s["start_ms"], self.speaking.get(s["id"], s["start_ms"]))
+                start, end = self.speaking.get(s["id"], (s["start_ms"], s["end_ms"]))
+                self.speaking[s["id"]] = min(s["start_ms"], start), max(s["end_ms"], end)
             return [s, *self.judged(now)]
         if not s["is_final"]:
-            self.shown.add(s["id"])
+            self.shown[s["id"]] = max(s["end_ms"], self.shown.get(s["id"], 0))
             return [s]
         if not text:
+            self.shown.pop(s["id"], None)
             return [s]
         self.held.append((s, text, now + HOLD_MS))
         return self.judged(now)
@@ -113,9 +124,10 @@ class Guard:
             if verdict is None:
                 break
             self.held.popleft()
+            was_shown = self.shown.pop(s["id"], None) is not None
             if verdict:
                 out.append(s)
-            elif s["id"] in self.shown:
+            elif was_shown:
                 out.append({**s, "text": ""})
         return out
 
@@ -126,7 +138,7 @@ class Guard:
             return True
         if repeats(text, " ".join(t for a, b, t in sorted(self.finals) if a <= high and b >= low)):
             return False
-        if last or not (any(a <= high for a in self.speaking.values()) or any(self.untold(max(a, low), min(b, s["end_ms"])) for a, b in near)):
+        if last or not (any(a <= high for a, _ in self.speaking.values()) or any(self.untold(max(a, low), min(b, s["end_ms"])) for a, b in near)):
             return True
         return None
 

@@ -77,6 +77,15 @@ def as_of(points: DataFrame, anchors: DataFrame, keys: list[str], at: str, value
     return known.select(*keys, at, "_row.*", F.col("_anchor._at").alias("anchor_at"), *[F.col("_anchor")[v].alias(v) for v in values])
 
 
+def session_ms(points: DataFrame, anchors: DataFrame, keys: list[str], rate: int = 16_000) -> DataFrame:
+    """``points`` (column sample) with ms, by the last anchor (sample, ms) at or before each; before the first one its time."""
+    first = anchors.groupBy(*keys).agg(F.min_by("ms", "sample").alias("_first"))
+    known = as_of(points, anchors, keys, "sample", ["ms"]).join(first, keys, "left")
+    own = F.expr(f"ms + (sample - anchor_at) * 1000 div {rate}")
+    alone = F.expr(f"coalesce(_first, sample * 1000 div {rate})")
+    return known.withColumn("ms", F.coalesce(own, alone)).drop("_first", "anchor_at")
+
+
 def matched_within(left: DataFrame, right: DataFrame, keys: list[str], at: str, tolerance: int) -> DataFrame:
     """Rows of ``left`` for which ``right`` has a point of the key within the tolerance."""
     point = F.col(at)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import word_distance
+from parley.operators.turns import nearest_rank
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -156,9 +158,31 @@ def by_duration(items: DataFrame, keys: list[str], duration_ms: str, wrong: str)
 
 
 def difference_statistics(df: DataFrame, a: str, b: str) -> DataFrame:
-    """``df`` with the largest and mean absolute difference of two arrays."""
-    d = F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double"))
-    return df.withColumn("max_abs", F.array_max(d)).withColumn("mean_abs", F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / F.size(d))
+    """``df`` with the largest, mean and 99.9th percentile (between neighbours in proportion) of two arrays' absolute differences."""
+    d = F.sort_array(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")))
+    at = (F.size(d) - 1) * F.lit(0.999)
+    low = F.floor(at).cast("int")
+    under, over = F.get(d, low), F.get(d, F.least(low + 1, F.size(d) - 1))
+    mean = F.try_divide(F.aggregate(d, F.lit(0.0), lambda s, x: s + x), F.nullif(F.size(d), F.lit(0)))
+    return df.withColumn("max_abs", F.array_max(d)).withColumn("mean_abs", mean).withColumn("p999_abs", under + (over - under) * (at - low))
+
+
+def latencies(segments: DataFrame, keys: list[str], fed: str, arrived: str) -> DataFrame:
+    """Per key the median and the 90th percentile, by nearest rank, of arrival after the end was fed."""
+    late = segments.select(*keys, (F.col(arrived) - F.col(fed)).alias("late"))
+    return nearest_rank(late, keys, "late", 0.5, "median").join(nearest_rank(late, keys, "late", 0.9, "p90"), keys)
+
+
+def grid_search(items: DataFrame, grid: DataFrame, keys: list[str], value: Column, better: str = "max") -> DataFrame:
+    """keys and the configuration (row of ``grid``, a few rows) of the best mean value, ties to the smaller configuration.
+
+    ``value`` is computed of an item and a configuration.
+    """
+    config = F.struct(*grid.columns)
+    scored = items.crossJoin(F.broadcast(grid)).groupBy(*keys, config.alias("config")).agg(F.avg(value).alias("mean"))
+    order = -F.col("mean") if better == "max" else F.col("mean")
+    best = F.min(F.struct(order.alias("o"), "config", "mean")).alias("b")
+    return scored.groupBy(*keys).agg(best).select(*keys, "b.config.*", "b.mean")
 
 
 def frames(spans: DataFrame, keys: list[str], name: str, frame_ms: int = 10) -> DataFrame:
@@ -168,20 +192,37 @@ def frames(spans: DataFrame, keys: list[str], name: str, frame_ms: int = 10) ->
     return filled.groupBy(*keys, "frame").agg(F.collect_set(name).alias(name))
 
 
-def frame_scores(reference: DataFrame, hypothesis: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: frames spoken, found, missed, false, and with two speakers or more in the reference."""
+def frame_scores(reference: DataFrame, hypothesis: DataFrame, keys: list[str], own: str = "me") -> DataFrame:
+    """Per key: frames spoken, found, missed, false, with two speakers or more in the reference, and the user's own.
+
+    own_hits, own_false and own_missed count frames that both, only the hypothesis, or only the reference give the user.
+    """
     a, b = frames(reference, keys, "speaker"), frames(hypothesis, keys, "label")
     both = a.join(b, [*keys, "frame"], "full_outer")
     has = lambda c: F.col(c).isNotNull()
+    mine = lambda c: F.coalesce(F.array_contains(c, own), F.lit(False))
     return both.groupBy(*keys).agg(
         F.count_if(has("speaker")).alias("spoken"),
+        F.count_if(has("label")).alias("labelled"),
         F.count_if(has("speaker") & has("label")).alias("found"),
         F.count_if(has("speaker") & ~has("label")).alias("missed"),
         F.count_if(has("label") & ~has("speaker")).alias("false"),
         F.count_if(F.size("speaker") > 1).alias("overlapped"),
+        F.count_if(mine("speaker") & mine("label")).alias("own_hits"),
+        F.count_if(~mine("speaker") & mine("label")).alias("own_false"),
+        F.count_if(mine("speaker") & ~mine("label")).alias("own_missed"),
     )
 
 
+def purity(reference: DataFrame, hypothesis: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the share of labelled frames with one speaker that are of their label's commonest speaker."""
+    one = frames(reference, keys, "speaker").filter(F.size("speaker") == 1).select(*keys, "frame", F.col("speaker")[0].alias("speaker"))
+    labelled = frames(hypothesis, keys, "label").select(*keys, "frame", F.explode("label").alias("label"))
+    counted = one.join(labelled, [*keys, "frame"]).groupBy(*keys, "label", "speaker").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy(*keys, "label").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    return best.groupBy(*keys).agg(F.round(F.sum("most") / F.sum("all"), 9).alias("purity"))
+
+
 def threshold_sweep(pairs: DataFrame, keys: list[str], score: str, same: str, low: float, step: float, steps: int) -> DataFrame:
     """keys, threshold, precision, recall of calling pairs the same from each threshold of a grid on."""
     cell = F.greatest(F.lit(-1), F.least(F.lit(steps - 1), F.floor((F.col(score) - F.lit(low)) / F.lit(step)).cast("int")))
@@ -226,9 +267,10 @@ def split_errors(reference: list[str], hypothesis: list[str], boundary: int) ->
 def part_error_rates(items: DataFrame) -> DataFrame:
     """lang, position, words, errors, wer of two-part items (columns ref, hyp, boundary, langs)."""
 
-    @F.udf("array<int>")
-    def both(ref, hyp, boundary):  # once per item; the alignment has no built-in form
-        return list(split_errors(ref, hyp or [], boundary))
+    @F.pandas_udf("array<int>")
+    def both(refs: pd.Series, hyps: pd.Series, boundaries: pd.Series) -> pd.Series:  # the alignment has no built-in form
+        empty: list[str] = []
+        return pd.Series([list(split_errors(list(r), empty if h is None else list(h), int(b))) for r, h, b in zip(refs, hyps, boundaries)])
 
     scored = items.withColumn("_e", both("ref", "hyp", "boundary"))
     part = lambda k, words: F.struct(F.get("langs", F.lit(k)).alias("lang"), F.lit(k).alias("position"), words.alias("words"), F.get("_e", F.lit(k)).alias("errors"))

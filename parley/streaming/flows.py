@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from parley.functions.text import is_blank
 from parley.operators.echo import HOLD_MS, Guard
 
+IDLE_MS = 600_000
 OUT = "meeting_id long, id string, source string, start_ms long, end_ms long, text string, is_final boolean, emitted_ms long"
 COLUMNS = [c.split(" ")[0] for c in OUT.split(", ")]
 
@@ -21,13 +22,18 @@ COLUMNS = [c.split(" ")[0] for c in OUT.split(", ")]
 def held_back_stream(events: DataFrame) -> DataFrame:
     """Echo suppression of a stream of audio activity and segments (see ``parley.operators.echo``).
 
-    A held final is judged again with every batch of its meeting, and after ``HOLD_MS`` without one.
+    A held final is judged again with every batch of its meeting, and after ``HOLD_MS`` without one. A
+    meeting that holds nothing and is silent for ``IDLE_MS`` is forgotten.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         guard, last = pickle.loads(state.get[0]) if state.exists else (Guard(), 0)
         out = []
         if state.hasTimedOut:
+            if not guard.held:
+                state.remove()
+                yield pd.DataFrame(columns=COLUMNS)
+                return
             last += HOLD_MS
             out += [{**s, "emitted_ms": last} for s in guard.judged(last)]
         else:
@@ -36,8 +42,7 @@ def held_back_stream(events: DataFrame) -> DataFrame:
                 got = guard.sound(int(e["start_ms"]), int(e["end_ms"]), e["rms"], last) if e["kind"] == "audio" else guard.segment(e, last)
                 out += [{**s, "emitted_ms": last} for s in got]
         state.update((pickle.dumps((guard, last)),))
-        if guard.held:
-            state.setTimeoutDuration(HOLD_MS)
+        state.setTimeoutDuration(HOLD_MS if guard.held else IDLE_MS)
         yield pd.DataFrame(out, columns=COLUMNS if not out else None).reindex(columns=COLUMNS)
 
     return events.groupBy("meeting_id").applyInPandasWithState(run, OUT, "guard binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
