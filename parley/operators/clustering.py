@@ -144,22 +144,39 @@ class Online:
 def agglomerate(similarity: np.ndarray, weights: np.ndarray, limit: float, most: int | None = None) -> np.ndarray:
     """Clusters by weighted average linkage: the most similar pair is joined while it has ``limit`` or there are over ``most``.
 
-    Ids are the smallest member's, made consecutive. Similarity is kept as one matrix, so the items are bounded by the caller.
+    Ids are the smallest member's, made consecutive. All joins are found along chains of nearest
+    neighbours, in quadratic time, and taken from the most similar on: with average linkage no join
+    brings two clusters nearer than both its parts were, so these are the joins of the greedy order.
+    Similarity is kept as one matrix, so the items are bounded by the caller.
     """
     n = len(weights)
-    s, w, of = similarity.astype(np.float64).copy(), weights.astype(np.float64).copy(), np.arange(n)
+    s, w = similarity.astype(np.float64).copy(), np.maximum(weights.astype(np.float64), 1e-3)
     np.fill_diagonal(s, -np.inf)
-    alive = n
-    while alive > 1:
-        i, j = sorted(np.unravel_index(int(s.argmax()), s.shape))
-        if s[i, j] < limit and (most is None or alive <= most):
+    alive, chain, joins = np.ones(n, bool), [], []
+    while len(joins) < n - 1:
+        if not chain:
+            chain.append(int(alive.argmax()))
+        i = chain[-1]
+        j = int(s[i].argmax())
+        if len(chain) < 2 or s[i, chain[-2]] < s[i, j]:
+            chain.append(j)
+            continue
+        j = chain[-2]  # each is the other's nearest
+        del chain[-2:]
+        joins.append((s[i, j], i, j))
+        i, j = min(i, j), max(i, j)
+        row = (w[i] * s[i] + w[j] * s[j]) / (w[i] + w[j])
+        row[[i, j]] = -np.inf
+        s[i], s[:, i] = row, row
+        s[j], s[:, j] = -np.inf, -np.inf
+        w[i], alive[j] = w[i] + w[j], False
+    of, clusters = np.arange(n), n
+    for value, i, j in sorted(joins, key=lambda x: -x[0]):
+        if value < limit and (most is None or clusters <= most):
             break
-        s[i] = (w[i] * s[i] + w[j] * s[j]) / (w[i] + w[j])
-        s[:, i] = s[i]
-        s[i, i] = s[j] = s[:, j] = -np.inf
-        w[i] += w[j]
-        of[of == j] = i
-        alive -= 1
+        a, b = of[i], of[j]
+        of[of == max(a, b)] = min(a, b)
+        clusters -= 1
     return np.unique(of, return_inverse=True)[1]
 
 

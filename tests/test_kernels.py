@@ -58,6 +58,32 @@ def test_agglomeration_and_its_cap():
     assert len(set(clustering.agglomerate(np.eye(12), np.ones(12), 1.01, most=3))) == 3
 
 
+def greedy_linkage(s, w, limit, most=None):
+    parts = [[i] for i in range(len(w))]
+
+    def between(a, b):
+        return sum(w[i] * w[j] * s[i, j] for i in a for j in b) / sum(w[i] * w[j] for i in a for j in b)
+
+    while len(parts) > 1:
+        value, a, b = max((between(x, y), i, j) for i, x in enumerate(parts) for j, y in enumerate(parts[:i]))
+        if value < limit and (most is None or len(parts) <= most):
+            break
+        parts[b] += parts.pop(a)
+    out = np.empty(len(w), int)
+    for k, part in enumerate(sorted(parts, key=min)):
+        out[part] = k
+    return out.tolist()
+
+
+def test_chains_join_as_the_greedy_order():
+    rng = np.random.default_rng(2)
+    for n, limit, most in ((1, 0.5, None), (2, 0.0, None), (14, 0.2, None), (18, 0.4, 5), (18, 0.9, 2), (16, -1.0, None)):
+        x = rng.normal(size=(n, 6)) + 2 * rng.normal(size=(3, 6))[rng.integers(0, 3, n)]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        w = rng.uniform(0.5, 10, n)
+        assert clustering.agglomerate(x @ x.T, w, limit, most).tolist() == greedy_linkage(x @ x.T, w, limit, most)
+
+
 def test_recluster_repairs_and_is_idempotent():
     a, b, c = axis(0), axis(1), axis(2)
     e = [a, axis(0, 0.2), b, axis(0, 0.1), b, c]
