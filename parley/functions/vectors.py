@@ -1,8 +1,12 @@
-"""Vector and level functions on arrays, as Column expressions only."""
+"""Vector and level functions on arrays, as Column expressions; and sums of vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,3 +57,36 @@ def windows(samples: Column, length: int, hop: int) -> Column:
     n = F.size(samples)
     starts = F.when(n <= length, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(0), n - length, F.lit(hop)), F.array(n - length))))
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(samples, s + 1, F.least(F.lit(length), n)).alias("values")))
+
+
+KEYS_HELD = 20_000  # whose sums a task holds at once
+
+
+def sums(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, sum: of each key's vectors (those without nulls), place by place; sums leave a task once per key and length."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        key_type = None
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], key_type), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["key", "part"])
+            held.clear()
+            return batch
+
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if v.is_valid and not v.values.null_count:
+                    x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    held[k, len(x)] = held[k, len(x)] + x if (k, len(x)) in held else x
+            if len(held) > KEYS_HELD:
+                yield out()
+        if held:
+            yield out()
+
+    parts = df.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInArrow(run, f"key {kind}, part array<double>")
+    places = parts.select("key", F.size("part").alias("n"), F.posexplode("part").alias("at", "x")).groupBy("key", "n", "at").agg(F.sum("x").alias("x"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"])
+    return places.groupBy("key", "n").agg(whole.alias("sum")).select(F.col("key").alias(key), "sum")

@@ -119,11 +119,11 @@ SELECT user_id, round(list_reduce(list_concat([CAST(0.1 AS DOUBLE)], v), lambda
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's nearest label centroid by cosine, ties to the smaller label."""
     rows = table(spark, sf_dir, "embeddings")
-    centres = rows.select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.sum(F.col("col").cast("double")).alias("s"))
-    centres = centres.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("c")).withColumnRenamed("label", "nearest")
-    # one row per label: bounded by the labels, not by the input
-    scored = rows.crossJoin(F.broadcast(centres)).select("vec_id", "nearest", vectors.cosine(F.col("embedding"), F.col("c")).alias("s"))
-    best = scored.groupBy("vec_id").agg(F.max(F.struct(F.round("s", 9).alias("s"), (-F.col("nearest")).alias("n"))).alias("b"))
+    # one array of all labels' centroids of length one: bounded by the labels, not by the input
+    centres = vectors.sums(rows, "label", "embedding").agg(F.collect_list(F.struct(F.col("label"), vectors.unit(F.col("sum")).alias("u"))).alias("centres"))
+    norm = F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding")))
+    near = F.array_max(F.transform("centres", lambda c: F.struct(F.round(vectors.dot(F.col("embedding"), c["u"]) / F.col("norm"), 9).alias("s"), (-c["label"]).alias("n"))))
+    best = rows.withColumn("norm", norm).crossJoin(F.broadcast(centres)).select("vec_id", near.alias("b"))
     return best.select("vec_id", (-F.col("b.n")).alias("nearest"), F.round("b.s", 6).alias("similarity"))
 
 
