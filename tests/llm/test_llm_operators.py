@@ -47,6 +47,10 @@ def words_of(text):
     return (text or "").encode().lower().split()
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 # 1 SimHash
 
 
@@ -89,28 +93,77 @@ def test_trie_join_finds_what_brute_force_finds(spark, node_rows):
     centres = [rng.getrandbits(64) for _ in range(12)]
     fps = {c ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) for c in centres for _ in range(20)} | {rng.getrandbits(64) for _ in range(100)}
     fps = sorted(fps)
-    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    found = simhash.links(spark.createDataFrame([([x],) for x in signed], "fp array<long>"), 1, 5, 4, node_rows=node_rows)
-    root = {r.node[0]: r.root[0] for r in simhash.components(found).collect()}
-    mine = [root.get(x, x) for x in signed]
+    nodes = spark.createDataFrame([([signed(x)], i) for i, x in enumerate(fps)], "node array<long>, known long")
+    found = simhash.links(nodes, 1, 5, 12, np.full(65, 4), node_rows=node_rows).collect()
+    assert all(((r.a[0] ^ r.b[0]) % (1 << 64)).bit_count() <= 4 for r in found)
+    root = {r.node[0]: r.root[0] for r in simhash.components(spark.createDataFrame([(r.a, r.b) for r in found], "a array<long>, b array<long>")).collect()}
+    mine = [root.get(signed(x), signed(x)) for x in fps]
     brute = brute_components(fps, 4)
     assert len({*zip(mine, brute)}) == len({*mine}) == len({*brute})
+    every = simhash.links(nodes, 1, 5, 12, np.full(65, 4), node_rows=node_rows, forests=len(fps)).count()
+    assert every == sum((x ^ y).bit_count() <= 4 for i, x in enumerate(fps) for y in fps[:i])
+
+
+def shingle_set(text):
+    w = words_of(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_groups(texts):
+    """The smallest number of each text's group at a Jaccard similarity of 0.8 of five-word shingles."""
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
 
 
-def test_one_of_each_group_stays(docs):
-    kept = simhash.one_of_each(docs.filter("doc_id is not null"), shingle_words=5, words=4, blocks=21, budget=48)
-    ids = sorted(r.doc_id for r in kept.collect())
+def test_one_of_each_group_stays_as_by_brute_force(spark):
+    """Near copies around the threshold, some of which link only through others."""
+    rng = random.Random(3)
+    texts = []
+    for n in (12, 40, 150, 400):
+        base = prose(rng, n).split()
+        for k in range(14):
+            copy = list(base)
+            for _ in range(rng.randrange(1 + n // 25)):
+                copy[rng.randrange(n)] = f"new{rng.randrange(9)}"
+            texts.append(" ".join(copy))
+    texts += [prose(rng, 100) for _ in range(20)] + ["", " ", texts[3].upper()]
+    want = brute_groups(texts)
+    assert 20 < len(set(want)) < len(texts) - 10
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = simhash.one_of_each(table)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
+def test_one_of_each_of_awkward_rows(docs, empty):
+    kept = simhash.one_of_each(docs)
+    rows = kept.collect()
+    ids = sorted(r.doc_id for r in rows if r.doc_id is not None)
     assert kept.columns == docs.columns and len(ids) == len(set(ids))
-    assert 5 in ids and not {11, 12, 13} & set(ids) and {0, 1, 2, 3, 6} <= set(ids)
+    assert 5 in ids and not {11, 12, 13} & set(ids) and {1, 2, 3, 6} <= set(ids)
+    assert [r.text for r in rows if r.doc_id is None] == [docs.filter("doc_id = 0").first().text] and 0 not in ids  # null comes first
+    assert simhash.one_of_each(empty).count() == 0
 
 
 def test_rows_without_own_ids_stay(spark):
-    """Null and repeated ids: each different text keeps a row, and copies keep one."""
+    """Null and repeated ids: each different text keeps a row, and copies keep one; names may clash."""
     rng = random.Random(8)
     a, b, c, d, e = (prose(rng, 80) for _ in range(5))
-    rows = [(i, t, None, "s", 0, 0.0, 0, "", "", 0) for i, t in [(None, a), (None, b), (None, b), (None, e), (4, c), (4, d), (4, d), (5, e), (6, "x y z"), (6, "x y z")]]
-    kept = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA), shingle_words=5, words=4, blocks=21, budget=48)
-    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted([(0, a), (0, b), (4, c), (4, d), (5, e), (6, "x y z")])
+    rows = [(i, t, 1, 2, 3, 4) for i, t in [(None, a), (None, b), (None, b), (None, e), (4, c), (4, d), (4, d), (5, e), (6, "x y z"), (6, "x y z")]]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, place int, hash int, kept int, word int"))
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted([(0, a), (0, b), (0, e), (4, c), (4, d), (6, "x y z")])
+    assert {tuple(r)[2:] for r in kept.collect()} == {(1, 2, 3, 4)}
 
 
 # 2 sharding
@@ -241,25 +294,65 @@ def test_held_out_languages(spark):
 # 7 mixing
 
 
-def test_mixture_meets_its_target(spark, docs, empty):
+def brute_exponent(tokens, budget, most_repeats):
+    """The smallest exponent within the limit, on a fine grid and then between two of its points."""
+    shares = [t / sum(tokens) for t in tokens if t]
+
+    def worst(e):
+        z = sum(s**e for s in shares)
+        return max(s**e / z * budget / (s * sum(tokens)) for s in shares)
+
+    if worst(0.0) <= most_repeats:
+        return 0.0
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        low, high = (low, (low + high) / 2) if worst((low + high) / 2) <= most_repeats else ((low + high) / 2, high)
+    return high
+
+
+def test_mixture_against_brute_force(spark, docs, empty):
     rng = random.Random(4)
-    rows = [(i, "w " * rng.randrange(1, 30), None, "hot" if i < 600 else f"s{i % 5}", 0, 0.0, 0, "", "", 0) for i in range(1200)]
+    rows = [(i, "w " * rng.randrange(1, 30), None, "hot" if i < 600 else f"s{i % 5}" if i % 7 else None, 0, 0.0, 0, "", "", 0) for i in range(1200)]
     table = spark.createDataFrame(rows, SCHEMA).repartition(5)
     plan = mixing.plan(table, most_repeats=1.25)
-    got = mixing.with_copies(table, plan, name="_c").withColumn("t", mixing.token_count(F.col("text"))).toPandas()
-    total = got.t.sum()
-    for _, g in got.groupby("source"):
-        goal = g._c_weight.iloc[0] * total
-        assert goal - 60 <= (g.t * g._c).sum() <= goal + 1 and goal <= 1.2501 * g.t.sum()
-        assert g._c.max() - g._c.min() <= 1
-    assert 0.24 < max(g._c_weight.iloc[0] * total / g.t.sum() for _, g in got.groupby("source")) - 1 < 0.2501
-    assert mixing.mix(table, most_repeats=1.25).count() == got._c.sum()
-    tokens = np.array([100.0, 10.0, 1.0, 0.0])
-    e = mixing.exponent_for(tokens, 111, target_entropy=1.0)
-    assert math.isclose(mixing.entropy(mixing.tempered(tokens / 111, e)), 1.0, rel_tol=1e-9)
-    out = mixing.mix(docs, most_repeats=1.25)
-    assert out.columns == docs.columns and out.filter("doc_id = 8").count() in (0, 1, 2)
-    assert mixing.mix(empty).count() == 0
+    got = mixing.with_copies(table, plan, name="_c", with_places=True).withColumn("t", mixing.token_count(F.col("text"))).toPandas()
+    tokens = got.groupby("source", dropna=False).t.sum()
+    total = int(tokens.sum())
+    exponent = brute_exponent(tokens.tolist(), total, 1.25)
+    assert math.isclose(plan.exponent, exponent, rel_tol=1e-9)
+    z = sum((t / total) ** exponent for t in tokens)
+    for source, g in got.groupby("source", dropna=False):
+        weight = (g.t.sum() / total) ** exponent / z
+        assert g._c_weight.map(lambda w: math.isclose(w, weight, rel_tol=1e-9)).all()
+        goal = math.floor(weight * total + 1e-6)
+        epochs, left = divmod(goal, int(g.t.sum()))
+        extra = g[g._c == epochs + 1]
+        assert set(g._c) <= {epochs, epochs + 1} and extra.t.sum() <= left
+        rest = g[g._c == epochs]
+        assert left - extra.t.sum() < (rest.t.max() if len(rest) else 1) or epochs == 0 and left == 0
+        assert all(len(b) == c for b, c in zip(g._c_blocks, g._c))
+    out = mixing.mix(table, most_repeats=1.25, with_places=True).collect()
+    assert len(out) == got._c.sum() and collections.Counter(r.doc_id for r in out) == {i: c for i, c in zip(got.doc_id, got._c) if c}
+    assert {(r.doc_id, r.epoch, r.block, r.place) for r in out} == {(i, e, b, p) for i, bs, p in zip(got.doc_id, got._c_blocks, got._c_place) for e, b in enumerate(bs)}
+    for source in {r.source for r in out}:  # one order of blocks an epoch, each epoch its own
+        first = {r.doc_id: r.block for r in out if r.source == source and r.epoch == 0}
+        second = {r.doc_id: r.block for r in out if r.source == source and r.epoch == 1}
+        same = collections.defaultdict(set)
+        for i, b in second.items():
+            same[first[i]].add(b)
+        assert all(len(v) == 1 for v in same.values()) and not set(first.values()) & set(second.values())
+
+
+def test_mixture_meets_an_entropy(spark, docs, empty):
+    table = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate([("a", 100), ("b", 10), ("c", 1), ("d", 0)])], "doc_id long, text string, source string")
+    plan = mixing.plan(table, target_entropy=1.0)
+    w = [r.weight for r in plan.sources.collect()]
+    assert math.isclose(sum(w), 1.0, rel_tol=1e-9) and math.isclose(-sum(x * math.log(x) for x in w if x), 1.0, rel_tol=1e-9)
+    assert {r.epochs for r in plan.sources.collect() if r.source == "d"} == {1}
+    clash = docs.withColumns({"mixture source": F.lit(1), "mixture rows": F.lit(2), "epoch": F.lit(3), "copies_blocks": F.lit(4), "_source": F.lit(5)})
+    out = mixing.mix(clash, most_repeats=1.25)
+    assert out.columns == clash.columns and {tuple(r)[-5:] for r in out.collect()} == {(1, 2, 3, 4, 5)}
+    assert mixing.mix(empty).count() == 0 and mixing.mix(empty, most_repeats=1.25, with_places=True).count() == 0
 
 
 # 8 Katz
@@ -335,6 +428,7 @@ def test_short_lines_in_query_and_pipeline(spark, tmp_path):
     table = spark.createDataFrame([(i, t, None, "s", 0, 0.0, 0, "", "", 0) for i, t in enumerate(texts)], SCHEMA)
     table.write.parquet(f"{tmp_path}/documents.parquet")
     want = brute_lines(table.collect(), min_words=1)
+    want = {(i, k) for i, _, k in want}
     assert want == {(1, 0), (1, 1), (1, 3), (2, 1), (3, 0), (3, 1)}
     got = queries.QUERIES["op9_lines"](spark, str(tmp_path)).collect()
     assert {(r.doc_id, k) for r in got for k in r.removed} == want
@@ -342,41 +436,70 @@ def test_short_lines_in_query_and_pipeline(spark, tmp_path):
     assert left == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in want) for i, t in enumerate(texts)}
 
 
-def brute_lines(rows, min_words=5):
+def brute_lines(rows, min_words=1):
+    """(id, text, line) of all lines that go; texts of one id are ordered by their hash."""
     seen, out = [], set()
-    lines = sorted({(r.doc_id, k, frozenset(line.split())) for r in rows for k, line in enumerate((r.text or "").encode().lower().split(b"\n"))}, key=lambda x: x[:2])
-    for i, k, s in lines:
-        if len(s) >= min_words:
-            if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
-                out.add((i, k))
-            seen.append(s)
+    texts = {(-math.inf if r.doc_id is None else r.doc_id, signed(xxhash.xxh64_intdigest(r.text.encode(), 42)), r.text) for r in rows if r.text is not None}
+    for i, _, text in sorted(texts, key=lambda x: x[:2]):
+        for k, line in enumerate(text.encode().lower().split(b"\n")):
+            s = frozenset(line.split())
+            if len(s) >= min_words:
+                if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
+                    out.add((None if i == -math.inf else i, text, k))
+                seen.append(s)
     return out
 
 
-def test_lines_against_brute_force(spark, docs, empty, monkeypatch):
-    rng = random.Random(9)
-    pool = [prose(rng, n).split() for n in (5, 6, 9, 20, 40, 90) for _ in range(3)]
+def brute_cleaned(rows, **how):
+    gone = brute_lines(rows, **how)
+    return collections.Counter((r.doc_id, None if r.text is None else "\n".join(x for k, x in enumerate(r.text.split("\n")) if (r.doc_id, r.text, k) not in gone)) for r in rows)
+
+
+def edited_lines(seed, documents):
+    rng = random.Random(seed)
+    pool = [prose(rng, n).split() for n in (3, 4, 5, 6, 9, 20, 40, 90) for _ in range(3)]
 
     def edited(line):
         line = list(line)
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(1 + len(line) // 8)):
             line[rng.randrange(len(line))] = rng.choice(WORDS) + str(rng.randrange(3))
         return " ".join(line)
 
-    rows = [(i, "\n".join(edited(rng.choice(pool)) for _ in range(8)), None, "s", 0, 0.0, 0, "", "", 0) for i in range(60)]
+    return ["\n".join(edited(rng.choice(pool)) for _ in range(8)) for _ in range(documents)]
+
+
+def test_lines_against_brute_force(spark, docs, empty):
+    rows = [(i, t, None, "s", 0, 0.0, 0, "", "", 0) for i, t in enumerate(edited_lines(9, 60))]
     table = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    want = brute_lines(table.collect())
-    for tries in (1, 4):
-        monkeypatch.setattr(linededup, "FIRST_TRIES", tries)  # with one the second pass has work
-        assert {(r.id, r.line) for r in linededup.duplicate_lines(table).collect()} == want
-    assert len(want) > 100
-    known = docs.filter("doc_id is not null")
-    assert {(r.id, r.line) for r in linededup.duplicate_lines(known).collect()} == brute_lines(known.collect())
+    for how in ({"tries": 1}, {"tries": 0, "hot_lines": 3}, {"min_words": 5}):  # without tries all meet as whole sets; few lines make a word hot
+        want = brute_cleaned(table.collect(), min_words=how.get("min_words", 1))
+        got = linededup.dedup_lines(table, **how)
+        assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == want, how
+    gone = brute_lines(table.collect())
+    assert len(gone) > 100
+    found = linededup.removals(table).collect()
+    assert {(r.doc_id, k) for r in found for k in r.removed} == {(i, k) for i, _, k in gone} and all(r.n_lines == 8 for r in found)
     cleaned = linededup.dedup_lines(docs)
-    assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
-    texts = {r.doc_id: r.text for r in cleaned.collect()}
-    assert texts[7] is None and texts[8] == "" and texts[11] == "" and texts[5] and texts[14].split("\n")[1:] == ["short", ""]
-    assert linededup.dedup_lines(empty).count() == 0
+    assert cleaned.columns == docs.columns and collections.Counter((r.doc_id, r.text) for r in cleaned.collect()) == brute_cleaned(docs.collect())
+    assert linededup.dedup_lines(empty).count() == 0 and linededup.removals(empty).count() == 0
+
+
+def test_lines_of_rows_without_or_with_shared_ids(spark):
+    texts = edited_lines(4, 24)
+    rows = [(None if i % 3 == 0 else i // 2, t) for i, t in enumerate(texts)] + [(None, texts[0]), (1, texts[2]), (5, None), (None, None), (None, "same line here\nof one"), (None, "same line here\nof two"), (7, "of seven\nsame line here"), (7, "same line here\nelse of seven")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_cleaned(table.collect())
+    assert collections.Counter((r.doc_id, r.text) for r in linededup.dedup_lines(table).collect()) == want
+    assert any(t == "of two" or t == "of one" for _, t in want) and any(t == "of seven" for _, t in want)
+
+
+def test_lines_with_string_ids_and_clashing_names(spark):
+    table = spark.createDataFrame([("a", "one line\nother", 42, 1, 2, 3, 4), ("b", "one line\nthird", 43, 1, 2, 3, 4), (None, "x y", 44, 1, 2, 3, 4)], "name string, text string, place int, hash int, lines int, _id int, mark int")
+    got = linededup.dedup_lines(table, id_col="name")
+    assert got.columns == table.columns
+    rows = sorted(got.collect(), key=lambda r: r.place)
+    assert [tuple(r)[2:] for r in rows] == [(42, 1, 2, 3, 4), (43, 1, 2, 3, 4), (44, 1, 2, 3, 4)]
+    assert sorted(r.text for r in rows if r.name) in (["one line\nother", "third"], ["one line\nthird", "other"]) and rows[2].text == "x y"
 
 
 # 10 BPE
