@@ -156,3 +156,18 @@ def usage_of(json: Column) -> Column:
     for k in USAGE_KEYS:
         fine = fine & F.coalesce(given[k] >= 0, F.lit(False)) & ~F.get_json_object(json, f"$.{k}").rlike('^"') & ~F.isnan(given[k])
     return F.when(fine, given)
+
+
+NOT_SAID = "(не указано)"
+
+
+def context_block(title: Column, date: Column, setup: Column, my_names: Column, profile: Column, agenda: Column) -> Column:
+    """A meeting's fixed context, as the first part of every request."""
+    or_none = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit(NOT_SAID))
+    names = F.array_join(F.filter(F.transform(my_names, clean), lambda n: n != ""), ", ")
+    called = F.when(names != "", F.concat(names, F.lit(" — так к пользователю («Я») обращаются на встрече"))).otherwise(NOT_SAID)
+    tagged = lambda tag, x: F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>"))
+    lines = [tagged("meeting_title", or_none(clean(title))), tagged("meeting_date", date), tagged("meeting_format", setup), tagged("user_names", called)]
+    for tag, x in (("user_profile", profile), ("agenda_and_notes", agenda)):
+        lines += [F.lit(f"<{tag}>"), or_none(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), F.lit(f"</{tag}>")]
+    return F.concat_ws("\n", F.lit("<meeting_context>"), *lines, F.lit("</meeting_context>"))

@@ -150,10 +150,21 @@ def quote(text: Column, most: int = 240) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substr(text, F.lit(1), F.lit(most - 1)), F.lit("…"))).otherwise(text)
 
 
+def _unmarked(reply: Column) -> Column:
+    """A reply without the marks that it begins with."""
+    return F.regexp_replace(F.trim(reply), r"^[\s*_`\"'«»“”.,:;!-]+", "")
+
+
 def is_skip(reply: Column, most: int = 160) -> Column:
     """Whether a model's reply says that there is nothing to say."""
-    bare = F.regexp_replace(F.trim(reply), r"^[\s*_`\"'«»()\[\]#>-]+", "")
-    return (F.length(F.trim(reply)) <= most) & bare.rlike(r"(?i)^skip\b")
+    bare = _unmarked(reply)
+    return (F.length(bare) <= most) & bare.rlike(r"(?i)^skip\b")
+
+
+def may_be_skip(reply: Column) -> Column:
+    """Whether a reply that is still written could become one that says nothing."""
+    bare = F.lower(_unmarked(reply))
+    return F.startswith(F.lit("skip"), bare) | F.startswith(bare, F.lit("skip"))
 
 
 def palette_index(text: Column, colours: int = 12) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import clean, folded, has_kazakh_letters, is_blank
+from parley.functions.text import clean, default_name, folded, has_kazakh_letters, is_blank, is_skip, may_be_skip
 
 SUGGEST_MINUTES, SUGGEST_FINALS = 4, 4
 
@@ -211,3 +211,42 @@ def voiced_levels(frames: DataFrame, keys: list[str], pause: int = 8, margin: in
     inside = (following - last - 1 <= pause) & last.isNotNull() & following.isNotNull()
     near = (F.col("n") - last <= margin) | (following - F.col("n") <= margin)
     return loud.withColumn("voiced", F.coalesce(inside, F.lit(False)) | F.coalesce(near, F.lit(False))).drop("_t", "_l")
+
+
+def card_states(log: DataFrame) -> DataFrame:
+    """meeting_id, card, status, text, hidden: each card's last event; hidden until its text cannot be a skip, gone if it is one."""
+    last = log.groupBy("meeting_id", "card").agg(F.max(F.struct("_seq", "status", "text")).alias("_l")).select("meeting_id", "card", "_l.status", "_l.text")
+    skipped = (F.col("status") == "done") & is_skip(F.coalesce("text", F.lit("")))
+    hidden = F.col("status").isin("queued", "streaming") & may_be_skip(F.coalesce("text", F.lit("")))
+    return last.filter(~skipped).withColumn("hidden", hidden)
+
+
+def outdated_summaries(notes: DataFrame, changes: DataFrame) -> DataFrame:
+    """The last final summary of each meeting whose speakers were relabelled after it (``changes`` has meeting_id and at)."""
+    final = notes.filter(F.col("kind") == "final").groupBy("meeting_id").agg(F.max(F.struct("created_at", "_seq", "content")).alias("_n"))
+    later = changes.groupBy("meeting_id").agg(F.max("at").alias("changed_at"))
+    return final.join(later, "meeting_id").filter(F.col("changed_at") > F.col("_n.created_at")).select("meeting_id", "_n.content", "_n.created_at", "changed_at")
+
+
+def renames(states: DataFrame) -> DataFrame:
+    """meeting_id, n, label, before, after, reset: what changes from one snapshot of names (meeting_id, n, label, name; null: none) to the next.
+
+    A label that a snapshot lacks has its default name there; new labels with default names are no change.
+    """
+    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), default_name(F.col("label")))
+    w = Window.partitionBy("meeting_id", "label").orderBy("n")
+    named = states.withColumn("after", name).withColumn("before", F.coalesce(F.lag("after").over(w), default_name(F.col("label"))))
+    changed = named.filter(F.col("before") != F.col("after"))
+    return changed.select("meeting_id", "n", "label", "before", "after", (F.col("after") == default_name(F.col("label"))).alias("reset"))
+
+
+def transcript_updates(lines: DataFrame, requests: DataFrame) -> DataFrame:
+    """Lines (meeting_id, _seq, line) with the first committed request (meeting_id, n, _seq, ok) at or after them; null while none has them.
+
+    A request that failed commits nothing: its lines go with the next one.
+    """
+    told = requests.filter("ok").select("meeting_id", F.col("_seq").alias("_at"), F.col("n").alias("request"))
+    rows = lines.withColumn("_at", F.col("_seq")).withColumn("request", F.lit(None).cast(dict(requests.dtypes)["n"])).withColumn("_line", F.lit(True))
+    both = rows.unionByName(told, allowMissingColumns=True)
+    w = Window.partitionBy("meeting_id").orderBy("_at", F.col("_line").isNull()).rowsBetween(0, Window.unboundedFollowing)
+    return both.withColumn("request", F.first("request", ignorenulls=True).over(w)).filter("_line").drop("_at", "_line")

@@ -276,8 +276,8 @@ def skipped_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SKIPPED_REPLIES = r"""
-WITH r AS (SELECT conv_id, turn, trim(concat(['', '**SKIP** ', ' skip. ', 'Skipping ', '«SKIP» '][turn % 5 + 1], CASE WHEN conv_id % 2 = 0 THEN text ELSE 'no' END), ' ') AS r FROM conversations)
-SELECT conv_id, turn, length(r) <= 160 AND regexp_matches(regexp_replace(r, '^[\s*_`"''«»()\[\]#>-]+', ''), '^(?i)skip\b') AS skipped FROM r
+WITH r AS (SELECT conv_id, turn, regexp_replace(trim(concat(['', '**SKIP** ', ' skip. ', 'Skipping ', '«SKIP» '][turn % 5 + 1], CASE WHEN conv_id % 2 = 0 THEN text ELSE 'no' END), ' '), '^[\s*_`"''«»“”.,:;!-]+', '') AS r FROM conversations)
+SELECT conv_id, turn, length(r) <= 160 AND regexp_matches(r, '^(?i)skip\b') AS skipped FROM r
 """
 
 
