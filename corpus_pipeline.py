@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
 return the columns of documents. ``run`` writes each stage's rows as Parquet in the shared folder
 and reads them again, so a lost executor costs no finished stage.
+
+Cases, alike in all stages: rows may lack any value; a null or empty text has no language and goes
+with the first stage; repeated rows are treated alike until near-dedup keeps one of them; rows that
+share an id but not a text, or have no id, are each judged by their text; texts are taken whole; an
+empty table gives no rows; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,27 +23,27 @@ from parley.llm.common import stored
 LEAST_LANGUAGE_SHARE = 0.5
 #: No source's tokens are repeated more often.
 MOST_REPEATS = 1.25
-#: Documents on five-word shingles: 256-bit fingerprints in 21 blocks. At a similarity of 0.8 about
-#: 39 bits differ (standard deviation 6), between unrelated texts 128 (8).
-NEAR = {"shingle_words": 5, "words": 4, "blocks": 21, "budget": 48}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those that no language has half of."""
     model = langid.fit(docs)
-    found = langid.identify(docs, model, keep=tuple(docs.columns), with_spans=False, prefix="_found_")
-    sure = (F.col("_found_lang_pred") != "und") & (F.col("_found_score") >= LEAST_LANGUAGE_SHARE)
+    prefix = "found "
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    found = langid.identify(docs, model, keep=tuple(docs.columns), with_spans=False, prefix=prefix)
+    sure = (F.col(f"{prefix}lang_pred") != "und") & (F.col(f"{prefix}score") >= LEAST_LANGUAGE_SHARE)
     return found.filter(sure).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that repeat or resemble earlier ones."""
-    return linededup.dedup_lines(docs, min_words=1)
+    return linededup.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.one_of_each(docs, **NEAR)
+    """Keeps one document of each group whose members have 0.8 or more of their five-word shingles in common."""
+    return simhash.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
