@@ -9,7 +9,8 @@ the heaps are merged. The result is exact.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part;
 vectors meet only those of equal length; ties go to the smaller id; a query is not its own
-neighbour, nor is any row with its id; repeated query rows count once; fewer rows than k give all of
+neighbour, nor is any row with its id; repeated query rows count once, and what several vectors of one
+query id find is ranked together; fewer rows than k give all of
 them; no queries or an empty table give no rows; other columns are not read.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 4096, 16_384  # vectors
+QUERY_BYTES, ROW_BYTES = 16 << 20, 8 << 20  # of a block's vectors; rows are copied once per query block, so these are larger
 TILE_QUERIES = 128  # whose bounds are held at once
 
 
@@ -78,8 +79,9 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of each query's k nearest rows."""
     rows = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("d"), is_query.alias("q"))
-    found = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
-    query_blocks, row_blocks = max(1, math.ceil(found.q / QUERY_BLOCK)), max(1, math.ceil(found.n / ROW_BLOCK))
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q"), F.max("d").alias("d")).first()
+    blocks = lambda n, size: max(1, math.ceil(8 * n * (found.d or 1) / size))
+    query_blocks, row_blocks = blocks(found.q, QUERY_BYTES), blocks(found.n, ROW_BYTES)
     block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.filter("q").select("id", "v", "d").distinct().select("*", block(query_blocks, 1).alias("qb"), every(row_blocks).alias("rb"))

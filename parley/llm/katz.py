@@ -41,7 +41,7 @@ from parley.llm.common import hashed_words, scaled_partitions, small_batches, st
 MIN_SHARE = 2.0**-22
 GT_MOST = 5  # counts up to this one are discounted
 SLICE = 2000  # texts that ask together; their places fit 16 bits
-HELD = 2_000_000  # bigrams counted in a task before they go out
+HELD = 1_000_000  # bigrams counted in a task before they go out
 #: Codes of common words are their places; START follows. Rarer words go by their hashes, whose top bit is set.
 START, BACKOFF, RARE_FIRST = 1 << 22, 1 << 25, 1 << 24
 PLACES = np.uint64(23)
@@ -64,7 +64,7 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices_of_texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The batches cut to ``SLICE`` texts and some megabytes."""
     for batch in batches:
-        for part in text_slices(batch, column, 4 << 20):
+        for part in text_slices(batch, column, 2 << 20):
             for at in range(0, part.num_rows, SLICE):
                 yield part.slice(at, SLICE)
 

@@ -242,8 +242,8 @@ def test_nearest_is_exact(spark, monkeypatch):
     x[50:60] = x[0]  # ties
     rows = [(i, v.tolist(), 0, 1) for i, v in enumerate(x)] + [(1000, None, 0, 1), (1001, [], 0, 1), (1002, [0.0] * 16, 0, 1), (1003, [float("nan")] * 16, 0, 1), (1004, [None] * 16, 0, 1), (1005, [1.0] * 8, 0, 1), (7, x[7].tolist(), 0, 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, q int")
-    monkeypatch.setattr(ann, "ROW_BLOCK", 90)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(ann, "ROW_BYTES", 90 * 16 * 8)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 10 * 16 * 8)
     got = ann.nearest(table, F.col("vec_id") % 5 == 0, k=10).collect()
     by = collections.defaultdict(list)
     for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
