@@ -309,7 +309,7 @@ def last_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("segment_id", "_seq", F.size("embedding").alias("size"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
-LAST_EMBEDDINGS = "SELECT 1 + vec_id % 25 AS segment_id, max(vec_id) AS _seq, len(max_by(embedding, vec_id)) AS size, round(CAST(max_by(embedding, vec_id)[1] AS DOUBLE), 6) AS first FROM embeddings GROUP BY 1"
+LAST_EMBEDDINGS = "SELECT 1 + vec_id % 25 AS segment_id, max(vec_id) AS _seq, CAST(len(max_by(embedding, vec_id)) AS INTEGER) AS size, round(CAST(max_by(embedding, vec_id)[1] AS DOUBLE), 6) AS first FROM embeddings GROUP BY 1"
 
 
 def meeting_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
