@@ -115,6 +115,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, file, bpe.build_lexicon(docs, file), with_ids=False, with_text=False)
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods or more in all documents, of which a tenth repeat from a place on, and digests without the repeats."""
+    from parley.llm import periodic
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    return periodic.digests(periodic.periodic_runs(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -133,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz": op8_katz,
     "op9_lines": op9_lines,
     "op10_bpe": op10_bpe,
+    "op11_periodic": op11_periodic,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op5_nearest": OP5_SQL}
