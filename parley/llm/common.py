@@ -228,3 +228,136 @@ def summed_slices(partial: DataFrame, width: int, out: np.ndarray) -> np.ndarray
         at, n = opened(r.blob)
         out[r.slice * width + at] = np.minimum(n, most) if out.dtype != bool else n > 0
     return out
+
+
+def runs_within(df: DataFrame, keys: list[str], order: list, running: dict[str, tuple[str, str]], before: dict[str, str] | None = None, count: str = "count_") -> DataFrame:
+    """``df`` with values that run along the rows of equal ``keys`` (longs, never null) in ``order``.
+
+    ``running`` maps a new column to (kind, column of longs): "sum"; "last", the last value that is not null; "poly",
+    the values as digits of a number modulo 2^64. ``before`` maps a further new column to one of these, as it was
+    before the row. ``count`` numbers the rows of a key from 1. Rows are sorted over all partitions, so a key may
+    go on over many of them; the driver sees one row per partition.
+    """
+    spark = df.sparkSession
+    before = before or {}
+    names = [*running, *before]
+    sources = sorted({c for _, c in running.values()})
+    given = df.columns
+    placed = df.repartitionByRange(scaled_partitions(spark), *keys, *order).sortWithinPartitions(*keys, *order).withColumn("part_", F.spark_partition_id())
+    width = len(df.columns)
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "part_ int", "at_ long", "first_ boolean", f"`{count}` long", *(f"`{c}` long" for c in names)])
+    at = {c: df.columns.index(c) for c in [*keys, *sources]}
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first_key, seen, total = None, None, 0, None
+        state: dict[str, int | None] = {}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [np.asarray(batch.column(at[k])) for k in keys]
+            heads = tuple(int(c[0]) for c in columns)
+            if first_key is None:
+                first_key = heads
+            new = np.zeros(n, bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            goes_on = heads == key
+            new[0] = not goes_on
+            place = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, place, 0))
+            lead = np.cumsum(new) == 0  # rows of the key that the last batch ended with
+            counts = place - start + 1 + np.where(lead, total or 0, 0)
+            out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            for name, (kind, source) in running.items():
+                column = batch.column(at[source])
+                valid = np.asarray(column.is_valid())
+                x = np.asarray(column.fill_null(0)).astype(np.int64).view(np.uint64)
+                old = state.get(name)
+                if kind == "last":
+                    last = np.maximum.accumulate(np.where(valid, place, -1))
+                    none = last < start
+                    value = x[np.maximum(last, 0)]
+                    if old is not None:
+                        value, none = np.where(none & lead, np.uint64(old), value), none & ~lead
+                elif kind == "sum":
+                    sums = np.cumsum(x)
+                    value, none = sums - (sums[start] - x[start]) + np.where(lead, np.uint64(old or 0), np.uint64(0)), np.zeros(n, bool)
+                else:
+                    up, down = _powers(n + 1)
+                    sums = np.cumsum(x * down[:n])
+                    value = (sums - (sums[start] - x[start] * down[start])) * up[:n] + np.where(lead, np.uint64(old or 0), np.uint64(0)) * up[1:] * lead
+                    none = np.zeros(n, bool)
+                out[name] = value, none
+            for name, of in before.items():
+                value, none = out[of]
+                old = state.get(of)
+                initial = (np.uint64(old or 0), old is None) if goes_on else (np.uint64(0), running[of][0] == "last")
+                value, none = np.concatenate([[initial[0]], value[:-1]]), np.concatenate([[initial[1]], none[:-1]])
+                inner = new.copy()
+                inner[0] &= not goes_on
+                out[name] = np.where(inner, np.uint64(0), value), np.where(inner, running[of][0] == "last", none)
+            firsts = np.ones(n, bool)
+            for c, k in zip(columns, first_key):
+                firsts &= c == k
+            state = {name: None if out[name][1][-1] else int(out[name][0][-1]) for name in running}
+            key, total = tuple(int(c[-1]) for c in columns), int(counts[-1])
+            arrays = [pa.array(v.view(np.int64), mask=m) for v, m in out.values()]
+            own = [pa.array(seen + place), pa.array(firsts), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width + 1)), *own, *arrays], names=[*given, "part_", "at_", "first_", count, *names])
+            seen += n
+
+    found = stored(placed.mapInArrow(local, schema), "running")
+    ends = found.groupBy("part_").agg(
+        F.min_by(F.struct(*keys), "at_").alias("head"), F.max_by(F.struct(*keys), "at_").alias("tail"), F.max_by(F.struct("first_", count, *running), "at_").alias("end")
+    )
+    carried: dict[int, dict[str, int | None]] = {}
+    key, held = None, {}
+    wrap = (1 << 64) - 1
+    for r in sorted(ends.collect(), key=lambda r: r.part_):
+        end = {c: r.end[c] for c in [count, *running]}
+        if tuple(r.head) == key:
+            carried[r.part_] = held
+            if r.end.first_:  # the whole partition goes on
+                for name, (kind, _) in running.items():
+                    value, add = end[name], held[name]
+                    if kind == "last":
+                        end[name] = add if value is None else value
+                    else:
+                        times = pow(_BASE, end[count], 1 << 64) if kind == "poly" else 1
+                        end[name] = (value + add * times) & wrap
+                end[count] += held[count]
+        key, held = tuple(r.tail), end
+    kept = [*df.columns, count, *names]
+    if not carried:
+        return found.select(*kept)
+    place_of_column = {c: k for k, c in enumerate(found.columns)}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            parts, firsts = np.asarray(columns["part_"]), np.asarray(columns["first_"])
+            counts = np.asarray(columns[count]).copy()
+            for p in set(np.unique(parts[firsts]).tolist()) & carried.keys():
+                rows, more = firsts & (parts == p), carried[p]
+                for name in names:
+                    of = before.get(name, name)
+                    kind, value = running[of][0], more[of]
+                    if value is None:
+                        continue
+                    now = np.asarray(columns[name].fill_null(0)).astype(np.int64).view(np.uint64).copy()
+                    null = ~np.asarray(columns[name].is_valid())
+                    extra = np.uint64(value & wrap)
+                    if kind == "last":
+                        now[rows & null], null = extra, null & ~rows
+                    elif kind == "sum":
+                        now[rows] += extra
+                    else:
+                        steps = np.asarray(columns[count])[rows] - (name in before)
+                        now[rows] += extra * np.array([pow(_BASE, int(s), 1 << 64) for s in steps], np.uint64)
+                    columns[name] = pa.array(now.view(np.int64), mask=null)
+                counts[rows] += more[count]
+            columns[count] = pa.array(counts, pa.int64())
+            yield pa.RecordBatch.from_arrays([columns[c] for c in place_of_column], names=list(place_of_column))
+
+    return found.mapInArrow(add, found.schema).select(*kept)

@@ -123,6 +123,45 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(docs))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each begun with turns of another, with its subtrees' totals."""
+    from parley.llm import prefix_trie
+
+    conversations = table(spark, sf_dir, "conversations")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(conversations), conversations, turn_col="place")
+
+
+# A subtree's leaves and texts are those of all nodes whose smallest member goes through its top.
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT DISTINCT c, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)),
+           lambda crc, d: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda r, _: xor(r >> 1, 3988292384 * (r & 1)), xor(crc, d)), 4294967295::BIGINT), 4294967295) % 9 AS h
+  FROM t
+), u AS (
+  SELECT ids.c, t.k AS p, role, text FROM ids JOIN t ON t.c = ids.c - ids.c % 5 WHERE t.k <= h
+  UNION ALL SELECT ids.c, t.k + 8, role, text FROM ids JOIN t ON t.c = ids.c WHERE t.k > h
+), r AS (
+  SELECT c, row_number() OVER w AS d, strlen(text) AS bytes,
+         list(sha256(concat(strlen(role), ':', role, text))) OVER w AS path
+  FROM u WINDOW w AS (PARTITION BY c ORDER BY p)
+), m AS (SELECT c, d, bytes, array_to_string(path, ',') AS path FROM r UNION ALL SELECT c, 0, 0, '' FROM ids),
+n AS (SELECT d, path, min(c) AS conv, count(*) AS n, any_value(bytes) AS bytes FROM m GROUP BY d, path),
+x AS (SELECT m.c, m.d, n.conv, n.n, n.bytes FROM m JOIN n USING (d, path)),
+own AS (SELECT a.conv, a.d, b.conv AS parent, a.n, a.bytes FROM x a LEFT JOIN x b ON a.c = b.c AND b.d = a.d - 1 WHERE a.c = a.conv),
+kids AS (SELECT parent AS conv, d - 1 AS d, count(*) AS k FROM own WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT own.*, coalesce(k, 0) AS k FROM own LEFT JOIN kids USING (conv, d)),
+sums AS (SELECT x.conv, x.d, sum(CAST(f.k = 0 AS BIGINT)) AS leaves, sum((f.n - 1) * f.bytes) AS saved FROM full_ f JOIN x ON x.c = f.conv AND x.d <= f.d GROUP BY ALL),
+ends AS (SELECT conv, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS members FROM x WHERE (c, d) IN (SELECT (c, max(d)) FROM m GROUP BY c) GROUP BY ALL)
+SELECT f.conv AS conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n AS n_convs, f.k AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(members, '')) AS ends_sha256
+FROM full_ f JOIN sums USING (conv, d) LEFT JOIN ends USING (conv, d)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -142,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": op9_lines,
     "op10_bpe": op10_bpe,
     "op11_periodic": op11_periodic,
+    "op12_trie": op12_trie,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op5_nearest": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_nearest": OP5_SQL, "op12_trie": OP12_SQL}
