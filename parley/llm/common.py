@@ -116,6 +116,20 @@ def scaled_partitions(spark: SparkSession, times: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * times
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has each key once and in ``weight`` how many rows of ``left`` have it.
+
+    Keys with a large share of the rows would crowd a task; they are at most four a partition, so they are broadcast.
+    """
+    share = 4 * scaled_partitions(left.sparkSession)
+    total = right.agg(F.sum(weight).alias("n")).first().n or 1
+    crowded = F.col(weight) * share >= total
+    values = [c for c in right.columns if c not in left.columns]
+    looked = left.join(F.broadcast(right.filter(crowded).select(*keys, *values)), keys, "left")
+    few = looked.filter(F.col(weight).isNull()).select(*left.columns).join(right.filter(~crowded).select(*keys, *values), keys)
+    return looked.filter(F.col(weight).isNotNull()).unionByName(few)
+
+
 # Words by 64-bit hashes, all at once: a polynomial over the bytes, then mixed.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import runs_within, scaled_partitions, small_batches, stored, tidy
+from parley.llm.common import meet, runs_within, scaled_partitions, small_batches, stored, tidy
 
 KEY = ["depth", "x", "y"]
 STRETCH = ["top_depth", "top_x", "top_y"]
@@ -73,21 +73,10 @@ def nodes_of(members: DataFrame) -> DataFrame:
     return stored(joined.withColumns({"n_children": F.coalesce("n_children", F.lit(0).cast("long")), "light": F.coalesce("light", F.lit(True))}), "trie-joined")
 
 
-def met(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each membership with its node's values. Nodes with many members are broadcast: they are at most four a partition."""
-    share = 4 * scaled_partitions(members.sparkSession)
-    total = nodes.agg(F.sum("n_convs").alias("n")).first().n or 0
-    crowded = F.col("n_convs") * share >= total
-    values = [c for c in nodes.columns if c not in members.columns]
-    looked = members.join(F.broadcast(nodes.filter(crowded).select(*KEY, *values)), KEY, "left")
-    few = looked.filter(F.col("node_conv").isNull()).select(*members.columns).join(nodes.filter(~crowded).select(*KEY, *values), KEY)
-    return looked.filter(F.col("node_conv").isNotNull()).unionByName(few)
-
-
 def along_stretches(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``met`` rows with the top of their node's stretch, and above it the parent's name and stretch (``p`` before)."""
+    """Memberships with their node's values, the top of its stretch, and above it the parent's name and stretch (``p`` before)."""
     light = {f"light_{c}": F.when(F.col("light"), F.col(c)) for c in KEY}
-    rows = met(members.select("conv", *KEY), nodes.drop("px", "py")).withColumns(light)
+    rows = meet(members.select("conv", *KEY), nodes.drop("px", "py"), KEY, "n_convs").withColumns(light)
     tops = {f"top_{c}": ("last", f"light_{c}") for c in KEY}
     walked = runs_within(rows, ["conv"], ["depth"], {**tops, "own": ("last", "node_conv")}, {**{f"ptop_{c}": f"top_{c}" for c in KEY}, "parent_conv": "own"})
     return walked.drop(*light, "own", "count_")

@@ -162,6 +162,25 @@ FROM full_ f JOIN sums USING (conv, d) LEFT JOIN ends USING (conv, d)
 """
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived by content, written as WARC files and described by what is read back."""
+    from parley.llm import warc
+
+    return warc.archived_pages(table(spark, sf_dir, "pages")).drop("record_id")
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hexed FROM pages),
+firsts AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(((CAST('0x' || substr(hexed, CAST(k // 4 * 5 + 1 AS INT), 5) AS INTEGER) >> CAST(15 - k % 4 * 5 AS INT)) & 31) + 1 AS INT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN firsts USING (html)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -182,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_periodic": op11_periodic,
     "op12_trie": op12_trie,
+    "op13_warc": op13_warc,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op5_nearest": OP5_SQL, "op12_trie": OP12_SQL}
+ORACLES: dict[str, str] = {"op5_nearest": OP5_SQL, "op12_trie": OP12_SQL, "op13_warc": OP13_SQL}
