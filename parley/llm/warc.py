@@ -243,7 +243,7 @@ def archived_pages(pages: DataFrame, folder: str | None = None, least: int = 0)
     digest, size = base32(F.sha1("payload")), F.octet_length("payload").cast("long")
     archive(records.withColumn("head", record_head(F.lit("response"), digest, size, F.lit(None))), f"{folder}/archive")
     heads = spark.read.parquet(f"{folder}/archive/heads").drop("head")  # made again of the same columns, so not shuffled
-    marked = revisits(heads, least)
+    marked = stored(revisits(heads, least), "warc-marked")  # read several times below
     head = record_head(F.col("record_type"), base32(F.col("sha1")), F.col("size"), F.col("refers_to_record"))
     again = marked.filter("record_type = 'revisit'").select(head.alias("head"), F.lit(None).cast("binary").alias("payload"))
     full = with_payloads(marked.filter("record_type = 'response'"), f"{folder}/archive").withColumn("head", head)
