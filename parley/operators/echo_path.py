@@ -34,54 +34,56 @@ def evidence(far: Column, before: Column, after: Column, floor: Column) -> Colum
     return F.when(floor.isNull() | (before < LEAST_POWER), None).when(removed, True).when(silent, False)
 
 
-def numbered(rows: DataFrame, keys: list[str], order: str, block: Column, sums: dict[str, Column]) -> DataFrame:
-    """``rows`` with running sums by key: within blocks, after the sums of the key's earlier blocks."""
-    kept = rows.withColumn("_block", block)
-    inner = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = kept.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
-    before = totals.select(*keys, "_block", *[F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums])
-    return _with(kept.withColumns({n: F.sum(c).over(inner) for n, c in sums.items()}), before, [*keys, "_block"], {n: F.col(n) + F.col(f"_before_{n}") for n in sums})
-
-
-def _with(rows: DataFrame, other: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
-    """``rows`` joined with ``other`` by keys that may be null, and ``columns`` made of both."""
-    named = other.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
+def _with(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the further columns of ``other``, which has each key at most once; keys may be null."""
+    named = other.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
     on = F.lit(True)
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = rows.join(named, on, "left").withColumns(columns)
-    return joined.drop(*[c for c in named.columns if c not in columns])
+    return rows.join(named, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _windows(keys: list[str], order: str) -> tuple[Window, Window]:
+    """Rows of a block up to now, and earlier blocks of a key."""
+    inner = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return inner, Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_sums(rows: DataFrame, keys: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
+    """``rows`` (with ``_block``) with sums up to each row: within its block, and of the key's earlier blocks."""
+    inner, earlier = _windows(keys, order)
+    totals = rows.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_t{n}") for n, c in sums.items()])
+    before = totals.select(*keys, "_block", *[F.coalesce(F.sum(f"_t{n}").over(earlier), F.lit(0)).alias(f"_b{n}") for n in sums])
+    found = _with(rows.withColumns({n: F.sum(c).over(inner) for n, c in sums.items()}), before, [*keys, "_block"])
+    return found.withColumns({n: F.col(n) + F.col(f"_b{n}") for n in sums}).drop(*[f"_b{n}" for n in sums])
+
+
+def states(rows: DataFrame, keys: list[str], order: str, if_on: Column, if_off: Column, start: bool = True) -> DataFrame:
+    """``rows`` (with ``_block``) with ``_state`` after each; a row leads from on to ``if_on``, from off to ``if_off`` (null: no change)."""
+    inner, earlier = _windows(keys, order)
+    to_on, to_off = F.coalesce(if_on, F.lit(True)), F.coalesce(if_off, F.lit(False))
+    swaps = running_sums(rows, keys, order, {"_swaps": (~to_on & to_off).cast("long")})
+    ended = swaps.withColumn("_end", F.when(to_on == to_off, F.struct(to_on.alias("state"), "_swaps")))
+    ends = ended.groupBy(*keys, "_block").agg(F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col(order))).alias("_last"))
+    carried = ends.select(*keys, "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    found = _with(ended.withColumn("_within", F.last("_end", ignorenulls=True).over(inner)), carried, [*keys, "_block"])
+    since = F.coalesce("_within", "_carried")
+    exchanged = (F.col("_swaps") - F.coalesce(since["_swaps"], F.lit(0))) % 2 == 1
+    return found.withColumn("_state", F.coalesce(since["state"], F.lit(start)) != exchanged).drop("_swaps", "_end", "_within", "_carried")
 
 
 def echo_paths(
     frames: DataFrame, keys: list[str], order: str, proof: Column, window: int = WINDOW, least: int = LEAST, off_below: float = OFF_BELOW, recent: int = RECENT, on_above: float = ON_ABOVE, block: int = BLOCK
 ) -> DataFrame:
     """``frames`` with ``coupled``, the state after each; ``order`` is a whole number, ``proof`` boolean or null."""
-    at = F.floor(F.col(order) / block)
-    rows = frames.withColumn("_proof", proof)
-    one, yes = F.col("_proof").isNotNull().cast("long"), F.coalesce(F.col("_proof").cast("long"), F.lit(0))
-    counted = numbered(rows, keys, order, at, {"_n": one, "_yes": yes})
-    marks = counted.filter(F.col("_proof").isNotNull()).select(*keys, "_n", "_yes")
-    back = lambda steps, name: marks.select(*keys, (F.col("_n") + steps).alias("_n"), F.col("_yes").alias(name))
+    rows = frames.withColumns({"_proof": proof, "_block": F.floor(F.col(order) / block)})
+    given = F.col("_proof").isNotNull()
+    counted = running_sums(rows, keys, order, {"_n": given.cast("long"), "_yes": F.coalesce(F.col("_proof").cast("long"), F.lit(0))})
+    marks = counted.filter(given)
+    for steps, name in ((window, "_old"), (recent, "_older")):  # the running count that many evidence frames ago
+        counted = _with(counted, marks.select(*keys, (F.col("_n") + steps).alias("_n"), F.col("_yes").alias(name)), [*keys, "_n"])
     seen = F.least(F.col("_n"), F.lit(window))
-    share = F.col("_yes") - F.coalesce("_old", F.lit(0))
-    newest = F.col("_yes") - F.coalesce("_older", F.lit(0))
-    off = (seen >= least) & (share < off_below * seen)
-    on = newest >= on_above * recent
-    slid = _with(_with(counted, back(window, "_old"), [*keys, "_n"], {"_off": off}), back(recent, "_older"), [*keys, "_n"], {"_on": on}) if False else _slid(counted, marks, keys, window, recent, off, on)
-    step = F.when(F.col("_proof").isNotNull(), F.struct((~F.col("_off")).alias("if_on"), F.col("_on").alias("if_off")))
-    mapped = slid.withColumn("_step", step)
-    fixed = F.when(F.col("_step.if_on") == F.col("_step.if_off"), F.col("_step.if_on"))
-    swap = F.coalesce((~F.col("_step.if_on") & F.col("_step.if_off")).cast("long"), F.lit(0))
-    swapped = numbered(mapped.withColumns({"_fixed": fixed, "_swap": swap}), keys, order, at, {"_swaps": F.col("_swap")})
-    last = F.when(F.col("_fixed").isNotNull(), F.struct("_fixed", "_swaps"))
-    kept = swapped.withColumn("_last", last).withColumn("_block", at)
-    inner = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = kept.groupBy(*keys, "_block").agg(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col(order))).alias("_end"))
-    ends = ends.select(*keys, "_block", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
-    start = F.coalesce(F.last("_last", ignorenulls=True).over(inner), F.col("_carried"))
-    state = F.coalesce(F.col("_from._fixed"), F.lit(True)) != ((F.col("_swaps") - F.coalesce("_from._swaps", F.lit(0))) % 2 == 1)
-    found = _with(kept.withColumn("_within", F.last("_last", ignorenulls=True).over(inner)), ends, [*keys, "_block"], {"_from": F.coalesce("_within", "_carried")})
-    return found.withColumn("coupled", state).select(*frames.columns, "coupled")
+    off = (seen >= least) & (F.col("_yes") - F.coalesce("_old", F.lit(0)) < off_below * seen)
+    on = F.col("_yes") - F.coalesce("_older", F.lit(0)) >= on_above * recent
+    found = states(counted.withColumns({"_off": F.when(given, off), "_on": F.when(given, on)}), keys, order, ~F.col("_off"), F.col("_on"))
+    return found.select(*frames.columns, F.col("_state").alias("coupled"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.plans import live, meetings, relational, transcripts
+from parley.plans import echoes, live, meetings, relational, transcripts
 
-_MODULES = (meetings, transcripts, relational, live)
+_MODULES = (meetings, transcripts, relational, live, echoes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
