@@ -77,13 +77,6 @@ def has_kazakh_letters(text: Column) -> Column:
     return F.lower(text).rlike(f"[{KAZAKH}]")
 
 
-def word_distance(left: Column, right: Column) -> Column:
-    """Levenshtein distance in words of two arrays: each distinct word of the pair, a million at most, is one character."""
-    both = F.array_distinct(F.concat(left, right))
-    code = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0xFFFF), 8, "0")), "UTF-32")), "")
-    return F.levenshtein(code(left), code(right))
-
-
 def label_number(label: Column) -> Column:
     """The number of ``mic:N`` or ``sys:N``, else null."""
     return F.regexp_extract(label, r"^(?:sys|mic):(\d+)$", 1).try_cast("long")

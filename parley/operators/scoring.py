@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import word_distance
+from parley.functions.distances import split_errors, word_and_letter_distances
 from parley.operators.turns import nearest_rank
 
 
@@ -22,14 +22,8 @@ def ratio(a: Column, b: Column) -> Column:
 def error_rates(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Word and character error rates of arrays of words ref and hyp (null counts as empty)."""
     hyp = F.coalesce("hyp", F.array().cast("array<string>"))
-    chars = lambda c: F.array_join(c, " ")
-    scored = pairs.select(
-        *keys,
-        F.size("ref").alias("_rw"),
-        F.length(chars(F.col("ref"))).alias("_rc"),
-        word_distance(hyp, F.col("ref")).alias("_we"),
-        F.levenshtein(chars(hyp), chars(F.col("ref"))).alias("_ce"),
-    )
+    scored = pairs.select(*keys, F.size("ref").alias("_rw"), F.length(F.array_join("ref", " ")).alias("_rc"), word_and_letter_distances(hyp, F.col("ref")).alias("_e"))
+    scored = scored.select(*keys, "_rw", "_rc", F.col("_e.words").alias("_we"), F.col("_e.letters").alias("_ce"))
     total = lambda c: F.sum(c).cast("long")
     return scored.groupBy(*keys).agg(
         total("_rw").alias("ref_words"),
@@ -240,30 +234,6 @@ def leakage(items: DataFrame, keys: list[str]) -> DataFrame:
     return items.groupBy(*keys).agg(percent("leaked", "far_words").alias("leaked_pct"), percent("errors", "ref_words").alias("error_pct"))
 
 
-def split_errors(reference: list[str], hypothesis: list[str], boundary: int) -> tuple[int, int]:
-    """Word errors of the best alignment before and from a place of the reference; insertions count where they stand."""
-    n, m = len(reference), len(hypothesis)
-    cost = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i == 0 or j == 0:
-                cost[i][j] = i + j
-            else:
-                cost[i][j] = min(cost[i - 1][j - 1] + (reference[i - 1] != hypothesis[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
-    errors, i, j = [0, 0], n, m
-    while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (reference[i - 1] != hypothesis[j - 1]):
-            errors[i - 1 >= boundary] += reference[i - 1] != hypothesis[j - 1]
-            i, j = i - 1, j - 1
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
-            errors[i - 1 >= boundary] += 1
-            i -= 1
-        else:
-            errors[i >= boundary and boundary < n] += 1
-            j -= 1
-    return errors[0], errors[1]
-
-
 def part_error_rates(items: DataFrame) -> DataFrame:
     """lang, position, words, errors, wer of two-part items (columns ref, hyp, boundary, langs)."""
 

@@ -279,7 +279,7 @@ def test_rechunking_and_jumps():
 
 
 def test_errors_are_split_at_the_boundary():
-    from parley.operators.scoring import split_errors
+    from parley.functions.distances import split_errors
 
     assert split_errors("a b c d".split(), "a x c".split(), 2) == (1, 1)
     assert split_errors("a b".split(), "a b z".split(), 1) == (0, 1)
