@@ -203,8 +203,11 @@ def weighted_objective(scores: DataFrame, weights: dict[str, float], condition:
 
 def voiced_levels(frames: DataFrame, keys: list[str], pause: int = 8, margin: int = 5) -> DataFrame:
     """Frames (columns n, db) with voiced: above the threshold of their key, with short pauses and a margin around."""
-    bounds = frames.groupBy(*keys).agg(F.expr("greatest(percentile(db, 0.95) - 30, percentile(db, 0.1) + 8, -55D)").alias("_t"))
-    loud = frames.join(F.broadcast(bounds) if not keys else bounds, keys) if keys else frames.crossJoin(bounds)
+    from parley.operators import ranks
+
+    bounds = ranks.percentiles(frames, keys, "db", {"high": 0.95, "low": 0.1}, between=True)
+    bounds = bounds.select(*keys, F.greatest(F.col("high") - 30, F.col("low") + 8, F.lit(-55.0)).alias("_t"))
+    loud = frames.join(bounds, keys) if keys else frames.withColumn("_t", bounds.scalar())
     loud = loud.withColumn("_l", F.when(F.col("db") > F.col("_t"), F.col("n")))
     back = Window.partitionBy(*keys).orderBy("n")
     last, following = F.last("_l", ignorenulls=True).over(back), F.first("_l", ignorenulls=True).over(back.rowsBetween(0, Window.unboundedFollowing))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import vectors
@@ -277,8 +277,46 @@ def relabelled(items: DataFrame, knobs: Knobs = Knobs(), voiceprints: DataFrame
     return found.filter(~F.col("speaker").eqNullSafe(F.col("online_label"))).select("meeting_id", "segment_id", "speaker")
 
 
-def with_buckets(rows: DataFrame, key: Column) -> DataFrame:
-    """Rows for ``moved`` of a table of vectors (pos, e, w, d, cluster) that are one stream by ``key``, in buckets of bounded size."""
-    counts = rows.withColumn("sid", key.cast("string"))
-    sizes = counts.groupBy("sid").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("buckets"))
-    return counts.join(sizes, "sid").withColumn("bucket", F.pmod(F.xxhash64("pos"), F.col("buckets")).cast("int")).drop("buckets")
+def one_stream(rows: DataFrame) -> DataFrame:
+    """Rows for ``moved`` of a table of vectors (pos, e, w, d, cluster) as one stream, in buckets of bounded size."""
+    buckets = max(1, -(-rows.count() // BUCKET))
+    return rows.withColumns({"sid": F.lit("all"), "bucket": F.pmod(F.xxhash64("pos"), F.lit(buckets)).cast("int")})
+
+
+MOST_CENTRES = 4096  # held by every task; more are dealt
+
+
+def nearest_centres(rows: DataFrame, id_col: str, vector: str, centres: DataFrame) -> DataFrame:
+    """id, nearest, similarity: of ``centres`` (label, a number; u, at length one) the nearest by cosine to nine places, ties to the smaller label.
+
+    Up to ``MOST_CENTRES`` centres are one array that every task has; more of them meet the rows in blocks.
+    Vectors that are null or have no length are near to nothing (similarity null); ids must differ.
+    """
+    named = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    if centres.limit(MOST_CENTRES + 1).count() <= MOST_CENTRES:
+        norm = vectors.norm(F.col("v"))
+        held = named.withColumns({"norm": F.nullif(norm, F.lit(0.0)), "centres": centres.agg(F.collect_list(F.struct("label", "u"))).scalar()})
+        near = F.array_max(F.transform("centres", lambda c: F.struct(F.round(vectors.dot(F.col("v"), c["u"]) / F.col("norm"), 9).alias("s"), (-c["label"]).alias("n"))))
+        return held.select("id", near.alias("b")).select(F.col("id").alias(id_col), (-F.col("b.n")).alias("nearest"), F.col("b.s").alias("similarity"))
+    blocks, buckets = -(-centres.count() // MOST_CENTRES), max(1, -(-rows.count() // BUCKET))
+    kind, label = dict(named.dtypes)["id"], dict(centres.dtypes)["label"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = named.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).withColumn("block", every(blocks))
+    right = centres.select("label", "u").withColumn("at_block", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int")).withColumn("at_bucket", every(buckets))
+
+    def best(own: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
+        own = own[[v is not None for v in own.v]]
+        if not len(own) or not len(those):
+            return pd.DataFrame(columns=["id", "s", "n"])
+        those = those.sort_values("label")
+        v = _stack(own.v)
+        lengths = np.linalg.norm(v, axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            scores = np.round(v @ _stack(those.u).T / lengths[:, None], 9)
+        at = scores.argmax(1)
+        found = pd.DataFrame({"id": own.id.to_numpy(), "s": scores[np.arange(len(at)), at], "n": those.label.to_numpy()[at]})
+        return found[lengths > 0]
+
+    tiles = left.groupBy("bucket", "block").cogroup(right.groupBy("at_bucket", "at_block")).applyInPandas(best, f"id {kind}, s double, n {label}")
+    top = tiles.groupBy("id").agg(F.max(F.struct("s", (-F.col("n")).alias("n"))).alias("b"))
+    return named.select("id").join(top, "id", "left").select(F.col("id").alias(id_col), (-F.col("b.n")).alias("nearest"), F.col("b.s").alias("similarity"))

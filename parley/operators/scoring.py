@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.distances import split_errors, word_and_letter_distances
-from parley.operators.turns import nearest_rank
+from parley.operators import ranks
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -53,10 +53,9 @@ def best_run(runs: DataFrame, keys: list[str], time: str = "proc_s", cpu: str =
 
 def matched_subset(items: DataFrame, model: str, dataset: str, order: str) -> DataFrame:
     """The first items of each model and data set, as many as the model with the fewest has."""
-    w = Window.partitionBy(model, dataset)
-    numbered = items.withColumn("_place", F.row_number().over(w.orderBy(order))).withColumn("_n", F.count(F.lit(1)).over(w))
-    least = numbered.groupBy(F.col(dataset).alias("_d")).agg(F.min("_n").alias("_least"))
-    return numbered.join(least, numbered[dataset] == F.col("_d")).filter("_place <= _least").drop("_place", "_n", "_least", "_d")
+    least = items.groupBy(model, dataset).agg(F.count(F.lit(1)).alias("_n")).groupBy(F.col(dataset).alias("_d")).agg(F.min("_n").alias("_least"))
+    numbered = ranks.placed(items, [model, dataset], [order], "_place")
+    return numbered.join(least, numbered[dataset] == F.col("_d")).filter("_place <= _least").drop("_place", "_least", "_d")
 
 
 def confusion(items: DataFrame, keys: list[str], label: str, speaker: str, weight: Column) -> DataFrame:
@@ -164,19 +163,48 @@ def difference_statistics(df: DataFrame, a: str, b: str) -> DataFrame:
 def latencies(segments: DataFrame, keys: list[str], fed: str, arrived: str) -> DataFrame:
     """Per key the median and the 90th percentile, by nearest rank, of arrival after the end was fed."""
     late = segments.select(*keys, (F.col(arrived) - F.col(fed)).alias("late"))
-    return nearest_rank(late, keys, "late", 0.5, "median").join(nearest_rank(late, keys, "late", 0.9, "p90"), keys)
+    return ranks.percentiles(late, keys, "late", {"median": 0.5, "p90": 0.9})
+
+
+MOST_CONFIGS = 10_000
+
+
+def _best(scored: DataFrame, keys: list[str], config: Column, value: Column, better: str) -> DataFrame:
+    """keys, config and mean of the best mean ``value``, ties to the smaller configuration."""
+    means = scored.groupBy(*keys, config.alias("config")).agg(F.avg(value).alias("mean"))
+    order = -F.col("mean") if better == "max" else F.col("mean")
+    return means.groupBy(*keys).agg(F.min(F.struct(order.alias("o"), "config", "mean")).alias("b")).select(*keys, "b.config", "b.mean")
 
 
 def grid_search(items: DataFrame, grid: DataFrame, keys: list[str], value: Column, better: str = "max") -> DataFrame:
-    """keys and the configuration (row of ``grid``, a few rows) of the best mean value, ties to the smaller configuration.
+    """keys and the configuration (row of ``grid``, ``MOST_CONFIGS`` at most) of the best mean value, ties to the smaller configuration.
 
     ``value`` is computed of an item and a configuration.
     """
-    config = F.struct(*grid.columns)
-    scored = items.crossJoin(F.broadcast(grid)).groupBy(*keys, config.alias("config")).agg(F.avg(value).alias("mean"))
-    order = -F.col("mean") if better == "max" else F.col("mean")
-    best = F.min(F.struct(order.alias("o"), "config", "mean")).alias("b")
-    return scored.groupBy(*keys).agg(best).select(*keys, "b.config.*", "b.mean")
+    configs = grid.limit(MOST_CONFIGS + 1).collect()
+    if len(configs) > MOST_CONFIGS:
+        raise ValueError(f"a grid has {MOST_CONFIGS} configurations at most")
+    kinds = dict(grid.dtypes)
+    listed = [F.struct(*[F.lit(c[n]).cast(kinds[n]).alias(n) for n in grid.columns]) for c in configs]
+    each = items.select("*", F.inline(F.array(*listed))) if listed else items.limit(0).select("*", *[F.lit(None).cast(kinds[n]).alias(n) for n in grid.columns])
+    return _best(each, keys, F.struct(*grid.columns), value, better).select(*keys, "config.*", "mean")
+
+
+def staged_search(items: DataFrame, keys: list[str], name: str, coarse: list[float], finer: int, value: Column, better: str = "max") -> DataFrame:
+    """keys, ``name`` and mean: the best of a parameter's ``coarse`` values (evenly apart), then of ``finer`` steps to either side of it.
+
+    The finer steps end next to the neighbouring coarse values; ``value`` is computed of an item and the parameter. Both stages are
+    aggregates of one plan. Means of the finer stage include the coarse best.
+    """
+    step = (coarse[1] - coarse[0]) / (finer + 1) if len(coarse) > 1 else 0.0
+    first = _best(items.withColumn(name, F.explode(F.array(*map(F.lit, map(float, coarse))))), keys, F.col(name), value, better)
+    around = F.transform(F.sequence(F.lit(-finer), F.lit(finer)), lambda k: F.round(F.col("_best") + k * F.lit(step), 9))
+    best = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("config").alias("_best"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    fine = items.join(best, on).withColumn(name, F.explode(F.array_distinct(around)))
+    return _best(fine, keys, F.col(name), value, better).select(*keys, F.col("config").alias(name), "mean")
 
 
 def frames(spans: DataFrame, keys: list[str], name: str, frame_ms: int = 10) -> DataFrame:

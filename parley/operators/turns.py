@@ -95,14 +95,6 @@ def count_windows(df: DataFrame, keys: list[str], order: tuple[str, ...], value:
     return squares.filter(F.col("n") == size).select(*keys, "window", F.sqrt(F.col("_s") / size).alias("rms"))
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    """The value at place round((n - 1) q) of each key's sorted values, halves away from zero."""
-    w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy(value))
-    goal = F.floor((F.count(F.lit(1)).over(w) - 1) * F.lit(q) + 0.5) + 1
-    return df.withColumn("_at", place).withColumn("_goal", goal).filter("_at = _goal").select(*keys, F.col(value).alias(name))
-
-
 def smoothed(df: DataFrame, keys: list[str], order: tuple[str, ...], value: Column, start: float, keep: float, name: str) -> DataFrame:
     """Exponentially weighted mean of a key's values in order: keep * old + (1 - keep) * new."""
     rows = F.sort_array(F.collect_list(F.struct(*order, value.cast("double").alias("_v"))))

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_PRICES = 1000
+
+
 def priced(responses: DataFrame, prices: DataFrame) -> DataFrame:
     """``responses`` with cost: the first price row whose pattern finds the model; null without one.
 
-    ``prices`` is a short ordered list, so it becomes a chain of conditions and no join.
+    ``prices`` is a short ordered list (``MOST_PRICES`` at most), so it becomes a chain of conditions and no join.
     """
-    rows = prices.collect()
+    rows = prices.limit(MOST_PRICES + 1).collect()
+    if len(rows) > MOST_PRICES:
+        raise ValueError(f"a price list has {MOST_PRICES} rows at most")
 
     def first(column: str) -> Column:
         out = F.lit(None).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import intervals, store, turns
+from parley.operators import intervals, ranks, store, turns
 from parley.session import table
 
 #: events as segments: a user is a meeting, a type is a speaker (view: none), the value a duration.
@@ -271,7 +271,7 @@ SELECT user_id, CAST(w AS BIGINT) AS "window", round(sqrt(sum(value * value) / 1
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest-rank 90th percentile of each user's values."""
-    return turns.nearest_rank(table(spark, sf_dir, "events"), ["user_id"], "value", 0.9, "p90")
+    return ranks.percentiles(table(spark, sf_dir, "events"), ["user_id"], "value", {"p90": 0.9})
 
 
 LATENCY_PERCENTILES = """

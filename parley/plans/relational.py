@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import vectors
-from parley.operators import scoring, turns, usage
+from parley.operators import regroup, scoring, turns, usage
 from parley.session import table
 
 
@@ -119,12 +119,8 @@ SELECT user_id, round(list_reduce(list_concat([CAST(0.1 AS DOUBLE)], v), lambda
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's nearest label centroid by cosine, ties to the smaller label."""
     rows = table(spark, sf_dir, "embeddings")
-    # one array of all labels' centroids of length one: bounded by the labels, not by the input
-    centres = vectors.sums(rows, "label", "embedding").agg(F.collect_list(F.struct(F.col("label"), vectors.unit(F.col("sum")).alias("u"))).alias("centres"))
-    norm = F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding")))
-    near = F.array_max(F.transform("centres", lambda c: F.struct(F.round(vectors.dot(F.col("embedding"), c["u"]) / F.col("norm"), 9).alias("s"), (-c["label"]).alias("n"))))
-    best = rows.withColumn("norm", norm).crossJoin(F.broadcast(centres)).select("vec_id", near.alias("b"))
-    return best.select("vec_id", (-F.col("b.n")).alias("nearest"), F.round("b.s", 6).alias("similarity"))
+    centres = vectors.sums(rows, "label", "embedding").select("label", vectors.unit(F.col("sum")).alias("u"))
+    return regroup.nearest_centres(rows, "vec_id", "embedding", centres).withColumn("similarity", F.round("similarity", 6))
 
 
 NEAREST_CENTROID = """
@@ -135,6 +131,26 @@ SELECT vec_id, nearest, round(s, 6) AS similarity FROM s QUALIFY row_number() OV
 """
 
 
+def moved_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are nearer by 0.02 to another label's centre than to the rest of their own label, and that label."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), vectors.unit(F.col("embedding")).alias("e"), F.lit(1.0).alias("w"), F.lit(1000).cast("long").alias("d"), F.col("label").cast("long").alias("cluster"))
+    moves = regroup.moved(regroup.one_stream(rows.filter("e IS NOT NULL")), 0.02, 0.625)
+    return moves.select(F.col("pos").alias("vec_id"), F.col("to").alias("label"))
+
+
+MOVED_VECTORS = """
+WITH u AS (SELECT vec_id, CAST(label AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL),
+e AS (SELECT vec_id, label, i, v[i] / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS x FROM u, range(1, 65) r(i)),
+t AS (SELECT label, i, sum(x) AS s FROM e GROUP BY label, i),
+n AS (SELECT label, count(*) AS n FROM u GROUP BY label),
+l AS (SELECT label, sqrt(sum(s * s)) AS l FROM t GROUP BY label),
+d AS (SELECT e.vec_id, any_value(e.label) AS own, t.label AS c, sum(e.x * t.s) AS d FROM e JOIN t USING (i) GROUP BY e.vec_id, t.label),
+m AS (SELECT vec_id, own, CASE WHEN n.n > 1 THEN (d - 1) / sqrt(l * l - 2 * d + 1) ELSE 0.625 END AS mine FROM d JOIN l ON l.label = own JOIN n ON n.label = own WHERE c = own),
+b AS (SELECT vec_id, arg_max(c, (d / l, -c)) AS label, max(d / l) AS best FROM d JOIN l ON l.label = c WHERE c <> own GROUP BY vec_id)
+SELECT vec_id, b.label FROM b JOIN m USING (vec_id) WHERE best - mine >= 0.02
+"""
+
+
 def pair_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The equal error rate of same and different labels over all pairs of vectors."""
     cells = scoring.pair_cells(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
@@ -210,6 +226,6 @@ s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 8 HOURS THEN 1 ELS
 SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, k
 """
 
-NAMED = ["usage_totals", "metric_pivot", "real_time", "best_runs", "matched_subset", "duration_buckets", "hourly_levels", "smoothed_values", "nearest_centroid", "pair_error_rate", "revenue_cube", "nation_revenue", "without_orders", "json_props", "sessions"]
+NAMED = ["usage_totals", "metric_pivot", "real_time", "best_runs", "matched_subset", "duration_buckets", "hourly_levels", "smoothed_values", "nearest_centroid", "moved_vectors", "pair_error_rate", "revenue_cube", "nation_revenue", "without_orders", "json_props", "sessions"]
 QUERIES = {n: globals()[n] for n in NAMED}
 ORACLES = {n: globals()[n.upper()] for n in NAMED}

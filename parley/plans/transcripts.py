@@ -122,13 +122,17 @@ FROM conversations GROUP BY role
 
 
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of all kinds with default names, numbers and order."""
-    labels = spark.range(0, 40).select(F.expr("CASE id % 5 WHEN 0 THEN 'me' WHEN 1 THEN concat('sys:', id) WHEN 2 THEN concat('mic:', id) WHEN 3 THEN concat('x', id) END").alias("label"), "id")
+    """The labels of each meeting, those of the call and the room numbered by their loudest event, with default names, numbers and order."""
+    loudest = F.floor(F.max("value")).cast("long").cast("string")
+    kind = F.when(F.col("event_type") == "signup", "me").when(F.col("event_type") == "purchase", "mic:").when(F.col("event_type") == "click", "sys:").when(F.col("event_type") == "error", "x")
+    spoken = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id"), kind.alias("kind")).agg(loudest.alias("n"))
+    labels = spoken.select("id", F.when(F.col("kind") == "me", "me").otherwise(F.concat("kind", "n")).alias("label"))
     return labels.select("id", "label", T.default_name(F.col("label")).alias("name"), T.label_number(F.col("label")).alias("number"), T.label_order(F.col("label"))["rank"].alias("rank"))
 
 
 DISPLAY_NAMES = r"""
-WITH l AS (SELECT id, CASE id % 5 WHEN 0 THEN 'me' WHEN 1 THEN concat('sys:', id) WHEN 2 THEN concat('mic:', id) WHEN 3 THEN concat('x', id) END AS label FROM range(40) t(id))
+WITH s AS (SELECT user_id AS id, CASE event_type WHEN 'signup' THEN 'me' WHEN 'purchase' THEN 'mic:' WHEN 'click' THEN 'sys:' WHEN 'error' THEN 'x' END AS kind, CAST(floor(max(value)) AS BIGINT) AS n FROM events GROUP BY 1, 2),
+l AS (SELECT id, CASE WHEN kind = 'me' THEN 'me' ELSE kind || CAST(n AS VARCHAR) END AS label FROM s)
 SELECT id, label, CASE WHEN label IS NULL THEN '?' WHEN label = 'me' THEN 'Я' WHEN label LIKE 'sys:%' THEN concat('Участник ', label[5:]) WHEN label LIKE 'mic:%' THEN concat('Зал ', label[5:]) ELSE label END AS name,
        CASE WHEN label LIKE '%:%' THEN CAST(label[5:] AS BIGINT) END AS number,
        CASE WHEN label = 'me' THEN 0 WHEN label LIKE 'sys:%' THEN 1 WHEN label LIKE 'mic:%' THEN 2 WHEN label IS NOT NULL THEN 3 ELSE 4 END AS rank FROM l
