@@ -50,17 +50,36 @@ def resample(samples: np.ndarray, rate_in: int, rate_out: int = RATE, block: int
         return np.asarray(samples, np.float32)
     ratio = Fraction(rate_out, rate_in)
     up, down = ratio.numerator, ratio.denominator
-    taps, reach = _taps(up, down)
+    _, reach = _taps(up, down)
     padded = np.pad(np.asarray(samples, np.float64), reach)
     n = -(-len(samples) * up // down)
     out = np.empty(n, np.float32)
     for a in range(0, n, block):  # memory stays bounded for long recordings
-        k = np.arange(a, min(n, a + block), dtype=np.int64) * down
-        at = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)[k // up]
-        out[a : a + len(k)] = (at * taps[k % up]).sum(axis=1)
+        out[a : a + block] = _filtered(padded, 0, a, min(n, a + block), up, down)
     return out
 
 
+def _filtered(padded: np.ndarray, first: int, a: int, b: int, up: int, down: int) -> np.ndarray:
+    """Output samples a to before b from inputs that begin ``reach`` places before input number ``first``."""
+    taps, reach = _taps(up, down)
+    k = np.arange(a, b, dtype=np.int64) * down
+    at = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)[k // up - first]
+    return (at * taps[k % up]).sum(axis=1).astype(np.float32)
+
+
+def resampled_range(read, n_in: int, rate_in: int, a: int, b: int, rate_out: int = RATE) -> np.ndarray:
+    """Samples a to before b of ``resample``'s result; ``read(x, y)`` gives those inputs x to before y that are needed."""
+    if rate_in == rate_out:
+        return np.asarray(read(a, b), np.float32)
+    ratio = Fraction(rate_out, rate_in)
+    up, down = ratio.numerator, ratio.denominator
+    _, reach = _taps(up, down)
+    first, last = a * down // up, (b - 1) * down // up
+    low, high = max(0, first - reach), min(n_in, last + reach + 1)
+    part = np.pad(np.asarray(read(low, high), np.float64), (low - (first - reach), last + reach + 1 - high))
+    return _filtered(part, first, a, b, up, down)
+
+
 class SampleDecoder:
     """Decodes parts of a stream of little-endian 16-bit samples; an odd byte waits for the next part."""
 
@@ -73,6 +92,29 @@ class SampleDecoder:
         return from_s16le(raw)
 
 
+def wav_shape(header: bytes) -> tuple[int, int, int, int]:
+    """Kind, channels, rate and bytes a sample of a format chunk; ValueError for others than integers and floats."""
+    kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", header[:16])
+    kind = int.from_bytes(header[24:26], "little") if kind == 0xFFFE and len(header) >= 26 else kind
+    width = (bits + 7) // 8
+    if not channels or not rate or (kind, width) not in {(1, 1), (1, 2), (1, 3), (1, 4), (3, 4), (3, 8)}:
+        raise ValueError(f"WAV format {kind} of {bits} bits")
+    return kind, channels, rate, width
+
+
+def pcm(raw: bytes, kind: int, width: int) -> np.ndarray:
+    """Stored samples as floats; an incomplete last one is left out."""
+    raw = raw[: len(raw) // width * width]
+    if kind == 3:
+        return np.frombuffer(raw, f"<f{width}").astype(np.float64)
+    if width == 1:
+        return (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    if width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        return ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / float(1 << 23)
+    return np.frombuffer(raw, f"<i{width}").astype(np.float64) / float(1 << (8 * width - 1))
+
+
 def read_wav(stored: bytes) -> np.ndarray:
     """A WAV file of any rate, width (integers or floats) and channels as 16 kHz mono floats; ValueError if it is none."""
     if stored[:4] != b"RIFF" or stored[8:12] != b"WAVE":
@@ -82,28 +124,14 @@ def read_wav(stored: bytes) -> np.ndarray:
         name, size = stored[at : at + 4], int.from_bytes(stored[at + 4 : at + 8], "little")
         body = stored[at + 8 : at + 8 + size]
         if name == b"fmt " and len(body) >= 16:
-            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
-            shape = (int.from_bytes(body[24:26], "little") if kind == 0xFFFE and len(body) >= 26 else kind), channels, rate, bits
+            shape = wav_shape(body)
         elif name == b"data":
             raw = body
         at += 8 + size + size % 2
     if shape is None or raw is None:
         raise ValueError("a WAV file without format or data")
-    kind, channels, rate, bits = shape
-    width = (bits + 7) // 8
-    if not channels or not rate or (kind, width) not in {(1, 1), (1, 2), (1, 3), (1, 4), (3, 4), (3, 8)}:
-        raise ValueError(f"WAV format {kind} of {bits} bits")
-    raw = raw[: len(raw) // width * width]
-    if kind == 3:
-        x = np.frombuffer(raw, f"<f{width}").astype(np.float64)
-    elif width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / float(1 << 23)
-    else:
-        x = np.frombuffer(raw, f"<i{width}").astype(np.float64) / float(1 << (8 * width - 1))
-    return resample(mono(x, channels), rate)
+    kind, channels, rate, width = shape
+    return resample(mono(pcm(raw, kind, width), channels), rate)
 
 
 class WavWriter:
