@@ -28,15 +28,13 @@ def _joined(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
 def running_total(rows: DataFrame, keys: list[str], order: list[str | Column], weight: Column, name: str) -> DataFrame:
     """``rows`` with the sum of ``weight`` over a key's rows up to each in ``order``."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.withColumns({"_weight": weight, **{f"_o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}})
-    by = [f"_o{i}" for i in range(len(order))]
-    dealt = settled(ordered.repartitionByRange(parts, *keys, *by).withColumn("_part", F.spark_partition_id()))
-    inner = Window.partitionBy("_part", *keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = settled(rows.withColumn("_weight", weight).repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    inner = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("_part", *keys).agg(F.sum("_weight").alias("_total"))
     before = totals.select("_part", *keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     found = _joined(dealt.withColumn(name, F.sum("_weight").over(inner)), before, ["_part", *keys])
-    return found.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_weight", "_before", *by)
+    return found.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_weight", "_before")
 
 
 def placed(rows: DataFrame, keys: list[str], order: list[str | Column], name: str = "place") -> DataFrame:

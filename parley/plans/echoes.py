@@ -1,7 +1,7 @@
-"""Queries on two streams of one meeting, each with its SQL twin.
+"""Queries on recordings and requests of meetings, each with its SQL twin.
 
-The events table is read as recordings: a user is a meeting, an event a piece of one of two sources or a
-frame with levels of both.
+The events table is read as recordings, a user being a meeting, an event a piece of one of two sources or a
+frame with levels of both; and as a meeting's log of lines, names and requests.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.operators import delays, echo_path
+from parley.operators import conversation, delays, echo_path
 from parley.session import table
 from parley.streaming import alignment
 
@@ -99,5 +99,38 @@ SELECT b.m AS meeting_id, upto - 1 AS frame, CAST(b.lag AS INTEGER) AS lag FROM
 WHERE score >= 0.4 AND score - coalesce((SELECT max(s.score) FROM s WHERE s.m = b.m AND s.upto = b.upto AND abs(s.lag - b.lag) > 8), -1e9) >= 0.08
 """
 
-QUERIES = {"aligned_frames": aligned_frames, "echo_path_states": echo_path_states, "echo_delays": echo_delays}
-ORACLES = {"aligned_frames": ALIGNED_FRAMES, "echo_path_states": ECHO_PATH_STATES, "echo_delays": ECHO_DELAYS}
+def request_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each meeting's requests the version they continue, and the lines and rename notes they add."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("meeting_id"), (F.col("event_id") * 10).alias("at"), "event_id", "event_type", "value", F.floor("value").cast("long").alias("v"))
+    label = lambda c: F.when(c, "sys:1").otherwise("sys:2")
+    of = lambda kind: rows.filter(F.col("event_type") == kind)
+    said = rows.filter(F.col("event_type").isin("view", "click"))
+    segments = said.select("meeting_id", "at", F.col("event_id").cast("string").alias("id"), label(F.col("event_type") == "view").alias("label"), F.col("at").alias("start_ms"), F.col("event_type").alias("text"), F.lit(True).alias("is_final"))
+    names = of("signup").select("meeting_id", "at", label(F.col("v") % 2 == 0).alias("label"), F.concat(F.lit("N"), F.col("v").cast("string")).alias("name"))
+    relabels = of("error").select("meeting_id", "at", F.lit("none").alias("id"), F.lit("sys:3").alias("label"))
+    kind = F.when(F.col("value") < 15, "fork").when(F.col("value") > 90, "rollover").otherwise("live")
+    requests = of("purchase").select("meeting_id", F.col("event_id").alias("n"), "at", (F.col("at") + 5).alias("done_at"), kind.alias("kind"), (F.col("v") % 4 != 0).alias("ok"), F.lit("t").alias("task"), F.lit("r").alias("reply"), F.lit(None).cast("string").alias("summary"), F.lit(1 << 30).alias("most_chars"))
+    found = conversation.conversation(segments, names, relabels, requests, bucket=100_000)
+    return found.select("meeting_id", "n", "kind", "parent", "epoch", "lines", "notes")
+
+
+REQUEST_UPDATES = """
+WITH e AS (SELECT user_id AS m, event_id * 10 AS tm, event_id, event_type AS t, value, CAST(floor(value) AS BIGINT) AS v FROM events),
+s AS (SELECT m, tm, CASE t WHEN 'view' THEN 'sys:1' ELSE 'sys:2' END AS label FROM e WHERE t IN ('view', 'click')),
+a AS (SELECT m, tm, CASE WHEN v % 2 = 0 THEN 'sys:1' ELSE 'sys:2' END AS label, 'N' || v AS name FROM e WHERE t = 'signup'),
+q AS (SELECT m, tm, event_id AS n, CASE WHEN value < 15 THEN 'fork' WHEN value > 90 THEN 'rollover' ELSE 'live' END AS kind, v % 4 <> 0 AS ok FROM e WHERE t = 'purchase'),
+c AS (SELECT m, tm, n, kind FROM q WHERE kind = 'rollover' OR (kind = 'live' AND ok)),
+p AS (SELECT q.*, (SELECT max(c.tm) FROM c WHERE c.m = q.m AND c.tm < q.tm) AS parent_at, (SELECT count(*) FROM c WHERE c.m = q.m AND c.tm < q.tm AND c.kind = 'rollover') AS epoch FROM q),
+f AS (SELECT s.m, s.label, min(c.tm) AS told_at FROM s JOIN c ON c.m = s.m AND c.tm >= s.tm GROUP BY s.m, s.label),
+w AS (SELECT p.m, p.n, f.label,
+        coalesce((SELECT arg_max(name, a.tm) FROM a WHERE a.m = p.m AND a.label = f.label AND a.tm <= p.parent_at), '') AS b,
+        coalesce((SELECT arg_max(name, a.tm) FROM a WHERE a.m = p.m AND a.label = f.label AND a.tm <= p.tm), '') AS n2
+      FROM p JOIN f ON f.m = p.m AND f.told_at <= p.parent_at WHERE p.kind <> 'rollover')
+SELECT p.m AS meeting_id, p.n, p.kind, CAST(p.parent_at // 10 AS BIGINT) AS parent, p.epoch,
+       (SELECT count(*) FROM s WHERE s.m = p.m AND s.tm <= p.tm AND (p.kind = 'rollover' OR s.tm > coalesce(p.parent_at, -1))) AS lines,
+       (SELECT count(*) FROM w WHERE w.m = p.m AND w.n = p.n AND w.b <> w.n2) AS notes
+FROM p
+"""
+
+QUERIES = {"request_updates": request_updates, "aligned_frames": aligned_frames, "echo_path_states": echo_path_states, "echo_delays": echo_delays}
+ORACLES = {"request_updates": REQUEST_UPDATES, "aligned_frames": ALIGNED_FRAMES, "echo_path_states": ECHO_PATH_STATES, "echo_delays": ECHO_DELAYS}
