@@ -42,16 +42,31 @@ def tidy(run: Callable) -> Callable:
 
     def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed blocks otherwise
-            if trim is not None:
-                trim(0)
+        give_back()
 
     return with_end
 
 
+def tidy_group(run: Callable) -> Callable:
+    """``run`` for applyInArrow, giving memory that the last group left back before each one."""
+
+    def with_start(table: pa.Table) -> pa.Table:
+        give_back()
+        return run(table)
+
+    return with_start
+
+
+def give_back() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed blocks otherwise
+        if trim is not None:
+            trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch, as texts may be long; a smaller bound of the session stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

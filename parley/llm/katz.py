@@ -9,7 +9,7 @@ discounted and leave the rest to one unknown word.
 
 Words with at least the share ``MIN_SHARE`` of all tokens are common: at most 1 / ``MIN_SHARE`` of
 them exist at any size, so their counts and backoff weights are broadcast and they go by their place
-there. All else meets in buckets. A bigram of common words is dealt by its history, and a history
+there. All else meets in buckets, of which there are as many as ``BUCKET_TOKENS`` wants. A bigram of common words is dealt by its history, and a history
 by its share of tokens to as many buckets as it needs; any other bigram by its rarer word (the second
 if both are rare), so that the word's own count is known in its bucket, too. A slice of texts sends each bucket
 one sorted and compressed list of the bigrams asked for; a bucket sends each slice one list of sums.
@@ -36,11 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import hashed_words, scaled_partitions, small_batches, stored, text_slices, tidy
+from parley.llm.common import hashed_words, scaled_partitions, small_batches, stored, text_slices, tidy, tidy_group
 
 MIN_SHARE = 2.0**-22
 GT_MOST = 5  # counts up to this one are discounted
 SLICE = 2000  # texts that ask together; their places fit 16 bits
+BUCKET_TOKENS = 1 << 20  # training tokens a bucket, about
 HELD = 1_000_000  # bigrams counted in a task before they go out
 #: Codes of common words are their places; START follows. Rarer words go by their hashes, whose top bit is set.
 START, BACKOFF, RARE_FIRST = 1 << 22, 1 << 25, 1 << 24
@@ -280,7 +281,7 @@ def bigram_table(train: DataFrame, model: Model) -> DataFrame:
         return pa.table({"bucket": table["bucket"].slice(0, 1), "blob": pa.array([packed(major, minor, count)], pa.binary()), "few": pa.array([few.tolist()], pa.list_(pa.int64()))})
 
     partial = train.select("text").mapInArrow(tidy(run), "bucket int, blob binary")
-    return stored(partial.groupBy("bucket").applyInArrow(add, "bucket int, blob binary, few array<long>"), "bigrams")
+    return stored(partial.groupBy("bucket").applyInArrow(tidy_group(add), "bucket int, blob binary, few array<long>"), "bigrams")
 
 
 @dataclass
@@ -340,7 +341,7 @@ def fit(train: DataFrame, min_share: float = MIN_SHARE) -> tuple[Model, DataFram
     order = np.argsort(words)
     words, counts = words[order], counts[order]
     texts = unigrams.filter(F.col("w") == F.lit(int(END.view(np.int64)))).agg(F.sum("c")).first()[0] or 0
-    model = Model(words, counts, base, np.append(counts, texts).astype(float), np.zeros(len(words) + 1), np.ones(GT_MOST + 1), scaled_partitions(spark))
+    model = Model(words, counts, base, np.append(counts, texts).astype(float), np.zeros(len(words) + 1), np.ones(GT_MOST + 1), max(scaled_partitions(spark), math.ceil(total / BUCKET_TOKENS)))
     model.totals[:-1][words == END] = 0  # nothing follows an end
     bigrams = bigram_table(train, model)
     few = bigrams.select(F.posexplode("few").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
@@ -535,6 +536,6 @@ def score(docs: DataFrame, model: Model, table: DataFrame, keep: tuple[str, ...]
         )
 
     asked = inner.mapInArrow(tidy(ask), f"bucket int, slice long, blob binary, place int, own {own_type}")
-    answered = asked.unionByName(table, allowMissingColumns=True).groupBy("bucket").applyInArrow(answer, f"slice long, blob binary, place int, own {own_type}")
-    summed = answered.groupBy("slice").applyInArrow(add, f"kept {kept_type}, n_tokens long, n_known long, base_score double, score double")
+    answered = asked.unionByName(table, allowMissingColumns=True).groupBy("bucket").applyInArrow(tidy_group(answer), f"slice long, blob binary, place int, own {own_type}")
+    summed = answered.groupBy("slice").applyInArrow(tidy_group(add), f"kept {kept_type}, n_tokens long, n_known long, base_score double, score double")
     return summed.select(*[F.col("kept")[f"k{i}"].alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(base.total).cast("long").alias("train_tokens"), "base_score", "score")
