@@ -339,3 +339,22 @@ def log_mel_column(samples: Column) -> Column:
         return arrays.map(lambda x: None if x is None else log_mel(x).tolist())
 
     return run(samples)
+
+
+def array_function(kernel, kind: str = "array<float>"):
+    """A kernel on one array as a function of a column; null stays null."""
+
+    def apply(column: Column) -> Column:
+        @F.pandas_udf(kind)
+        def run(arrays: pd.Series) -> pd.Series:  # these follow a state from value to value
+            return arrays.map(lambda x: None if x is None else np.asarray(kernel(np.asarray(x))).tolist())
+
+        return run(column)
+
+    return apply
+
+
+voiced_column = array_function(voiced)
+noise_floor_column = array_function(noise_floor, "array<double>")
+gains_column = array_function(gains, "array<double>")
+hangover_column = array_function(lambda x: hangover(x.astype(bool)), "array<boolean>")

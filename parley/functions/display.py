@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parley.functions.text import clean
+from parley.functions.text import clean, label_order
 
 # Weekdays from Sunday on, and the months' names in dates.
 WEEKDAYS = ["воскресенье", "понедельник", "вторник", "среда", "четверг", "пятница", "суббота"]
@@ -158,6 +158,13 @@ def usage_of(json: Column) -> Column:
     return F.when(fine, given)
 
 
+def names_snapshot(labels: Column, names: Column) -> Column:
+    """Names by label as a map whose entries are in the labels' order."""
+    pairs = F.arrays_zip(labels.alias("label"), names.alias("name"))
+    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(label_order(p["label"]).alias("o"), p["label"].alias("label"), p["name"].alias("name"))))
+    return F.map_from_entries(F.transform(ordered, lambda p: F.struct(p["label"], p["name"])))
+
+
 NOT_SAID = "(не указано)"
 
 

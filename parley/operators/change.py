@@ -6,8 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from parley.functions.audio import snapped
 from parley.operators.clustering import unit
 
+CONTEXT = 32_000  # samples to either side of a boundary that are compared
+
 
 def similarity_around(starts: np.ndarray, embeddings: np.ndarray, length: int, boundary: int, context: int) -> float:
     """Cosine of the mean embeddings of the windows wholly left and right of a boundary, within a context.
@@ -52,16 +55,16 @@ def verified(cuts: list[int], starts, embeddings, length: int, total: int, thres
     return cuts
 
 
-def change_points(starts, embeddings, length: int, hop: int, total: int, threshold: float = 0.55, context: int = 0, least: int = 16_000) -> list[int]:
-    """Sample positions where the speaker changes."""
+def change_points(starts, embeddings, length: int, hop: int, total: int, threshold: float = 0.55, context: int = CONTEXT, least: int = 16_000, samples=None) -> list[int]:
+    """Sample positions where the speaker changes; with the samples themselves, moved to quiet places nearby."""
     starts, embeddings = np.asarray(starts), np.asarray(embeddings, np.float64)
     if len(starts) < 2 or total < 2 * least:
         return []
-    context = context or 2 * length
     grid = np.arange(least, total - least + 1, hop)
     curve = np.array([similarity_around(starts, embeddings, length, int(b), context) for b in grid])
     low = minima(curve, threshold)
-    return verified(spaced(grid[low], curve[low], least, 0, total), starts, embeddings, length, total, threshold)
+    cuts = verified(spaced(grid[low], curve[low], least, 0, total), starts, embeddings, length, total, threshold)
+    return cuts if samples is None else snapped(np.asarray(samples, np.float32), cuts, least)
 
 
 def pieces(cuts: list[int], total: int, least: int) -> list[int]:
@@ -79,12 +82,14 @@ def pieces(cuts: list[int], total: int, least: int) -> list[int]:
 
 
 def cuts_of(utterances: DataFrame, length: int, hop: int, threshold: float = 0.55, least: int = 16_000) -> DataFrame:
-    """meeting_id, segment_id, cuts of utterances (columns starts, embeddings, total), batch by batch."""
+    """meeting_id, segment_id, cuts of utterances (columns starts, embeddings, total), batch by batch; snapped to quiet places where there is a column samples."""
+    sound = ["samples"] if "samples" in utterances.columns else []
 
     def run(batches):
         for rows in batches:
-            found = [pieces(change_points(s, [list(x) for x in e], length, hop, int(t), threshold, least=least), int(t), least) for s, e, t in zip(rows.starts, rows.embeddings, rows.total)]
+            sounds = rows.samples if sound else [None] * len(rows)
+            found = [pieces(change_points(s, [list(x) for x in e], length, hop, int(t), threshold, least=least, samples=x), int(t), least) for s, e, t, x in zip(rows.starts, rows.embeddings, rows.total, sounds)]
             yield pd.DataFrame({"meeting_id": rows.meeting_id, "segment_id": rows.segment_id, "cuts": found})
 
     kinds = dict(utterances.dtypes)
-    return utterances.select("meeting_id", "segment_id", "starts", "embeddings", "total").mapInPandas(run, f"meeting_id {kinds['meeting_id']}, segment_id string, cuts array<int>")
+    return utterances.select("meeting_id", "segment_id", "starts", "embeddings", "total", *sound).mapInPandas(run, f"meeting_id {kinds['meeting_id']}, segment_id string, cuts array<int>")

@@ -28,6 +28,11 @@ def meeting_markdown(meetings: DataFrame, segments: DataFrame, notes: DataFrame,
     return joined.select(F.col("meeting_id").alias("id"), F.concat(F.concat_ws("\n\n", title, date, summary, said), F.lit("\n")).alias("text"))
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """Write result rows as JSON, a folder for each model, replacing those of the models at hand only."""
+    results.withColumn("folder", F.col("model")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("folder").json(path)
+
+
 def result_table(items: DataFrame, row: str, column: str, columns: list[str], value: Column) -> DataFrame:
     """place, line of a Markdown table: a row per ``row``, the listed columns, a dash where nothing was measured."""
     cells = items.groupBy(row).pivot(column, columns).agg(F.first(value))

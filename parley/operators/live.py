@@ -231,6 +231,25 @@ def outdated_summaries(notes: DataFrame, changes: DataFrame) -> DataFrame:
     return final.join(later, "meeting_id").filter(F.col("changed_at") > F.col("_n.created_at")).select("meeting_id", "_n.content", "_n.created_at", "changed_at")
 
 
+def rolling_summaries(runs: DataFrame) -> DataFrame:
+    """``runs`` (meeting_id, n, status, text) with previous, the summary that each updates, and shown, the text on screen after it.
+
+    A run that fails leaves the summary before it on screen.
+    """
+    w = Window.partitionBy("meeting_id").orderBy("n")
+    done = F.when(F.col("status") == "done", F.col("text"))
+    told = runs.withColumn("previous", F.last(done, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return told.withColumn("shown", F.coalesce(done, "previous", F.when(F.col("status") == "streaming", F.col("text")), F.lit("")))
+
+
+def enrollments(recordings: DataFrame, least_ms: int = 4_000) -> DataFrame:
+    """``recordings`` (samples at 16 kHz) with speech, their voiced frames, speech_ms, and ok, whether they are speech enough for a voiceprint."""
+    from parley.functions.audio import voiced_column
+
+    heard = recordings.withColumn("speech", voiced_column(F.col("samples")))
+    return heard.withColumn("speech_ms", F.floor(F.size("speech") / 16).cast("long")).withColumn("ok", F.col("speech_ms") >= least_ms)
+
+
 def renames(states: DataFrame) -> DataFrame:
     """meeting_id, n, label, before, after, reset: what changes from one snapshot of names (meeting_id, n, label, name; null: none) to the next.
 

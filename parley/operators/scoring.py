@@ -58,6 +58,21 @@ def matched_subset(items: DataFrame, model: str, dataset: str, order: str) -> Da
     return numbered.join(least, numbered[dataset] == F.col("_d")).filter("_place <= _least").drop("_place", "_least", "_d")
 
 
+def restricted(items: DataFrame, allowed: DataFrame, model: str, dataset: str, order: str, limit: int | None = None) -> DataFrame:
+    """Items of the models and data sets that ``allowed`` pairs, of each pair the first ``limit``; a model that it lacks keeps all its sets."""
+    pairs = allowed.select(F.col(model).alias("_m"), F.col(dataset).alias("_s")).distinct()
+    listed = pairs.select("_m").distinct().withColumn("_listed", F.lit(True))
+    met = items.join(listed, items[model] == F.col("_m"), "left").drop("_m")
+    met = met.join(pairs.withColumn("_paired", F.lit(True)), (met[model] == F.col("_m")) & (met[dataset] == F.col("_s")), "left").drop("_m", "_s")
+    kept = met.filter("_listed IS NULL OR _paired").drop("_listed", "_paired")
+    return kept if limit is None else ranks.placed(kept, [model, dataset], [order], "_place").filter(F.col("_place") <= limit).drop("_place")
+
+
+def set_totals(items: DataFrame, dataset: str, seconds: str) -> DataFrame:
+    """Per data set its items (n) and minutes of audio."""
+    return items.groupBy(dataset).agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum(seconds), F.lit(0.0)) / 60, 6).alias("minutes"))
+
+
 def confusion(items: DataFrame, keys: list[str], label: str, speaker: str, weight: Column) -> DataFrame:
     """Weight of each label and speaker of a key; label null is unlabelled."""
     return items.groupBy(*keys, label, speaker).agg(F.sum(weight).cast("long").alias("weight"))

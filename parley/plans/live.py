@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions import display, text as T
+from parley.functions import display, text as T, validation
 from parley.operators import export, live, store, turns
 from parley.plans.meetings import SEGMENTS_SQL, segments
 from parley.session import table
@@ -385,10 +385,43 @@ WITH v AS (SELECT o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 0.5 WHEN 'O'
 SELECT o_orderpriority, round(sum(v * w) / sum(w), 4) AS objective FROM v GROUP BY 1
 """
 
+
+def settings_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as settings: what does not fit in each, and the threads that repaired ones have."""
+    v, kind = F.floor("value").cast("long"), F.col("event_type")
+    mode = F.when(kind == "view", "me").when(kind == "click", "room").otherwise(kind)
+    threads = F.when(v % 3 == 0, F.concat(F.lit('"'), v.cast("string"), F.lit('"'))).otherwise(v.cast("string"))
+    keys = F.when(kind == "signup", "null").when(kind == "purchase", '{"hint":"Shift+A"}').otherwise('{"hint":"Ctrl+B"}')
+    made = F.concat(F.lit('{"micMode":"'), mode, F.lit('","numThreads":'), threads, F.lit(',"captureMic":'), F.when(kind == "error", '"yes"').otherwise("true"), F.lit(',"hotkeys":'), keys, F.lit("}"))
+    json = F.when(v % 50 == 0, "[1]").when(v % 51 == 0, "oops").otherwise(made)
+    rows = table(spark, sf_dir, "events").select("event_id", json.alias("json"))
+    listed = F.array_join(F.transform(validation.problems(F.col("json")), lambda p: F.concat_ws("=", p["path"], p["problem"])), ";")
+    return rows.select("event_id", listed.alias("problems"), validation.repaired(F.col("json"))["value"]["numThreads"].alias("threads"))
+
+
+SETTINGS_PROBLEMS = """
+WITH e AS (SELECT event_id, event_type AS t, CAST(floor(value) AS BIGINT) AS v FROM events),
+j AS (
+  SELECT event_id, CASE WHEN v % 50 = 0 THEN '[1]' WHEN v % 51 = 0 THEN 'oops' ELSE concat('{"micMode":"', CASE t WHEN 'view' THEN 'me' WHEN 'click' THEN 'room' ELSE t END,
+    '","numThreads":', CASE WHEN v % 3 = 0 THEN concat('"', v, '"') ELSE CAST(v AS VARCHAR) END, ',"captureMic":', CASE WHEN t = 'error' THEN '"yes"' ELSE 'true' END,
+    ',"hotkeys":', CASE t WHEN 'signup' THEN 'null' WHEN 'purchase' THEN '{"hint":"Shift+A"}' ELSE '{"hint":"Ctrl+B"}' END, '}') END AS x
+  FROM e
+), k AS (SELECT event_id, CASE WHEN json_valid(x) THEN CAST(x AS JSON) END AS x FROM j)
+SELECT event_id,
+  CASE WHEN x IS NULL THEN '$=not JSON' WHEN json_type(x) <> 'OBJECT' THEN '$=not an object' ELSE concat_ws(';',
+    CASE WHEN json_type(x, '$.numThreads') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN '$.numThreads=wrong type' END,
+    CASE WHEN json_type(x, '$.captureMic') <> 'BOOLEAN' THEN '$.captureMic=wrong type' END,
+    CASE WHEN json_type(x, '$.micMode') <> 'VARCHAR' THEN '$.micMode=wrong type' WHEN json_extract_string(x, '$.micMode') NOT IN ('me', 'room') THEN '$.micMode=not one of the choices' END,
+    CASE WHEN json_type(x, '$.hotkeys') <> 'OBJECT' THEN '$.hotkeys=wrong type' END,
+    CASE WHEN NOT regexp_matches(json_extract_string(x, '$.hotkeys.hint'), '(^|[+])(CommandOrControl|Control|Ctrl|Alt|Super)[+]') THEN '$.hotkeys.hint=not usable' END) END AS problems,
+  CAST(CASE WHEN json_type(x, '$.numThreads') IN ('UBIGINT', 'BIGINT') THEN greatest(1, least(32, CAST(json_extract_string(x, '$.numThreads') AS BIGINT))) ELSE 4 END AS BIGINT) AS threads
+FROM k
+"""
+
 NAMED = [
     "live_finals", "live_partials", "shown_partials", "session_clock", "unnamed_labels", "recap_lines", "mic_modes", "hint_cards", "without_noise", "whole_percents",
     "device_order", "duration_labels", "count_labels", "meeting_dates", "model_windows", "request_budgets", "name_lists", "name_forms", "skipped_replies", "ended_meetings",
-    "meeting_list", "last_embeddings", "meeting_markdown", "evaluation_set", "runnable_models", "region_kinds", "weighted_objective",
+    "meeting_list", "last_embeddings", "meeting_markdown", "evaluation_set", "runnable_models", "region_kinds", "weighted_objective", "settings_problems",
 ]
 QUERIES = {n: globals()[n] for n in NAMED}
 ORACLES = {n: globals()[n.upper()] for n in NAMED}

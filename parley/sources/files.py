@@ -55,10 +55,15 @@ def _quoted(text: str) -> str:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest with one JSON object per line; malformed lines are dropped."""
+    """A manifest with one JSON object per line; malformed lines are dropped (``broken_lines`` has them)."""
     return spark.read.option("mode", "DROPMALFORMED").json(path)
 
 
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of a manifest that are no JSON objects."""
+    return spark.read.text(path).filter((F.trim("value") != "") & F.coalesce(~F.startswith(F.schema_of_variant(F.try_parse_json("value")), F.lit("OBJECT")), F.lit(True)))
+
+
 def tab_separated(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A file of tab-separated fields without quoting."""
     return spark.read.csv(path, sep="\t", quote="").toDF(*columns)
@@ -90,6 +95,16 @@ def sentences(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), "file", "raw", "text", F.col("n_samples").cast("long").alias("n_samples"), "gender")
 
 
+def read_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """id, text, sound (bytes) of a corpus of read sentences in Parquet (columns sentence and audio.bytes).
+
+    Sentences with digits are left out, of equal ones the first by its audio's path stays.
+    """
+    rows = spark.read.parquet(path).filter(~F.col("sentence").rlike(r"(?U)\d")).select("sentence", F.coalesce(F.col("audio.path"), F.lit("")).alias("path"), F.col("audio.bytes").alias("bytes"))
+    first = rows.groupBy("sentence").agg(F.min(F.struct("path", "bytes")).alias("a"))
+    return first.select(F.regexp_replace(F.element_at(F.split("a.path", "/"), -1), r"\.[^.]*$", "").alias("id"), F.col("sentence").alias("text"), F.col("a.bytes").alias("sound"))
+
+
 def results(spark: SparkSession, path: str) -> DataFrame:
     """The result files below a path, one row each; broken ones and summaries are left out."""
     files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
