@@ -11,7 +11,7 @@ hashes and four numbers of its source, texts are not shuffled, and a source with
 is as many blocks as it needs.
 
 Cases: null sources are one source; a null text has no tokens; a source without tokens keeps each
-document once; rows with one id and source are taken alike; an empty table gives no rows; all other
+document once; rows with one id and source are taken alike, rows without id by their texts; an empty table gives no rows; all other
 columns pass through, whatever their names.
 """
 
@@ -88,16 +88,21 @@ class Plan:
         return docs.join(sources, F.col(source_col).eqNullSafe(F.col(names["source"]))), names
 
 
-def _hashes(id_col: str, source_col: str, seed: int, rows: Column, epoch: Column) -> tuple[Column, Column]:
+def _mark(id_col: str, text_col: str) -> Column:
+    """What tells documents without id apart."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col))
+
+
+def _hashes(id_col: str, mark: Column, source_col: str, seed: int, rows: Column, epoch: Column) -> tuple[Column, Column]:
     """A document's block, as the block's place in the epoch's permutation, and the document's place in its block."""
     blocks = F.ceil(F.sqrt(rows.cast("double"))).cast("long")  # as many blocks as a block has documents, about
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), blocks)
-    return F.xxhash64(F.lit(seed + 1), epoch, F.col(source_col), block), F.xxhash64(F.lit(seed + 2), F.col(id_col))
+    block = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), mark), blocks)
+    return F.xxhash64(F.lit(seed + 1), epoch, F.col(source_col), block), F.xxhash64(F.lit(seed + 2), F.col(id_col), mark)
 
 
 def plan(docs: DataFrame, target_entropy: float | None = None, most_repeats: float | None = None, budget: float | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Plan:
     """What each source contributes to ``budget`` tokens (default: as many as there are)."""
-    rows = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("tokens")))
+    rows = settle(docs.select(F.col(id_col).alias("id"), _mark(id_col, text_col).alias("mark"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("tokens")))
     totals = settle(rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("tokens")))
     number, whole = totals.agg(F.count(F.lit(1)), F.sum("tokens")).first()
     exponent, weight, goal = 1.0, F.lit(0.0), F.lit(0)
@@ -111,7 +116,7 @@ def plan(docs: DataFrame, target_entropy: float | None = None, most_repeats: flo
     epochs, left = F.when(has, F.floor(goal / some)).otherwise(1).cast("long"), F.when(has, goal % some).otherwise(0).cast("long")
     sources = settle(totals.select("source", "rows", weight.alias("weight"), epochs.alias("epochs"), left.alias("left")))
     dealt, names = Plan(exponent, sources, number).beside(rows, "source")
-    block, place = _hashes("id", "source", seed, F.col(names["rows"]), F.col(names["epochs"]))
+    block, place = _hashes("id", F.col("mark"), "source", seed, F.col(names["rows"]), F.col(names["epochs"]))
     dealt = dealt.select("source", F.col(names["left"]).alias("left"), "tokens", "id", block.alias("block"), place.alias("place"))
     blocks = dealt.groupBy("source", "left", "block").agg(F.sum("tokens").alias("tokens"))
     so_far = F.sum("tokens").over(Window.partitionBy("source").orderBy("block"))
@@ -125,7 +130,7 @@ def plan(docs: DataFrame, target_entropy: float | None = None, most_repeats: flo
     return Plan(exponent, settle(sources.join(ends, F.expr("source <=> s"), "left").drop("s", "left")), number)
 
 
-def with_copies(docs: DataFrame, plan: Plan, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", name: str = "copies", with_places: bool = False) -> DataFrame:
+def with_copies(docs: DataFrame, plan: Plan, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", name: str = "copies", with_places: bool = False, text_col: str = "text") -> DataFrame:
     """``docs`` with the number of copies of each row in the mixture, and its source's weight (name_weight).
 
     With places also its order in its source: name_blocks, of each copy (one an epoch) its block's
@@ -134,14 +139,15 @@ def with_copies(docs: DataFrame, plan: Plan, seed: int = 42, id_col: str = "doc_
     """
     joined, names = plan.beside(docs, source_col)
     c = {k: F.col(v) for k, v in names.items()}
-    block, place = _hashes(id_col, source_col, seed, c["rows"], c["epochs"])
+    mark = _mark(id_col, text_col)
+    block, place = _hashes(id_col, mark, source_col, seed, c["rows"], c["epochs"])
     fits = F.coalesce(F.struct(place.alias("place"), F.col(id_col).alias("id")) <= c["last"], F.lit(False))
     more = F.when(c["edge"].isNull() | (block > c["edge"]), 0).when(block < c["edge"], 1).otherwise(fits.cast("int"))  # without an edge nothing is left over
     copies = (c["epochs"] + more).cast("long")
     out = {name: copies, f"{name}_weight": c["weight"]}
     if with_places:
         epochs = F.filter(F.sequence(F.lit(0).cast("long"), copies), lambda k: k < copies)
-        out |= {f"{name}_blocks": F.transform(epochs, lambda k: _hashes(id_col, source_col, seed, c["rows"], k)[0]), f"{name}_place": place}
+        out |= {f"{name}_blocks": F.transform(epochs, lambda k: _hashes(id_col, mark, source_col, seed, c["rows"], k)[0]), f"{name}_place": place}
     return joined.withColumns(out).drop(*names.values())
 
 
@@ -155,7 +161,7 @@ def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", source_col: str
     name = fresh(docs, "copies")
     while any(f"{name}_{k}" in docs.columns for k in ("weight", "blocks", "place")):
         name += "_"
-    counted = with_copies(docs, planned, seed, id_col, source_col, name, with_places)
+    counted = with_copies(docs, planned, seed, id_col, source_col, name, with_places, wanted.get("text_col", "text"))
     if with_places:
         return counted.select("*", F.posexplode(f"{name}_blocks").alias("epoch", "block")).select(*docs.columns, "epoch", "block", F.col(f"{name}_place").alias("place"))
     epochs = F.filter(F.sequence(F.lit(0).cast("long"), F.col(name)), lambda k: k < F.col(name))

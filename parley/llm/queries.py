@@ -66,13 +66,13 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of all documents; four fifths by id are learned from."""
+    """The language of all documents and the spans of their words in each; four fifths by id are learned from."""
     from parley.llm import langid
     from parley.llm.common import fold_of
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"))
     model = langid.fit(docs.filter(~F.coalesce("held_out", F.lit(True))))
-    found = langid.identify(docs, model, keep=("doc_id", "held_out"), with_spans=False)
+    found = langid.identify(docs, model, keep=("doc_id", "held_out"))
     return found.withColumn("held_out", F.coalesce("held_out", F.lit(False)))  # rows without id are neither held out nor learned from
 
 

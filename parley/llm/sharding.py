@@ -32,12 +32,12 @@ def with_position(df: DataFrame, *order: str | Column, name: str = "position") -
         .withColumn("_at", F.monotonically_increasing_id())  # partition << 33 | place in it
     )
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = [], 0
-    for p, n in counts:
-        starts += [F.lit(p).cast("long"), F.lit(total).cast("long")]
-        total += n
-    start = F.create_map(*starts)[part] if starts else F.lit(0).cast("long")
+    for p in range(max(counts, default=-1) + 1):
+        starts.append(total)
+        total += counts.get(p, 0)
+    start = F.get(F.lit(starts).cast("array<long>"), part.cast("int")) if starts else F.lit(0).cast("long")
     return placed.withColumn(name, start + place).drop("_at")
 
 

@@ -366,15 +366,11 @@ def test_mixture_meets_an_entropy(spark, docs, empty):
 # 8 Katz
 
 
-def test_scores_against_brute_force(docs, empty):
-    train = docs.filter("doc_id % 10 != 3")
-    model, unigrams = katz.fit(train)
-    got = {r.doc_id: r for r in katz.score(docs, model, unigrams).collect() if r.doc_id is not None}
-    tokens = {r.doc_id: [*words_of(r.text), b"\n"] for r in docs.collect() if r.doc_id is not None}
-    count = collections.Counter(w for r in train.collect() for w in [*words_of(r.text), b"\n"])
+def brute_katz(texts):
+    """Counts of the words and ends of texts, and the probability of a word after another (None: at the start)."""
+    count = collections.Counter(w for t in texts for w in [*words_of(t), b"\n"])
     n, v = sum(count.values()), len(count)
-    base = lambda w: math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1)))
-    pair = collections.Counter((a, b) for r in train.collect() for t in [[None, *words_of(r.text), b"\n"]] for a, b in zip(t, t[1:]))
+    pair = collections.Counter((a, b) for x in texts for t in [[None, *words_of(x), b"\n"]] for a, b in zip(t, t[1:]))
     history = collections.Counter()
     for (a, _), c in pair.items():
         history[a] += c
@@ -395,6 +391,17 @@ def test_scores_against_brute_force(docs, empty):
             return cut(d2, seen[b]) / total
         return p1(b) * (1 - kept / total) / (1 - sum(p1(w) for w in seen))
 
+    return count, after
+
+
+def test_scores_against_brute_force(docs, empty):
+    train = docs.filter("doc_id % 10 != 3")
+    model, unigrams = katz.fit(train)
+    got = {r.doc_id: r for r in katz.score(docs, model, unigrams).collect() if r.doc_id is not None}
+    tokens = {r.doc_id: [*words_of(r.text), b"\n"] for r in docs.collect() if r.doc_id is not None}
+    count, after = brute_katz([r.text for r in train.collect()])
+    n, v = sum(count.values()), len(count)
+    base = lambda w: math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1)))
     assert math.isclose(sum(after(WORDS[0].encode(), w) for w in [*count, b"?"]), 1.0, rel_tol=1e-9)
     for i, t in tokens.items():
         r = got[i]

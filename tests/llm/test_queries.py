@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_llm_operators import brute_components, brute_exponent, brute_fingerprint, brute_groups, brute_lines, prose, words_of
+from test_llm_operators import brute_components, brute_exponent, brute_fingerprint, brute_groups, brute_katz, brute_lines, prose, words_of
 
 from parley.llm import langid, media, queries, resampling
 
@@ -141,34 +141,88 @@ def test_op5(spark, folder):
     assert {(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got} == {(q, k, v, round(s, 9)) for q, k, v, s in want} and len(got) == len(want)
 
 
+def best_language(model, text):
+    """Language, score and spans by each language's best path so far: the share of letters in words that it gives the commonest one."""
+    words = langid.words_of(text)
+    scores, letters = model.scores(words)
+    value, paths = [0.0] * len(model.languages), [()] * len(model.languages)
+    for t, s in enumerate(scores):
+        top = max(range(len(value)), key=lambda j: (value[j], -j))
+        change = value[top] - (langid.SWITCH if t else 0.0)
+        paths = [(paths[k] if value[k] >= change else paths[top]) + (k,) for k in range(len(value))]
+        value = [max(value[k], change) + float(s[k]) for k in range(len(value))]
+    path = paths[max(range(len(value)), key=lambda j: (value[j], -j))]
+    share = np.bincount(path, letters, len(model.languages)) if len(words) else np.zeros(len(model.languages))
+    if not share.sum():
+        return "und", 0.0, []
+    spans = []
+    for t, k in enumerate(path):
+        if spans and spans[-1][2] == model.languages[k]:
+            spans[-1][1] += 1
+        else:
+            spans.append([t, 1, model.languages[k]])
+    return model.languages[int(share.argmax())], share.max() / share.sum(), [tuple(s) for s in spans]
+
+
 def test_op6(spark, folder, docs):
-    """Scores are the share of letters in words that the best path gives to the commonest language."""
+    """Every text's spans, and the language that most of its letters are in."""
     got = run(spark, folder, "op6_langid")
     assert len(got) == len(docs) and all(r.held_out == (r.doc_id is not None and crc(r.doc_id, 5) == 0) for r in got)
     train = [r for r in docs if r.doc_id is not None and crc(r.doc_id, 5)]
     model = langid.fit(spark.createDataFrame(train, DOCUMENTS))
     assert set(model.languages) == {r.lang for r in train if r.lang and r.text is not None}
-    want = {}
+    want, found = collections.defaultdict(list), collections.defaultdict(list)
     for r in docs:
-        words = langid.words_of(r.text)
-        scores, letters = model.scores(words)
-        value, paths = [0.0] * len(model.languages), [()] * len(model.languages)
-        for t, s in enumerate(scores):  # each language's best path so far, by plain dynamic programming
-            top = max(range(len(value)), key=lambda j: (value[j], -j))
-            change = value[top] - (langid.SWITCH if t else 0.0)
-            paths = [(paths[k] if value[k] >= change else paths[top]) + (k,) for k in range(len(value))]
-            value = [max(value[k], change) + float(s[k]) for k in range(len(value))]
-        path = paths[max(range(len(value)), key=lambda j: (value[j], -j))]
-        share = np.bincount(path, letters, len(model.languages)) if len(words) else np.zeros(len(model.languages))
-        want[r.doc_id, r.text] = ("und", 0.0) if not share.sum() else (model.languages[int(share.argmax())], share.max() / share.sum())
-    texts = collections.defaultdict(list)
-    for r in docs:
-        texts[r.doc_id].append(want[r.doc_id, r.text])
-    found = collections.defaultdict(list)
+        want[r.doc_id].append(best_language(model, r.text))
     for r in got:
-        found[r.doc_id].append((r.lang_pred, r.score))
-    for i, values in texts.items():
-        assert sorted(p for p, _ in found[i]) == sorted(p for p, _ in values) and np.allclose(sorted(s for _, s in found[i]), sorted(s for _, s in values))
+        found[r.doc_id].append((r.lang_pred, r.score, [tuple(x) for x in r.spans]))
+    for i, values in want.items():
+        mine = sorted(found[i], key=lambda x: (x[0], x[2]))
+        values = sorted(values, key=lambda x: (x[0], x[2]))
+        assert [(x[0], x[2]) for x in mine] == [(x[0], x[2]) for x in values] and np.allclose([x[1] for x in mine], [x[1] for x in values])
+    assert any(x[2] for xs in want.values() for x in xs)
+
+
+def brute_copies(spark, docs, most_repeats, seed=42):
+    """(id, text, source) -> (copies, blocks, place) of the mixture, source by source."""
+    tokens = collections.Counter()
+    for r in docs:
+        tokens[r.source] += len(words_of(r.text))
+    total = sum(tokens.values())
+    exponent = brute_exponent(list(tokens.values()), total, most_repeats)
+    z = sum((t / total) ** exponent for t in tokens.values() if t)
+    out = {}
+    for source, t in tokens.items():
+        own = [r for r in docs if r.source == source]
+        n = math.ceil(math.sqrt(len(own)))
+        goal = math.floor((t / total) ** exponent / z * total + 1e-6)
+        epochs, left = divmod(goal, t) if t else (1, 0)
+        frame = spark.createDataFrame([(r.doc_id, r.text, source, len(words_of(r.text))) for r in own], "id long, text string, source string, tokens int")
+        mark = F.when(F.col("id").isNull(), F.xxhash64("text"))
+        frame = frame.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "id", mark), F.lit(n).cast("long"))).withColumn("place", F.xxhash64(F.lit(seed + 2), "id", mark))
+        orders = [F.xxhash64(F.lit(seed + 1), F.lit(e).cast("long"), "source", "b").alias(f"e{e}") for e in range(epochs + 1)]
+        rows = frame.select("*", *orders).collect()
+        key = lambda r: (r.place, r.id is not None, r.id or 0)
+        used, more = 0, set()
+        for block in sorted({r[f"e{epochs}"] for r in rows}):
+            inside = sorted((r for r in rows if r[f"e{epochs}"] == block), key=key)
+            if used + sum(r.tokens for r in inside) <= left:
+                used += sum(r.tokens for r in inside)
+                more |= {(r.id, r.text) for r in inside}
+                continue
+            for k in sorted({key(r) for r in inside}):
+                same = [r for r in inside if key(r) == k]
+                if used + sum(r.tokens for r in same) > left:
+                    break
+                used += sum(r.tokens for r in same)
+                more |= {(r.id, r.text) for r in same}
+            break
+        else:
+            more = set() if not left else more
+        for r in rows:
+            copies = epochs + ((r.id, r.text) in more)
+            out[r.id, r.text, source] = copies, [r[f"e{e}"] for e in range(copies)], r.place
+    return out
 
 
 def test_op7(spark, folder, docs):
@@ -186,12 +240,13 @@ def test_op7(spark, folder, docs):
         mixed = sum(r.copies * r.n_tokens for r in got if r.source == source)
         longest = max(r.n_tokens for r in got if r.source == source)
         assert goal - longest <= mixed <= goal
+    want = brute_copies(spark, docs, 1.25)
+    assert sorted((str(r.doc_id), r.copies, r.blocks, r.place) for r in got) == sorted((str(r.doc_id), *want[r.doc_id, r.text, r.source]) for r in docs)
 
 
 def test_op8(spark, folder, docs):
     got = run(spark, folder, "op8_katz")
-    train = [[*words_of(r.text), b"\n"] for r in docs if r.doc_id is not None and crc(r.doc_id, 10)]
-    count = collections.Counter(w for t in train for w in t)
+    count, after = brute_katz([r.text for r in docs if r.doc_id is not None and crc(r.doc_id, 10)])
     n, v = sum(count.values()), len(count)
     base = lambda t: sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
     texts = collections.defaultdict(list)
@@ -201,7 +256,8 @@ def test_op8(spark, folder, docs):
         rows = [r for r in got if r.doc_id == i]
         want = sorted((len(t), sum(count[w] > 0 for w in t), round(base(t), 6)) for t in own)
         assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows) == want
-        assert all(r.train_tokens == n and r.held_out == (i is not None and crc(i, 10) == 0) and r.score <= 0 for r in rows)
+        assert all(r.train_tokens == n and r.held_out == (i is not None and crc(i, 10) == 0) for r in rows)
+        assert np.allclose(sorted(r.score for r in rows), sorted(sum(math.log10(after(a, b)) for a, b in zip([None, *t], t)) for t in own))
 
 
 def test_op9(spark, folder, docs):
@@ -229,6 +285,9 @@ def test_op10(spark, folder, docs):
 
 def test_stages_of_the_pipeline(spark, folder, docs):
     """Stage by stage on rows with nulls, repeated rows, shared ids and clashing names; then all, and an empty table."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     frame = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"place": F.lit(1), "hash": F.lit(2), "lines": F.lit(3), "found lang_pred": F.lit(4), "kept": F.lit(5), "_source": F.lit(6), "epoch": F.lit(7)})
@@ -236,7 +295,10 @@ def test_stages_of_the_pipeline(spark, folder, docs):
     stages = dict(corpus_pipeline.STAGES)
     key = lambda r: (r.doc_id, r.text)
     spoken = stages["language ID"](spark, frame, folder).cache()
-    assert spoken.columns == names and all(any(c.isalpha() for c in r.text) for r in spoken.collect()) and {tuple(r)[-7:] for r in spoken.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+    model = langid.fit(frame)
+    told = {r.text: best_language(model, r.text) for r in docs}
+    assert collections.Counter(map(key, spoken.collect())) == collections.Counter(key(r) for r in docs if told[r.text][0] != "und" and told[r.text][1] >= corpus_pipeline.LEAST_LANGUAGE_SHARE)
+    assert spoken.columns == names and {tuple(r)[-7:] for r in spoken.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
     cleaned = stages["line dedup"](spark, frame, folder).cache()
     gone = brute_lines(docs)
     want = collections.Counter((r.doc_id, r.text if r.text is None else "\n".join(x for k, x in enumerate(r.text.split("\n")) if (r.doc_id, r.text, k) not in gone)) for r in docs)
@@ -246,7 +308,14 @@ def test_stages_of_the_pipeline(spark, folder, docs):
     group = brute_groups([t or "" for _, t in rows])
     assert len(single) == len(set(group)) and len({group[rows.index(key(r))] for r in single}) == len(single)
     mixture = stages["mixing"](spark, frame, folder)
-    assert mixture.columns == names and {key(r) for r in mixture.collect()} <= {key(r) for r in docs}
+    copies = brute_copies(spark, docs, corpus_pipeline.MOST_REPEATS)
+    want = collections.Counter()
+    for r in docs:
+        want[key(r)] += copies[r.doc_id, r.text, r.source][0]
+    assert mixture.columns == names and collections.Counter(map(key, mixture.collect())) == +want
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = collections.Counter((r.doc_id, r.source, tuple(library.encode(r.text or "", add_special_tokens=False).ids)) for r in docs)
+    assert collections.Counter((r.doc_id, r.source, tuple(r.ids)) for r in stages["BPE encoding"](spark, frame, folder).collect()) == ids
     none = frame.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, none, folder)
