@@ -10,7 +10,10 @@ words as bits. A line goes if its class, or one similar to it, has an earlier li
 
 Classes meet in blocks of words, where each later class sends its likeliest earlier candidates,
 ``TRIES`` at most, and these are verified on the sets themselves. Where a class had more at a word and
-none of the sent ones was similar, the sets of it and of the word's unsent candidates meet there whole. So nothing is missed, and groups of near copies never make all their pairs.
+none of the sent ones was similar, the sets of it and of the word's unsent candidates meet there whole.
+Where a word has very many lines of one length, a class stops asking once it has candidates enough; should none of them
+be similar, it meets all classes of the word whole. So nothing is missed, and groups of near copies, or lines of one
+template, never make all their pairs.
 A word that ``HOT_LINES`` lines or more have is no place to meet: its lines meet at its pairs with
 another word of the prefix, which is one longer then (such sets share two words of these).
 
@@ -42,6 +45,8 @@ RARITY_BUCKETS = 1 << 22
 FILTER_BITS = 1 << 26  # a filter that is full passes more rows than needed, never fewer
 HOT_LINES = 1 << 15
 TRIES = 4
+SURE = -36  # nine times the bits: one candidate is enough where four bits more would still do
+WALK = 64  # neighbours at a word that are compared before rows with enough candidates stop asking
 MEET = 4  # sets of fewer words are similar to equal ones only
 PLACE = ["place", "mark", "line"]
 
@@ -303,35 +308,74 @@ def candidates(rows: np.ndarray, tries: int) -> tuple[np.ndarray, np.ndarray, np
         unsent[b[~keep]] = True
         return a[keep], b[keep], cost[keep]
 
-    d = 1
-    while len(open_):  # each row and the d-th after it: sizes rise within a word
-        open_ = open_[open_ + d < len(rows)]
-        j = open_ + d
-        keep = (word[open_] == word[j]) & (5 * size[open_] >= 4 * size[j])
-        i, j = open_[keep], j[keep]
-        open_ = i
+    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs, i before j, of one word whose sizes do not rule them out; they rise within a word."""
+        inside = (i >= 0) & (j < len(rows))
+        i, j = i[inside], j[inside]
+        keep = (word[i] == word[j]) & (5 * size[i] >= 4 * size[j])
+        return i[keep], j[keep]
+
+    def fitting(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Later and earlier rows of the pairs that nothing rules out, and nine times the bits above the most allowed."""
         total = size[i] + size[j]
         share = np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j])
         apart = np.bitwise_count(m0[i] ^ m0[j]).astype(np.int64) + np.bitwise_count(m1[i] ^ m1[j])
         fits = (9 * share >= 4 * total) & (9 * (total - apart) >= 8 * total)
-        if fits.any():
-            i, j, cost = i[fits], j[fits], 9 * apart[fits] - total[fits]  # nine times the bits above the most allowed
-            later = np.ones(len(i), bool)
-            for name in reversed(PLACE):
-                x, y = rows[name][i], rows[name][j]
-                later = np.where(x == y, later, x > y)
-            found.append((np.where(later, i, j), np.where(later, j, i), cost))
-            if len(found) > 64:
-                found = [likeliest()]
-        d += 1
-    if not found:
+        i, j, cost = i[fits], j[fits], 9 * apart[fits] - total[fits]
+        later = np.ones(len(i), bool)
+        for name in reversed(PLACE):
+            x, y = rows[name][i], rows[name][j]
+            later = np.where(x == y, later, x > y)
+        return np.where(later, i, j), np.where(later, j, i), cost
+
+    for d in range(1, WALK):  # each row and the d-th after it
+        open_, j = near(open_, open_ + d)
+        if not len(open_):
+            break
+        found.append(fitting(open_, j))
+    early = none
+    low, high = near(open_, open_ + WALK) if len(open_) else (none, none)
+    if len(low):  # crowded words: rows that have candidates enough stop asking
+        times, best = np.zeros(len(rows), np.int64), np.full(len(rows), 1 << 40)
+        shut = np.zeros(len(rows), bool)
+
+        def note(a: np.ndarray, cost: np.ndarray) -> None:
+            np.add.at(times, a, 1)
+            np.minimum.at(best, a, cost)
+            shut[a] = (times[a] >= least) | (best[a] <= SURE)
+
+        for a, _, cost in found:
+            note(a, cost)
+        early = np.unique(np.concatenate([low, high]))
+        early = early[shut[early]]
+        up, down, d = low[~shut[low]], high[~shut[high]], WALK
+        while len(up) or len(down):
+            i, j = near(up, up + d)
+            up = i
+            i2, j2 = near(down - d, down)
+            down = j2
+            once = shut[i2]  # the others are asked from below
+            a, b, cost = fitting(np.concatenate([i, i2[once]]), np.concatenate([j, j2[once]]))
+            asks = ~shut[a]
+            a, b, cost = a[asks], b[asks], cost[asks]
+            if len(a):
+                found.append((a, b, cost))
+                note(a, cost)
+                done = np.unique(a[shut[a]])
+                early = np.concatenate([early, done])
+                up, down = up[~shut[up]], down[~shut[down]]
+                if len(found) > 64:
+                    found = [likeliest()]
+            d += 1
+        if len(early):  # what they did not come to meets there whole if what is sent is not similar
+            unsent |= np.isin(word, np.unique(word[early]))
+    if not sum(len(f[0]) for f in found):
         return none, none, none, none
     a, b, cost = likeliest()
     first = np.searchsorted(a, a)
-    # one is enough where four bits more would still do; else all up to the most
-    sent = np.arange(len(a)) - first < np.where(cost[first] <= -36, 1, tries)
+    sent = np.arange(len(a)) - first < np.where(cost[first] <= SURE, 1, tries)
     unsent[b[~sent]] = True
-    return a[sent], b[sent], np.unique(a[~sent]), np.flatnonzero(unsent)
+    return a[sent], b[sent], np.unique(np.concatenate([a[~sent], early])), np.flatnonzero(unsent)
 
 
 def _pairs(prefixes: DataFrame, tries: int) -> DataFrame:
