@@ -1,7 +1,9 @@
 """The meeting library: append-only Parquet logs below a folder, and the calls of an application on them.
 
 Nothing is updated in place: a call appends rows with a sequence number, and reads are the views of
-``parley.operators.store`` over the logs, so concurrent readers see whole writes only.
+``parley.operators.store`` over the logs, so concurrent readers see whole writes only. A sequence number is
+the time, or one more than the log's last where the clock went back; so writes of one writer keep their order,
+and of writers at once on several machines the later by their clocks wins.
 """
 
 from __future__ import annotations
@@ -47,7 +49,8 @@ class Meetings:
 
     def _append(self, name: str, /, **row) -> None:
         fields = [f.split(" ")[0] for f in SCHEMAS[name].split(", ")]
-        values = tuple(time.time_ns() if f == "_seq" else row.get(f) for f in fields)
+        last = self._log(name).agg(F.max("_seq")).first()[0] or 0
+        values = tuple(max(time.time_ns(), last + 1) if f == "_seq" else row.get(f) for f in fields)
         self.spark.createDataFrame([values], SCHEMAS[name]).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}")
 
     def _now(self) -> str:
