@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from parley.llm.common import fresh, hashed_words, mixed, place_of, scaled_partitions, settle, small_batches, split_by_keys, stored, text_slices, tidy
 
 SEED = 42
+BLOCK_ROWS = 1024  # fingerprints that have a block in common, about
 LEAF = 64  # pairs of fingerprints below which node pairs are compared directly
 FRONTIER = 1 << 18  # node pairs walked at once
 
@@ -454,9 +455,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, words: int = 1, blo
     return fps.join(of_fp, fps.fp == of_fp._fp).select("doc_id", "fp", "component_id")
 
 
+def differing(similarity: float) -> float:
+    """The probability that a bit differs between fingerprints of this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def blocks_for(rows: int, similarity: float, missed: float = 0.005) -> tuple[int, int, int]:
+    """words, blocks and width so that about ``BLOCK_ROWS`` of so many fingerprints have a block in common.
+
+    There are as many blocks as find all pairs of this similarity but a share ``missed``. Widths end at 16, as
+    the crowded values of all blocks are counted by the driver.
+    """
+    width = min(16, max(10, math.ceil(math.log2(max(rows, 1) / BLOCK_ROWS))))
+    blocks = math.ceil(math.log(missed) / math.log(1 - (1 - differing(similarity)) ** width))
+    return math.ceil(blocks * width / 64), blocks, width
+
+
 def expected_limits(words: int, similarity: float, sigmas: float) -> np.ndarray:
     """Errors after each number of bits that a pair of this similarity exceeds with the odds of ``sigmas``."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # a bit differs with this probability
+    share = differing(similarity)
     bits = np.arange(64 * words + 1)
     return np.floor(share * bits + sigmas * np.sqrt(share * (1 - share) * bits)).astype(np.int64)
 
@@ -534,12 +551,14 @@ def similar_groups(docs: DataFrame, classes: DataFrame, shingle_words: int, word
         salt += 1
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, words: int = 4, blocks: int = 25, width: int = 10, sigmas: float = 4.0, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, shape: tuple[int, int, int] | None = None, sigmas: float = 4.0, similarity: float = 0.8) -> DataFrame:
     """``docs`` with the same columns and one document of each group: that of the smallest id, once.
 
     Groups are connected by pairs of documents with this Jaccard similarity of their sets of shingles.
-    Pairs are found if their fingerprints agree in one block and nowhere exceed the limits.
+    Pairs are found if their fingerprints agree in one block and nowhere exceed the limits. ``shape`` is the
+    fingerprints' 64-bit words, blocks and bits of a block (by default ``blocks_for`` as many rows).
     """
+    words, blocks, width = shape or blocks_for(docs.count(), similarity)
     rows = stored(wide_nodes(docs, shingle_words, words, id_col, text_col), "near-nodes")
     first = F.min(F.struct("place", "hash")).alias("first")
     classes = stored(rows.groupBy("node").agg(first).select("node", "first.place", "first.hash"), "near-classes")

@@ -545,3 +545,17 @@ def test_lexicon_shares_suffixes():
     assert all(lexicon.find(w.encode()) == ids for w, ids in words.items())
     assert all(lexicon.find(w) is None for w in (b"", b"s", b"rings", b"strin", b"x"))
     assert len(lexicon.first) - 1 < sum(len(w.encode()) for w in words)
+
+
+@pytest.mark.parametrize("rows", [0, 3_000_000])
+def test_blocks_follow_the_number_of_documents(spark, rows):
+    """Wider blocks for more documents find the same groups; pairs of the least similarity are found but for half a percent."""
+    words, blocks, width = shape = simhash.blocks_for(rows, 0.8)
+    assert 64 * words >= blocks * width and (1 - (1 - simhash.differing(0.8)) ** width) ** blocks <= 0.005
+    rng = random.Random(rows)
+    base = [prose(rng, 60) for _ in range(12)]
+    texts = [*base, *(t + " and so on" for t in base[:6]), *(t.upper() for t in base[3:8])]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    kept = simhash.one_of_each(table, shape=shape).collect()
+    group = brute_groups(texts)
+    assert sorted(r.doc_id for r in kept) == sorted({min(i for i, g in enumerate(group) if g == x) for x in set(group)})
