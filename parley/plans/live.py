@@ -144,12 +144,13 @@ SELECT user_id, event_id, share FROM p WHERE b IS NULL OR floor(share * 100) > b
 
 
 def device_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as devices of their region: by kind, the default first, else as listed."""
-    rows = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "input").otherwise("monitor").alias("kind"), (F.col("n_nationkey") % 3 == 0).alias("is_default"))
-    return live.device_order(rows, ["n_regionkey"], "n_nationkey").select("n_nationkey", "place")
+    """Each user's events as listed devices: by kind, the default first, else as listed."""
+    kind = F.when(F.col("event_type").isin("error", "signup"), "monitor").otherwise("input")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", kind.alias("kind"), (F.col("value") > 60).alias("is_default"))
+    return live.device_order(rows, ["user_id"], "event_id").select("event_id", "place")
 
 
-DEVICE_ORDER = "SELECT n_nationkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 2, n_nationkey % 3 <> 0, n_nationkey) AS INTEGER) AS place FROM nation"
+DEVICE_ORDER = "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_type IN ('error', 'signup'), value <= 60, event_id) AS INTEGER) AS place FROM events"
 
 
 def duration_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,17 +226,19 @@ FROM v
 
 
 def request_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Budgets of all routes and efforts."""
-    key = F.col("n_nationkey")
-    pick = lambda k, *xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
-    budget = display.request_budget(pick(key, "live", "fork", "final"), pick(F.floor(key / 3), "low", "medium", "high"), pick(F.floor(key / 9), "high", "xhigh"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", budget.alias("b")).select("n_nationkey", "b.*")
+    """Orders as requests: budgets by route (the status), hint effort (the priority) and summary effort (the price)."""
+    route = F.when(F.col("o_orderstatus") == "F", "final").when(F.col("o_orderstatus") == "O", "live").otherwise("fork")
+    effort = F.when(F.col("o_orderpriority").startswith("1"), "high").when(F.col("o_orderpriority").startswith("2"), "medium").otherwise("low")
+    budget = display.request_budget(route, effort, F.when(F.col("o_totalprice") > 250_000, "xhigh").otherwise("high"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", budget.alias("b")).select("o_orderkey", "b.*")
 
 
 REQUEST_BUDGETS = """
-WITH n AS (SELECT n_nationkey, n_nationkey % 3 AS r, ['low', 'medium', 'high'][n_nationkey // 3 % 3 + 1] AS h, ['high', 'xhigh'][n_nationkey // 9 % 2 + 1] AS s FROM nation)
-SELECT n_nationkey, CASE WHEN r = 2 THEN s ELSE h END AS effort,
-  CASE WHEN r = 2 THEN CASE s WHEN 'xhigh' THEN 64000 ELSE 32000 END WHEN h = 'high' THEN 16000 WHEN h = 'medium' OR r = 1 THEN 12000 ELSE 8000 END AS max_tokens FROM n
+WITH n AS (
+  SELECT o_orderkey, o_orderstatus AS r, CASE o_orderpriority[1] WHEN '1' THEN 'high' WHEN '2' THEN 'medium' ELSE 'low' END AS h, CASE WHEN o_totalprice > 250000 THEN 'xhigh' ELSE 'high' END AS s FROM orders
+)
+SELECT o_orderkey, CASE WHEN r = 'F' THEN s ELSE h END AS effort,
+  CASE WHEN r = 'F' THEN CASE s WHEN 'xhigh' THEN 64000 ELSE 32000 END WHEN h = 'high' THEN 16000 WHEN h = 'medium' OR r <> 'O' THEN 12000 ELSE 8000 END AS max_tokens FROM n
 """
 
 
