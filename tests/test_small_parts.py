@@ -68,9 +68,9 @@ def test_cuts_are_moved_to_quiet_places(spark):
     embeddings = [[a, 1 - a] for a in share]
     samples = np.random.default_rng(2).normal(0, 0.1, total)
     samples[change_at + 3000 : change_at + 3600] = 0
-    rows = [(1, "u", starts, embeddings, total)]
-    plain = spark.createDataFrame(rows, "meeting_id int, segment_id string, starts array<int>, embeddings array<array<double>>, total int")
-    sound = plain.withColumn("samples", F.lit(samples.tolist()).cast("array<float>"))
+    rows = [(1, "u", starts, embeddings, total, samples.tolist())]
+    sound = spark.createDataFrame(rows, "meeting_id int, segment_id string, starts array<int>, embeddings array<array<double>>, total int, samples array<double>")
+    plain = sound.drop("samples")
     assert change.cuts_of(plain, length, hop).first().cuts == [change_at]
     cut = change.cuts_of(sound, length, hop).first().cuts
     assert len(cut) == 1 and change_at + 3000 <= cut[0] <= change_at + 3600
