@@ -37,9 +37,10 @@ def count_label(n: Column) -> Column:
 
 
 def cost_label(usd: Column) -> Column:
-    """Dollars: two decimals below ten, one from ten on."""
+    """Dollars: two decimals below ten, one from ten on, rounded from the double's exact value (3.635 is a little less)."""
     usd = usd.cast("double")
-    return F.when(usd <= 0, "$0").when(usd < 0.01, "<$0.01").otherwise(F.concat(F.lit("$"), F.when(usd < 10, F.format_string("%.2f", usd)).otherwise(F.format_string("%.1f", usd))))
+    shown = lambda pattern: F.call_function("format_number", usd, F.lit(pattern))  # noqa: E731 (format_string would round 3.635 itself, and up)
+    return F.when(usd <= 0, "$0").when(usd < 0.01, "<$0.01").otherwise(F.concat(F.lit("$"), F.when(usd < 10, shown("0.00")).otherwise(shown("0.0"))))
 
 
 def iso_seconds(at: Column) -> Column:
