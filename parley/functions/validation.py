@@ -1,7 +1,7 @@
 """JSON objects against a tree of fields: every path that fails, or the object repaired and what was put where.
 
-The object is parsed once into a VARIANT; each field of the tree looks at its own path, so all failing
-paths are found, not the first. The rejecting form takes missing fields as their defaults and numbers out of
+The object is parsed once into a VARIANT (once for each of the repairing form's parts that are used); each field of
+the tree looks at its own path, so all failing paths are found, not the first. The rejecting form takes missing fields as their defaults and numbers out of
 range as their bounds; the repairing form also puts defaults for what does not fit.
 
 Cases: null and blank texts are an empty object; what is no JSON or no object fails as a whole, at the path ``$``, and is
@@ -11,6 +11,7 @@ decides (an error, so the whole fails).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -65,6 +66,11 @@ def parsed(json: Column) -> Column:
     return F.try_parse_json(F.coalesce(F.nullif(F.trim(json), F.lit("")), F.lit("{}")))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _at(root: Column, path: str) -> Column:
     return F.try_variant_get(root, path, "variant")
 
@@ -82,19 +88,23 @@ def _fields(tree: Tree, path: str = "$") -> list[tuple[str, Field]]:
     return out
 
 
-def _problem(root: Column, path: str, field: Field) -> Column:
+def _text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
+
+
+def _problem(value: Column, field: Field) -> Column:
     """What is wrong with a value that is there; null if nothing is."""
-    value = _at(root, path)
-    kind = _kind(value)
-    text = F.try_variant_get(root, path, "string")
+    kind, text = _kind(value), _text(value)
     if field.kind == "object":
         wrong = F.when(kind != "OBJECT", WRONG_TYPE)
     elif field.kind == "number":
         wrong = F.when(~kind.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), WRONG_TYPE)
     elif field.kind == "names":
         wrong = F.when(~kind.isin("ARRAY", "STRING"), WRONG_TYPE)
+    elif field.kind == "optional":
+        wrong = F.when(~kind.isin(TYPES[field.kind], "VOID"), WRONG_TYPE)
     else:
-        wrong = F.when((kind != TYPES[field.kind]) & (F.lit(field.kind != "optional") | (kind != "VOID")), WRONG_TYPE)
+        wrong = F.when(kind != TYPES[field.kind], WRONG_TYPE)
         if field.kind == "choice":
             wrong = F.coalesce(wrong, F.when(~text.isin(*field.choices), NOT_ONE_OF))
         elif field.kind == "shortcut":
@@ -106,63 +116,75 @@ def _problem(root: Column, path: str, field: Field) -> Column:
 
 def problems(json: Column, tree: Tree = SETTINGS) -> Column:
     """Array of (path, problem, found): every value that does not fit, in the tree's order; empty if the object is fine."""
-    root = parsed(json)
-    one = lambda path, problem, found: F.struct(F.lit(path).alias("path"), problem.alias("problem"), found.alias("found"))
-    whole = F.when(root.isNull(), NOT_JSON).when(_kind(root) != "OBJECT", NOT_OBJECT)
-    listed = [one(path, _problem(root, path, field), F.to_json(_at(root, path))) for path, field in _fields(tree)]
-    found = F.filter(F.array(*listed), lambda p: p["problem"].isNotNull())
-    return F.when(whole.isNotNull(), F.array(one("$", whole, json))).otherwise(found).cast(PROBLEM)
+    one = lambda path, problem, found: F.struct(path.alias("path"), problem.alias("problem"), found.alias("found"))
+    of = lambda root, path, field: _bound(_at(root, path), lambda v: one(F.lit(path), _problem(v, field), v))
 
+    def listed(root: Column) -> Column:
+        whole = F.when(root.isNull(), NOT_JSON).when(_kind(root) != "OBJECT", NOT_OBJECT)
+        wrong = F.filter(F.array(*[of(root, path, field) for path, field in _fields(tree)]), lambda p: p["problem"].isNotNull())
+        found = F.transform(wrong, lambda p: one(p["path"], p["problem"], F.to_json(p["found"])))
+        return _bound(whole, lambda w: F.when(w.isNotNull(), F.array(one(F.lit("$"), w, json))).otherwise(found)).cast(PROBLEM)
 
-def _repaired(root: Column, path: str, field: Field) -> Column:
+    return _bound(parsed(json), listed)
+
+
+def _repaired(value: Column, field: Field) -> Column:
     """The value to use: the given one where it fits, within its bounds, else the default."""
-    text = F.try_variant_get(root, path, "string")
-    fine = _at(root, path).isNotNull() & _problem(root, path, field).isNull()
+    fine = value.isNotNull() & _problem(value, field).isNull()
     default = F.lit(field.default)
     if field.kind == "number":
-        bounded = F.greatest(F.least(F.try_variant_get(root, path, "double"), F.lit(float(field.high))), F.lit(float(field.low)))
-        value = F.when(fine, bounded).otherwise(F.lit(float(field.default)))
-        return F.floor(value + 0.5).cast("long") if field.whole else value
+        bounded = F.greatest(F.least(F.try_variant_get(value, "$", "double"), F.lit(float(field.high))), F.lit(float(field.low)))
+        used = F.when(fine, bounded).otherwise(F.lit(float(field.default)))
+        return F.floor(used + 0.5).cast("long") if field.whole else used
     if field.kind == "flag":
-        return F.when(fine, F.try_variant_get(root, path, "boolean")).otherwise(default)
+        return F.when(fine, F.try_variant_get(value, "$", "boolean")).otherwise(default)
     if field.kind == "names":
-        given = F.when(_kind(_at(root, path)) == "STRING", text).otherwise(F.array_join(F.filter(F.try_variant_get(root, path, "array<string>"), lambda x: x.isNotNull()), "\n"))
+        given = F.when(_kind(value) == "STRING", _text(value)).otherwise(F.array_join(F.filter(F.try_variant_get(value, "$", "array<string>"), lambda x: x.isNotNull()), "\n"))
         return F.coalesce(names_in(F.when(fine, given)), F.array().cast("array<string>"))
     if field.kind == "optional":
-        return F.nullif(F.when(fine, text), F.lit(""))
-    return F.when(fine, text).otherwise(default)
+        return F.nullif(F.when(fine, _text(value)), F.lit(""))
+    return F.when(fine, _text(value)).otherwise(default)
 
 
 def _struct(root: Column, tree: Tree, path: str = "$") -> Column:
-    return F.struct(*[(_repaired(root, f"{path}.{n}", x) if isinstance(x, Field) else _struct(root, x, f"{path}.{n}")).alias(n) for n, x in tree.items()])
+    one = lambda field, own: _bound(_at(root, own), lambda v: _repaired(v, field))
+    return F.struct(*[(one(x, f"{path}.{n}") if isinstance(x, Field) else _struct(root, x, f"{path}.{n}")).alias(n) for n, x in tree.items()])
 
 
 def repaired(json: Column, tree: Tree = SETTINGS) -> Column:
-    """Struct value (as the tree), rest (unknown keys with their JSON) and repairs (path, found, put) of values that were there and changed."""
-    root = F.coalesce(F.when(_kind(parsed(json)) == "OBJECT", parsed(json)), F.parse_json(F.lit("{}")))
+    """Struct value (as the tree), rest (unknown keys with their JSON) and repairs (path, found, put) of values that were there and changed.
+
+    A caller that wants some fields only passes a tree of these; the others then count as unknown keys.
+    """
+    with_root = lambda body: _bound(parsed(json), lambda given: _bound(F.coalesce(F.when(_kind(given) == "OBJECT", given), F.parse_json(F.lit("{}"))), body))
     known = list(tree)
-    rest = F.map_filter(F.coalesce(F.try_variant_get(root, "$", "map<string,variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), lambda k, _: ~k.isin(*known))
-    changed = []
-    for path, field in _fields(tree):
-        if field.kind == "object":
-            continue
-        put = F.to_json(F.struct(_repaired(root, path, field).alias("v")), {"ignoreNullFields": "false"})
-        put = F.substring(put, 6, 1 << 30)
-        put = F.substr(put, F.lit(1), F.length(put) - 1)  # without {"v": and }
-        found = F.to_json(_at(root, path))
-        differ = F.when(found.isNotNull() & ~_same(root, path, field), put)
-        changed.append(F.struct(F.lit(path).alias("path"), found.alias("found"), differ.alias("put")))
-    repairs = F.filter(F.array(*changed), lambda r: r["put"].isNotNull()).cast(REPAIR)
-    return F.struct(_struct(root, tree).alias("value"), F.transform_values(rest, lambda _, v: F.to_json(v)).alias("rest"), repairs.alias("repairs"))
-
-
-def _same(root: Column, path: str, field: Field) -> Column:
+
+    def rest(root: Column) -> Column:
+        listed = F.coalesce(F.try_variant_get(root, "$", "map<string,variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")))
+        return F.transform_values(F.map_filter(listed, lambda k, _: ~k.isin(*known)), lambda _, v: F.to_json(v))
+
+    def change(root: Column, path: str, field: Field) -> Column:
+        def of(value: Column, used: Column) -> Column:
+            put = F.substring(F.to_json(F.struct(used.alias("v")), {"ignoreNullFields": "false"}), 6, 1 << 30)
+            put = F.substr(put, F.lit(1), F.length(put) - 1)  # without {"v": and }
+            differ = F.when(value.isNotNull() & ~_same(value, used, field), put)
+            return F.struct(F.lit(path).alias("path"), F.to_json(value).alias("found"), differ.alias("put"))
+
+        return _bound(_at(root, path), lambda v: _bound(_repaired(v, field), lambda u: of(v, u)))
+
+    def repairs(root: Column) -> Column:
+        return F.filter(F.array(*[change(root, path, field) for path, field in _fields(tree) if field.kind != "object"]), lambda r: r["put"].isNotNull()).cast(REPAIR)
+
+    return F.struct(with_root(lambda root: _struct(root, tree)).alias("value"), with_root(rest).alias("rest"), with_root(repairs).alias("repairs"))
+
+
+def _same(given: Column, used: Column, field: Field) -> Column:
     """Whether the value to use is the given one."""
-    given, used = _at(root, path), _repaired(root, path, field)
+    fine = _problem(given, field).isNull()
     if field.kind == "number":
-        return F.coalesce(F.try_variant_get(root, path, "double") == used.cast("double"), F.lit(False)) & _problem(root, path, field).isNull()
+        return F.coalesce(F.try_variant_get(given, "$", "double") == used.cast("double"), F.lit(False)) & fine
     if field.kind == "names":
-        return F.coalesce((_kind(given) == "ARRAY") & (F.try_variant_get(root, path, "array<string>") == used), F.lit(False))
+        return F.coalesce((_kind(given) == "ARRAY") & (F.try_variant_get(given, "$", "array<string>") == used), F.lit(False))
     if field.kind == "optional":
-        return F.when(_kind(given) == "VOID", True).otherwise(F.coalesce(F.try_variant_get(root, path, "string") == used, F.lit(False))) & _problem(root, path, field).isNull()
-    return _problem(root, path, field).isNull()
+        return F.when(_kind(given) == "VOID", True).otherwise(F.coalesce(_text(given) == used, F.lit(False))) & fine
+    return fine

@@ -399,7 +399,7 @@ def settings_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     json = F.when(v % 50 == 0, "[1]").when(v % 51 == 0, "oops").otherwise(made)
     rows = table(spark, sf_dir, "events").select("event_id", json.alias("json"))
     listed = F.array_join(F.transform(validation.problems(F.col("json")), lambda p: F.concat_ws("=", p["path"], p["problem"])), ";")
-    return rows.select("event_id", listed.alias("problems"), validation.repaired(F.col("json"))["value"]["numThreads"].alias("threads"))
+    return rows.select("event_id", listed.alias("problems"), validation.repaired(F.col("json"), {"numThreads": validation.SETTINGS["numThreads"]})["value"]["numThreads"].alias("threads"))
 
 
 SETTINGS_PROBLEMS = """
