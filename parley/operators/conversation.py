@@ -46,28 +46,28 @@ def lines_of(segments: DataFrame) -> DataFrame:
     return first.select("meeting_id", "id", "s.*")
 
 
-def with_parents(requests: DataFrame) -> DataFrame:
-    """``requests`` with parent (n) and parent_at of the version that each continues, and epoch, the rollovers before it."""
+def with_parents(requests: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``requests`` with parent (n) and parent_at of the version that each continues, and epoch, the rollovers before it; parent_x for each (whole-number) x carried."""
     own = requests.filter(F.col("at").isNotNull() & F.col("meeting_id").isNotNull())
     rollover = F.col("kind") == "rollover"
-    version = F.struct(F.col("n").alias("n"), F.col("at").alias("at"))
-    asked = own.withColumns({"_time": F.struct(F.col("at").alias("t"), F.lit(1).alias("o")), "_version": F.lit(None).cast("struct<n:long,at:long>"), "_rolled": F.lit(0)})
+    fields = ["n", "at", *carried]
+    version, kind = F.struct(*fields), f"struct<{','.join(f'{c}:long' for c in fields)}>"
+    asked = own.withColumns({"_time": F.struct(F.col("at").alias("t"), F.lit(1).alias("o")), "_version": F.lit(None).cast(kind), "_rolled": F.lit(0)})
     kept = own.filter(rollover | ((F.col("kind") == "live") & F.col("ok") & F.col("done_at").isNotNull()))
     done = kept.select("meeting_id", F.struct(F.when(rollover, F.col("at")).otherwise(F.col("done_at")).alias("t"), F.when(rollover, 2).otherwise(0).alias("o")).alias("_time"), version.alias("_version"), rollover.cast("int").alias("_rolled"))
     w = Window.partitionBy("meeting_id").orderBy("_time").rowsBetween(Window.unboundedPreceding, 0)
-    both = asked.unionByName(done.withColumn("_version", F.col("_version").cast("struct<n:long,at:long>")), allowMissingColumns=True)
+    both = asked.unionByName(done.withColumn("_version", F.col("_version").cast(kind)), allowMissingColumns=True)
     seen = both.withColumns({"_parent": F.last("_version", ignorenulls=True).over(w), "epoch": F.sum("_rolled").over(w)})
-    return seen.filter(F.col("_version").isNull()).select(*requests.columns, F.col("_parent.n").alias("parent"), F.col("_parent.at").alias("parent_at"), "epoch")
+    return seen.filter(F.col("_version").isNull()).select(*requests.columns, F.col("_parent.n").alias("parent"), *[F.col(f"_parent.{c}").alias(f"parent_{c}") for c in fields[1:]], "epoch")
 
 
 def as_of(points: DataFrame, events: DataFrame, keys: list[str], at: Column, value: str, name: str) -> DataFrame:
-    """``points`` with ``name``: the value of the last event of their keys at or before ``at``."""
-    later = F.lead("at").over(Window.partitionBy(*keys).orderBy("at"))
-    ranges = events.select(*[F.col(k).alias(f"_e_{k}") for k in keys], F.col("at").alias("_from"), (later - 1).alias("_until"), F.col(value).alias(name))
-    on = (at >= F.col("_from")) & (at <= F.coalesce("_until", at))
-    for k in keys:
-        on &= F.col(k) == F.col(f"_e_{k}")
-    return points.join(ranges, on, "left").drop("_from", "_until", *[f"_e_{k}" for k in keys])
+    """``points`` with ``name``: the value of the last event of their keys at or before ``at``; one sort, no range join."""
+    told = events.dropna(subset=[*keys, "at"]).select(*keys, F.col("at").alias("_t"), F.lit(0).alias("_o"), F.struct(F.col(value).alias("x")).alias("_told"))
+    asked = points.select(*keys, at.alias("_t"), F.lit(1).alias("_o"), F.struct(*points.columns).alias("_row"))
+    w = Window.partitionBy(*keys).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    seen = told.unionByName(asked, allowMissingColumns=True).withColumn("_told", F.last("_told", ignorenulls=True).over(w))
+    return seen.filter("_o = 1").select("_row.*", F.col("_told.x").alias(name))
 
 
 def shown_name(points: DataFrame, names: DataFrame, at: Column, name: str) -> DataFrame:
@@ -76,11 +76,15 @@ def shown_name(points: DataFrame, names: DataFrame, at: Column, name: str) -> Da
     return given.withColumn(name, F.coalesce(F.nullif(F.trim("_given"), F.lit("")), default_name(F.col("label")))).drop("_given")
 
 
+def labelled(lines: DataFrame, relabels: DataFrame, at: Column) -> DataFrame:
+    """``lines`` with label as it was at a time."""
+    now = as_of(lines, relabels.select("meeting_id", "id", "at", F.struct("label", F.col("at").alias("told")).alias("to")), ["meeting_id", "id"], at, "to", "_to")
+    return now.withColumn("label", F.when(F.col("_to.told") >= F.col("at"), F.col("_to.label")).otherwise(F.col("label"))).drop("_to")
+
+
 def rendered(lines: DataFrame, names: DataFrame, relabels: DataFrame, at: Column) -> DataFrame:
     """``lines`` with label, name and line as they were at a time."""
-    now = as_of(lines, relabels.select("meeting_id", "id", "at", F.struct("label", F.col("at").alias("told")).alias("to")), ["meeting_id", "id"], at, "to", "_to")
-    labelled = now.withColumn("label", F.when(F.col("_to.told") >= F.col("at"), F.col("_to.label")).otherwise(F.col("label"))).drop("_to")
-    return transcript_lines(shown_name(labelled, names, at, "name"), F.col("name"))
+    return transcript_lines(shown_name(labelled(lines, relabels, at), names, at, "name"), F.col("name"))
 
 
 def update_lines(segments: DataFrame, names: DataFrame, relabels: DataFrame, parents: DataFrame, bucket: int = 10_000) -> DataFrame:
@@ -101,11 +105,44 @@ def seed_lines(segments: DataFrame, names: DataFrame, relabels: DataFrame, paren
     return used.select(*KEYS, "id", "start_ms", "label", "line", ((F.col("_used") <= F.col("most_chars")) | (F.col("_used") == size)).alias("carried"))
 
 
-def first_told(updates: DataFrame, seeds: DataFrame, parents: DataFrame) -> DataFrame:
-    """meeting_id, label, told_at: when the first version that names a label began."""
-    told = updates.select(*KEYS, "label").unionByName(seeds.filter("carried").select(*KEYS, "label")).filter("label IS NOT NULL").distinct()
-    versions = parents.filter("kind = 'rollover' OR (kind = 'live' AND ok AND done_at IS NOT NULL)").select(*KEYS, "at")
-    return told.join(versions, KEYS).groupBy("meeting_id", "label").agg(F.min("at").alias("told_at"))
+def with_lines_before(requests: DataFrame, own: DataFrame, names: DataFrame, relabels: DataFrame) -> DataFrame:
+    """``requests`` with upto, how many lines there are by then, and most_size, which all of them do not exceed whatever their labels are called."""
+    called = names.select("meeting_id", F.length(F.trim("name")).alias("l"))
+    for rows in (own, relabels):
+        called = called.unionByName(rows.select("meeting_id", F.length(default_name(F.col("label"))).alias("l")))
+    longest = called.groupBy("meeting_id").agg(F.max("l").alias("_longest"))
+    sized = transcript_lines(own, F.lit("")).join(longest, "meeting_id").select("meeting_id", F.col("at").alias("_t"), F.lit(0).alias("_o"), (F.length("line") + 1 + F.coalesce("_longest", F.lit(0))).cast("long").alias("_size"))
+    asked = requests.filter("at IS NOT NULL AND meeting_id IS NOT NULL").select("meeting_id", F.col("at").alias("_t"), F.lit(1).alias("_o"), F.struct(*requests.columns).alias("_row"))
+    w = Window.partitionBy("meeting_id").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    seen = sized.unionByName(asked, allowMissingColumns=True).withColumns({"upto": F.count("_size").over(w), "most_size": F.coalesce(F.sum("_size").over(w), F.lit(0))})
+    return seen.filter("_o = 1").select("_row.*", "upto", "most_size")
+
+
+def label_spans(own: DataFrame, relabels: DataFrame) -> DataFrame:
+    """meeting_id, label, since, until: when lines have which label; the last label of a line has no end."""
+    given = own.select("meeting_id", "id", "at", "label", F.lit(0).alias("_o"))
+    told = relabels.dropna(subset=["meeting_id", "id", "at"]).join(own.select("meeting_id", "id", F.col("at").alias("_since")), ["meeting_id", "id"]).filter(F.col("at") >= F.col("_since"))
+    w = Window.partitionBy("meeting_id", "id").orderBy("at", "_o")
+    both = given.unionByName(told.select("meeting_id", "id", "at", "label", F.lit(1).alias("_o"))).withColumn("until", F.lead("at").over(w))
+    return both.filter("label IS NOT NULL AND (until IS NULL OR until > at)").select("meeting_id", "label", F.col("at").alias("since"), "until")
+
+
+def first_told(own: DataFrame, relabels: DataFrame, parents: DataFrame, seeds: DataFrame, bucket: int = 10_000) -> DataFrame:
+    """meeting_id, label, told_at: when the first version that names a label began.
+
+    Live versions meet the lines they add, ``seeds`` are the lines of rollovers that drop some. A rollover with all lines
+    names each label that a line has at its time, so of each span of a label only the next such rollover counts.
+    """
+    live = parents.filter("kind = 'live' AND ok AND done_at IS NOT NULL").select("meeting_id", F.col("at").alias("asked_at"), (F.coalesce("parent_at", F.lit(-1)) + 1).alias("since"))
+    lines = own.select("meeting_id", "id", "at", "label")
+    added = labelled(overlap_join(lines, live, ["meeting_id"], (F.col("at"), F.col("at")), (F.col("since"), F.col("asked_at")), bucket), relabels, F.col("asked_at")).select("meeting_id", "label", F.col("asked_at").alias("told_at"))
+    part = seeds.filter("carried").join(parents.select(*KEYS, F.col("at").alias("told_at")), KEYS).select("meeting_id", "label", "told_at")
+    spans = label_spans(own, relabels).select("meeting_id", F.col("since").alias("_t"), F.lit(0).alias("_o"), "label", "until")
+    rolled = parents.filter("whole").select("meeting_id", F.col("at").alias("_t"), F.lit(1).alias("_o"), F.col("at").alias("told_at"))
+    w = Window.partitionBy("meeting_id").orderBy(F.desc("_t"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)
+    next_one = spans.unionByName(rolled, allowMissingColumns=True).withColumn("told_at", F.last("told_at", ignorenulls=True).over(w))
+    whole = next_one.filter("_o = 0 AND told_at IS NOT NULL AND (until IS NULL OR told_at < until)").select("meeting_id", "label", "told_at")
+    return added.unionByName(part).unionByName(whole).filter("label IS NOT NULL").groupBy("meeting_id", "label").agg(F.min("told_at").alias("told_at"))
 
 
 def update_notes(told: DataFrame, names: DataFrame, parents: DataFrame) -> DataFrame:
@@ -122,24 +159,41 @@ def _text(rows: DataFrame, order: list[Column], line: str, name: str) -> DataFra
     return rows.groupBy(*KEYS).agg(F.array_join(F.transform(listed, lambda r: r["line"]), "\n").alias(name))
 
 
+def counted(segments: DataFrame, names: DataFrame, relabels: DataFrame, requests: DataFrame, bucket: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """``requests`` with parent, parent_at, epoch, lines, dropped and notes, and the notes themselves; without any text.
+
+    Numbers of lines are differences of running counts. Only rollovers whose lines may not all fit meet them one by one.
+    """
+    own = lines_of(segments).filter("at >= 0")
+    parents = with_parents(with_lines_before(requests, own, names, relabels), ("upto",))
+    parents = parents.withColumn("whole", (F.col("kind") == "rollover") & (F.col("most_size") <= F.coalesce("most_chars", F.lit(0))))
+    seeds = seed_lines(segments, names, relabels, parents.filter("NOT whole"), bucket)
+    notes = update_notes(first_told(own, relabels, parents, seeds, bucket), names, parents)
+    cut = seeds.groupBy(*KEYS).agg(F.count_if("carried").alias("_cut"), F.count_if(~F.col("carried")).alias("dropped"))
+    noted = notes.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("notes"))
+    added = F.when(F.col("kind") == "rollover", F.col("upto")).otherwise(F.col("upto") - F.coalesce("parent_upto", F.lit(0)))
+    found = parents.join(cut, KEYS, "left").join(noted, KEYS, "left").withColumn("lines", F.coalesce("_cut", added)).na.fill(0, ["dropped", "notes"])
+    return found.select(*requests.columns, "parent", "parent_at", "epoch", "lines", "dropped", "notes"), notes
+
+
+def request_counts(segments: DataFrame, names: DataFrame, relabels: DataFrame, requests: DataFrame, bucket: int = 10_000) -> DataFrame:
+    """``requests`` with parent, parent_at, epoch, lines, dropped and notes, as ``conversation`` has them."""
+    return counted(segments, names, relabels, requests, bucket)[0]
+
+
 def conversation(segments: DataFrame, names: DataFrame, relabels: DataFrame, requests: DataFrame, context_chars: int = 0, bucket: int = 10_000) -> DataFrame:
     """``requests`` with parent, epoch, text (of a live request or fork its turn, of a rollover the seed), lines, dropped, notes and prompt_chars.
 
     prompt_chars counts the context, the epoch's earlier turns and replies up to the parent, and the request's own text.
     """
-    parents = with_parents(requests)
+    parents, notes = counted(segments, names, relabels, requests, bucket)
     updates = update_lines(segments, names, relabels, parents, bucket)
     seeds = seed_lines(segments, names, relabels, parents, bucket)
-    notes = update_notes(first_told(updates, seeds, parents), names, parents)
     order = [F.col("start_ms"), F.col("id")]
-    counts = updates.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("lines"), F.lit(0).cast("long").alias("dropped"))
-    counts = counts.unionByName(seeds.groupBy(*KEYS).agg(F.count_if("carried").alias("lines"), F.count_if(~F.col("carried")).alias("dropped")))
-    noted = notes.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("notes"))
     texts = _text(updates, order, "line", "_lines").unionByName(_text(seeds.filter("carried"), order, "line", "_lines"))
     whole = parents
-    for part in (counts, noted, texts, _text(notes, [label_order(F.col("label"))], "note", "_notes")):
+    for part in (texts, _text(notes, [label_order(F.col("label"))], "note", "_notes")):
         whole = whole.join(part, KEYS, "left")
-    whole = whole.na.fill(0, ["lines", "dropped", "notes"])
     summary = F.nullif(F.trim("summary"), F.lit(""))
     turn = F.concat_ws("\n", F.when(F.col("_notes").isNotNull(), tagged(NAMES_TAG, F.col("_notes"))), F.when(F.col("_lines").isNotNull(), tagged(UPDATE_TAG, F.col("_lines"))), F.col("task"))
     seed = F.concat_ws(

@@ -110,7 +110,7 @@ def request_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     relabels = of("error").select("meeting_id", "at", F.lit("none").alias("id"), F.lit("sys:3").alias("label"))
     kind = F.when(F.col("value") < 15, "fork").when(F.col("value") > 90, "rollover").otherwise("live")
     requests = of("purchase").select("meeting_id", F.col("event_id").alias("n"), "at", (F.col("at") + 5).alias("done_at"), kind.alias("kind"), (F.col("v") % 4 != 0).alias("ok"), F.lit("t").alias("task"), F.lit("r").alias("reply"), F.lit(None).cast("string").alias("summary"), F.lit(1 << 30).alias("most_chars"))
-    found = conversation.conversation(segments, names, relabels, requests, bucket=100_000)
+    found = conversation.request_counts(segments, names, relabels, requests, bucket=100_000)
     return found.select("meeting_id", "n", "kind", "parent", "epoch", "lines", "notes")
 
 
