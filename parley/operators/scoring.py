@@ -106,17 +106,79 @@ def error_rate_of_cells(counted: DataFrame, keys: list[str], low: float = -0.2,
 
 
 PAIR_BLOCK = 8192  # vectors
-TILE_ROWS = 128  # whose scores are held at once
+TILE_ROWS, TILE_COLUMNS = 128, 1024  # whose scores are held at once
 
 
 def units(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each length, the places of its vectors and these at length one; others (score 0) are left out."""
-    found: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for at, v in enumerate(column):
-        x = np.array([np.nan if y is None else y for y in v.as_py() or []], np.float64)
-        if 0 < (n := np.sqrt(x @ x)) < np.inf:
-            found.setdefault(len(x), []).append((at, x / n))
-    return [(np.array([at for at, _ in rows]), np.stack([x for _, x in rows])) for _, rows in sorted(found.items())]
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null number is nan
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    starts, found = np.cumsum(lengths) - lengths, []
+    for n in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == n)
+        x = values[starts[at, None] + np.arange(n)]
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))
+        fine = (size > 0) & (size < np.inf)
+        if fine.any():
+            found.append((at[fine], x[fine] / size[fine, None]))
+    return found
+
+
+def _cells_of(scores: np.ndarray, low: float, step: float, steps: int) -> np.ndarray:
+    """The grid's cells of scores in double precision."""
+    return np.clip(np.floor((np.round(scores, 6) - low) / step).astype(np.int64) + 1, 0, steps)
+
+
+def _by_label(ids: np.ndarray, labels: np.ndarray, parts: list) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """ids, labels and units, which are in the labels' order."""
+    order = [np.argsort(labels[at], kind="stable") for at, _ in parts]
+    return ids, labels, {x.shape[1]: (at[o], x[o]) for (at, x), o in zip(parts, order)}
+
+
+def _couples(*columns: np.ndarray) -> int:
+    """Pairs of rows that agree in all columns."""
+    n = np.unique(np.stack(columns), axis=1, return_counts=True)[1]
+    return int((n * (n - 1) // 2).sum())
+
+
+def tile_cells(a: tuple, b: tuple, one: bool, low: float, step: float, steps: int) -> np.ndarray:
+    """Numbers of same and of different pairs in each cell, of two blocks of (ids, labels, units); with ``one`` of a block with itself.
+
+    Products in single precision tell the cells of all scores but those so near a border that their errors or the
+    rounding might cross it; these are computed in double precision.
+    """
+    (ids, of_a, full_a), (others, of_b, full_b) = _by_label(*a), _by_label(*b)
+    met = np.zeros((2, steps + 1), np.int64)  # same, all
+    for width in full_a.keys() & full_b.keys():
+        (i, x), (j, y) = full_a[width], full_b[width]
+        near = (6.5e-8 * (width + 4) + 6e-7) / step + 4e-7 * steps  # in steps; the products' sizes add up to 1 at most
+        xs, ys = (x / step).astype(np.float32), np.ascontiguousarray(y.astype(np.float32).T)
+        for r in range(0, len(i), TILE_ROWS):
+            p, own = slice(r, r + TILE_ROWS), of_a[i[r : r + TILE_ROWS]]
+            for c in range(0, len(j), TILE_COLUMNS):
+                q, other = slice(c, c + TILE_COLUMNS), of_b[j[c : c + TILE_COLUMNS]]
+                g = xs[p] @ ys[:, q]
+                g += np.float32(1 - low / step)
+                floor = np.floor(g)
+                g -= floor
+                g -= np.float32(0.5)
+                cell = np.clip(floor, 0, steps, out=floor).astype(np.int64)
+                close = np.flatnonzero(np.abs(g, out=g).ravel() > 0.5 - near)
+                k, m = np.divmod(close, len(other))
+                cell.ravel()[close] = _cells_of(np.einsum("ij,ij->i", x[p][k], y[q][m]), low, step, steps)
+                use = ids[i[p], None] < others[j[q]] if one else None
+                met[1] += np.bincount(cell.ravel() if use is None else cell[use], minlength=steps + 1)
+                if other[0] <= own[-1] and own[0] <= other[-1]:
+                    same = own[:, None] == other
+                    met[0] += np.bincount(cell[same if use is None else same & use], minlength=steps + 1)
+    if one:
+        want = [_couples(of_a) - _couples(of_a, ids), len(ids) * (len(ids) - 1) // 2 - _couples(ids)]
+    else:
+        n = max(of_a.max(), of_b.max()) + 1
+        want = [int(np.bincount(of_a, minlength=n) @ np.bincount(of_b, minlength=n)), len(ids) * len(others)]
+    met[:, _cells_of(np.zeros(1), low, step, steps)[0]] += want - met.sum(1)  # pairs without two vectors of one length
+    return np.stack([met[0], met[1] - met[0]])
 
 
 def pair_cells(vectors: DataFrame, id_col: str, label: str, vector: str, low: float = -0.2, step: float = 0.006, steps: int = 201) -> DataFrame:
@@ -134,22 +196,10 @@ def pair_cells(vectors: DataFrame, id_col: str, label: str, vector: str, low: fl
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         counts = np.zeros((2, steps + 1), np.int64)
         if a.num_rows and b.num_rows:
-            ids, others = a["id_x"].to_numpy(), b["id_y"].to_numpy()
-            labels = pa.chunked_array([*a["l_x"].chunks, *b["l_y"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
-            of_a, of_b = labels[: len(ids)], labels[len(ids) :]
-            parts = {x.shape[1]: (at, x) for at, x in units(b["v_y"])}
-            full = [(at, x, *parts[x.shape[1]]) for at, x in units(a["v_x"]) if x.shape[1] in parts]
             one = a["b_x"][0].as_py() == b["b_y"][0].as_py()
-            for at in range(0, len(ids), TILE_ROWS):
-                s = slice(at, at + TILE_ROWS)
-                scores = np.zeros((len(ids[s]), len(others)))
-                for i, x, j, y in full:
-                    own = (i >= s.start) & (i < s.stop)
-                    scores[np.ix_(i[own] - at, j)] = x[own] @ y.T
-                use = ids[s, None] < others if one else ids[s, None] != others
-                cell = np.clip(np.floor((np.round(scores[use], 6) - low) / step).astype(np.int64) + 1, 0, steps)
-                same = (of_a[s, None] == of_b)[use]
-                counts += np.bincount(cell + np.where(same, 0, steps + 1), minlength=2 * steps + 2).reshape(2, -1)
+            labels = pa.chunked_array([*a["l_x"].chunks, *b["l_y"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+            ids, others = a["id_x"].to_numpy(), b["id_y"].to_numpy()
+            counts = tile_cells((ids, labels[: len(ids)], units(a["v_x"])), (others, labels[len(ids) :], units(b["v_y"])), one, low, step, steps)
         return pa.table({"_c": pa.array(np.arange(steps + 1, dtype=np.int32)), "_s": pa.array(counts[0]), "_d": pa.array(counts[1])})
 
     tiles = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(run, "_c int, _s long, _d long")
